@@ -104,3 +104,49 @@ def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int
     at = place + np.repeat(starts, size)
     value = (LOWER[raw[at]].astype(np.uint64) + np.uint64(1)) * keys64(int(size.max()), seed)[place]
     return mix64(np.add.reduceat(value, first) + size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
+def fold(raw: np.ndarray, offsets: np.ndarray, digits: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Folded bytes and offsets: Latin letters lower-cased, ASCII signs (and digits, if not ``digits``) one space, each text ended by one space.
+
+    Letters beyond U+00FF keep their case; bytes over 0x7F count as letters.
+    """
+    table = _KEEP_DIGITS if digits else _LETTERS_ONLY
+    n = len(offsets) - 1
+    wide = np.insert(raw, offsets[1:], 32) if n else raw  # a space ends each text
+    off = offsets + np.arange(n + 1)
+    out = table[wide]
+    high = np.flatnonzero(wide == 0xC3)
+    high = high[high + 1 < len(wide)]
+    after = wide[high + 1]
+    up = (after >= 0x80) & (after <= 0x9E) & (after != 0x97)
+    out[high[up] + 1] += 32
+    space = out == 32
+    keep = np.ones(len(out), bool)
+    keep[1:] = ~(space[1:] & space[:-1])
+    if len(out):
+        keep[0] = True
+    first = off[:-1][off[:-1] < len(out)]
+    keep[first] &= ~(space[first])  # no space starts a text ...
+    for_all = off[1:] - 1
+    keep[for_all] = True  # ... but one ends it, even an empty one
+    total = np.concatenate(([0], np.cumsum(keep)))
+    out, off = out[keep], total[off]
+    # a text that ended in signs now has two spaces at its end: drop the first
+    ends = off[1:] - 1
+    twice = ends[(ends - 1 >= off[:-1])]
+    twice = twice[out[twice - 1] == 32] - 1
+    if len(twice):
+        drop = np.ones(len(out), bool)
+        drop[twice] = False
+        total = np.concatenate(([0], np.cumsum(drop)))
+        out, off = out[drop], total[off]
+    return out, off
+
+
+_KEEP_DIGITS = np.full(256, 32, np.uint8)
+_KEEP_DIGITS[128:] = np.arange(128, 256)
+_KEEP_DIGITS[97:123] = np.arange(97, 123)
+_KEEP_DIGITS[65:91] = np.arange(97, 123)
+_LETTERS_ONLY = _KEEP_DIGITS.copy()
+_KEEP_DIGITS[48:58] = np.arange(48, 58)
