@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioforge.llm import decontam, langid, line_dedup, mixing, ngram_join, quality, secrets, token_counts, toxicity
+from folioforge.llm import ann, decontam, langid, line_dedup, mixing, ngram_join, quality, secrets, token_counts, toxicity
 from folioforge.plans.tables import table
 
 
+def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -47,7 +51,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op2_toxicity, op3_language_id, op4_ngram_jaccard_join, op5_line_dedup, op6_decontamination, op7_token_counts, op8_source_mixing, op9_secret_scan, op10_quality)
+    every = (op1_ann, op2_toxicity, op3_language_id, op4_ngram_jaccard_join, op5_line_dedup, op6_decontamination, op7_token_counts, op8_source_mixing, op9_secret_scan, op10_quality)
     return {f.__name__: f for f in every}
 
 
