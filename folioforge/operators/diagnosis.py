@@ -96,11 +96,11 @@ GENERIC = {
 }
 GENERIC["µm"] = GENERIC["mm"]
 CONDITIONS = {"": "1 = 1", "helical": "abs(beta) > 1e-12", "shifted": "abs(x) > 1e-12", "tip": "abs(k) > 1e-12"}
-PRESSURE_ANGLES = (14.5, 15.0, 17.5, 20.0, 22.5, 25.0, 27.0, 28.0, 30.0)
-#: Order that decides between classes of equal count.
+# Pressure angles in use, and the order that decides between classes of equal count.
+PRESSURE_ANGLES = (14.5, 15.0, 17.5, 20.0, 22.5, 25.0, 30.0)
 ROOT_CAUSES = (
-    "DEGREE_RADIAN_ERROR", "ANGLE_UNIT_ERROR", "UNIT_ERROR", "NORMAL_TRANSVERSE_CONFUSION", "HELIX_ANGLE_OMITTED", "MODULE_CONVERSION_ERROR", "WRONG_PRESSURE_ANGLE",
-    "WRONG_BASE_CIRCLE_FORMULA", "WRONG_BASE_PITCH_FORMULA", "PROFILE_SHIFT_OMITTED", "INTERNAL_EXTERNAL_SIGN_ERROR", "FORMULA_SELECTION_ERROR", "ROUNDING_ERROR", "LLM_ARITHMETIC_ERROR", "UNKNOWN",
+    "ANGLE_UNIT_ERROR", "DEGREE_RADIAN_ERROR", "WRONG_PRESSURE_ANGLE", "NORMAL_TRANSVERSE_CONFUSION", "MODULE_CONVERSION_ERROR", "WRONG_BASE_CIRCLE_FORMULA", "WRONG_BASE_PITCH_FORMULA", "PROFILE_SHIFT_OMITTED",
+    "INTERNAL_EXTERNAL_SIGN_ERROR", "HELIX_ANGLE_OMITTED", "ROUNDING_ERROR", "UNIT_ERROR", "FORMULA_SELECTION_ERROR", "LLM_ARITHMETIC_ERROR", "UNKNOWN",
 )
 
 
