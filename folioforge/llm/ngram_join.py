@@ -8,13 +8,15 @@ document's set size and the least ``doc_id`` that links reach.
 Plan.  (1) One pass hashes shingles, fingerprints each set and counts shingles
 in a fixed-width sketch, which covers all rows; exact copies are grouped by
 fingerprint, never paired.  (2) The global order is (estimated frequency, hash),
-rare first.  Each set posts the prefix that any partner must share a shingle
-with.  Copies met again in a task post nothing.  (3) Postings are dealt by
-shingle; single ones are dropped while streaming.  (4) Each run elects one pivot
-for each length class, and members are checked against pivots only.  (5) Runs
+rare first.  Each set posts the prefix that any partner must share several
+shingles with.  Copies met again in a task post nothing.  (3) Postings are dealt by
+shingle; single ones are dropped while streaming, then sets left with too few.  (4) Each run elects one pivot
+for each length class; a member is checked against the pivot it shares most with
+only.  (5) Runs
 that still hold several components are then joined completely: all members
 outside a run's largest component against the run, so no link is lost and a
-group of near copies isn't paired with itself.  (6) Checks stream bounded chunks
+group of near copies isn't paired with itself; pairs whose shared prefix
+shingles are too few to reach the overlap are dropped.  (6) Checks stream bounded chunks
 of sets through an implicit trie (sets in key order, shared prefixes counted
 once, subtrees pruned by remaining length).
 
@@ -32,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioforge.llm.arrow_text import keys64, mix64, slices, utf8, word_hashes, words
@@ -41,6 +43,10 @@ from folioforge.plans.lineage import cut, drop
 
 #: Sketch width and the counters of one block; both fixed, whatever the input.
 WIDTH, BLOCK = 1 << 22, 1 << 14
+#: Shingles that the longer prefixes of linked sets must share (the l-prefix scheme), where sets are large enough.
+SHARED = 6
+#: Most bits of the bitmap of ids whose sets are wanted.
+MOST_BITS = 1 << 30
 #: Sets in one chunk of a trie.
 CHUNK = 2048
 NUM, DEN = 80, 100
@@ -56,6 +62,16 @@ def _overlap(a: int, b: int) -> int:
     return -(-NUM * (a + b) // (NUM + DEN))
 
 
+def _least_shared(n: int) -> int:
+    """Shingles that a set of n shares at least with any partner's prefix; partners have at least _need(n)."""
+    return min(SHARED, _need(_need(n)))
+
+
+def _prefix(n: int) -> int:
+    """Length of the prefix that holds them."""
+    return n - _need(n) + min(SHARED, _need(n))
+
+
 def shingle_sets(column: pa.Array, size: int = 5) -> Iterator[np.ndarray]:
     """Sorted distinct shingle hashes of each text."""
     raw_all, off_all = utf8(column)
@@ -126,7 +142,7 @@ def _postings(levels: np.ndarray):
             ids = batch.column(0).to_pylist()
             keys, sizes, owner, held = [], [], [], 0
             for d, s in zip(ids, shingle_sets(batch.column(1)), strict=True):
-                if d is None or not len(s):
+                if d is None or len(s) < 4:  # two sets of which one is so small link only if they're equal
                     continue
                 mark = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
                 if mark in met:
@@ -135,7 +151,7 @@ def _postings(levels: np.ndarray):
                 if len(met) > 500_000:
                     met.clear()
                 n = len(s)
-                k = ordered_keys(s, levels)[: n - _need(n) + 1]
+                k = ordered_keys(s, levels)[: _prefix(n)]
                 keys.append(k)
                 sizes.append(np.full(len(k), n, np.int64))
                 owner.append(np.full(len(k), d, np.int64))
@@ -177,11 +193,47 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["token", "doc_id", "n"])
 
 
-def _keyed(levels: np.ndarray):
+def _bits(ids: np.ndarray, log: int) -> np.ndarray:
+    return (mix64(ids.astype(np.uint64)) >> np.uint64(64 - log)).astype(np.int64)
+
+
+def _bitmap(ids: DataFrame, n: int) -> tuple[np.ndarray, int]:
+    """A bitmap of fixed size that has a bit for every id: built in the tasks, joined by blocks, at most MOST_BITS."""
+    log = max(20, min((16 * n).bit_length(), MOST_BITS.bit_length() - 1))
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(1 << log, bool)
+        for batch in batches:
+            bits[_bits(batch.column(0).to_numpy(), log)] = True
+        size = 1 << 18
+        for k in range(len(bits) // size):
+            if bits[k * size : (k + 1) * size].any():
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zlib.compress(np.packbits(bits[k * size : (k + 1) * size]).tobytes(), 1)], pa.binary())], names=["block", "bits"])
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                part = np.frombuffer(zlib.decompress(x), np.uint8)
+                total[k] = total[k] | part if k in total else part
+        for k, x in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([x.tobytes()], pa.binary())], names=["block", "bits"])
+
+    out = np.zeros(1 << (log - 3), np.uint8)
+    step = 1 << 15
+    for r in ids.mapInArrow(own, "block int, bits binary").repartition("block").mapInArrow(joined, "block int, bits binary").collect():
+        out[r.block * step : (r.block + 1) * step] = np.frombuffer(r.bits, np.uint8)
+    return out, log
+
+
+def _keyed(levels: np.ndarray, wanted: np.ndarray, log: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            known = batch.filter(batch.column(0).is_valid())
+            at = _bits(known.column(0).to_numpy(), log)
+            chosen = known.filter(pa.array((wanted[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1))
             ids, keys = [], []
-            for d, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1)), strict=True):
+            for d, s in zip(chosen.column(0).to_pylist(), shingle_sets(chosen.column(1)), strict=True):
                 ids.append(d)
                 keys.append(ordered_keys(s, levels))
                 if len(ids) == 500:
@@ -271,25 +323,47 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _check(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links among candidate ``pairs(a, b)``."""
-    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(64)).cast("int"))
+    """Links among candidate ``pairs(a, b)``; a pivot's set travels once for each CHUNK of its partners."""
+    many = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(float(CHUNK))).cast("int").alias("parts"))
+    salted = pairs.join(many, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int"))
     members = salted.join(sets.withColumnRenamed("id", "b"), "b").select(F.col("a").alias("pivot"), "salt", F.lit(1).alias("role"), F.col("b").alias("id"), "keys")
-    pivots = salted.select("a", "salt").distinct().join(sets.withColumnRenamed("id", "a"), "a").select(F.col("a").alias("pivot"), "salt", F.lit(0).alias("role"), F.col("a").alias("id"), "keys")
+    pivots = many.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt")).join(sets.withColumnRenamed("id", "a"), "a").select(F.col("a").alias("pivot"), "salt", F.lit(0).alias("role"), F.col("a").alias("id"), "keys")
     dealt = members.unionByName(pivots).repartition("pivot", "salt").sortWithinPartitions("pivot", "salt", "role")
     return dealt.mapInArrow(_verify, "a long, b long")
 
 
+def _missing(na: str, nb: str) -> Column:
+    """Shared prefix shingles without which two sets can't link.
+
+    Behind the prefix that ends first in the global order lie need - shared
+    shingles of its set, so the overlap is at most the count plus that many.
+    """
+    need = lambda n: F.ceil(F.col(n) * NUM / DEN)
+    behind = lambda n: need(n) - F.least(F.lit(SHARED), need(n))
+    return F.ceil((F.col(na) + F.col(nb)) * NUM / (NUM + DEN)) - F.greatest(behind(na), behind(nb))
+
+
+def _counted(met: DataFrame) -> DataFrame:
+    """Pairs ``(a, b, na, nb)``, a row for each shingle their prefixes share, with the count ``c``."""
+    return met.groupBy("a", "b").agg(F.count("*").alias("c"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+
+
 def _residual(runs: DataFrame, labels: DataFrame) -> DataFrame:
     """All pairs of a run that lie in different components, without pairs inside its largest one."""
     lab = runs.join(labels.withColumnRenamed("component", "comp"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     by = lab.groupBy("token", "comp").agg(F.count("*").alias("k"))
     main = by.groupBy("token").agg(F.max(F.struct("k", "comp")).alias("m"), F.count("*").alias("c")).filter("c > 1").select("token", F.col("m.comp").alias("main"))
-    mixed = lab.join(main, "token")
-    rest = mixed.filter("comp <> main").select("token", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("comp").alias("cx"))
-    every = mixed.select("token", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("comp").alias("cy"), (F.col("comp") == F.col("main")).alias("is_main"))
+    mixed = cut(lab.join(main, "token"), "mixed")
+    # no pair shares more than the fewer of both sets' shingles in such runs
+    mixed = mixed.join(mixed.groupBy("id").agg(F.count("*").alias("most")), "id")
+    rest = mixed.filter("comp <> main").select("token", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("comp").alias("cx"), F.col("most").alias("mx"))
+    every = mixed.select("token", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("comp").alias("cy"), F.col("most").alias("my"), (F.col("comp") == F.col("main")).alias("is_main"))
     near = (F.col("nx") * DEN >= F.col("ny") * NUM) & (F.col("ny") * DEN >= F.col("nx") * NUM)
-    met = rest.join(every, "token").filter((F.col("cx") != F.col("cy")) & near & (F.col("is_main") | (F.col("x") < F.col("y"))))
-    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    met = rest.join(every, (rest["token"] == every["token"]) & (F.col("cx") != F.col("cy")) & near & (F.col("is_main") | (F.col("x") < F.col("y"))) & (F.least("mx", "my") >= _missing("nx", "ny")))
+    # a pair is met once for each shingle it shares, so its count is complete
+    first = F.col("x") < F.col("y")
+    pairs = _counted(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.when(first, F.col("nx")).otherwise(F.col("ny")).alias("na"), F.when(first, F.col("ny")).otherwise(F.col("nx")).alias("nb")))
+    return pairs.filter(F.col("c") >= _missing("na", "nb")).select("a", "b")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -306,42 +380,55 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     shared = cut(posted.repartition("token").sortWithinPartitions("token").mapInArrow(_shared, "token long, doc_id long, n long"), "shared")
     ids = facts.filter("fp is not null and doc_id is not null").select("doc_id", "fp").distinct().join(reps, "fp").select("doc_id", "rep")
     runs = shared.join(ids, "doc_id").select("token", F.col("rep").alias("id"), "n").distinct()
-    several = runs.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1").select("token")
-    runs = cut(runs.join(several, "token"), "runs")
+    several = lambda r: r.join(r.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1").select("token"), "token")
+    runs = cut(several(runs), "runs")
     drop(shared)
+    need = lambda c: F.ceil(c * NUM / DEN)
+    enough = runs.groupBy("id").agg(F.count("*").alias("c"), F.first("n").alias("n")).filter(F.col("c") >= F.least(F.lit(SHARED), need(need(F.col("n"))))).select("id")
+    fewer = cut(several(runs.join(enough, "id")), "runs")
+    drop(runs)
+    runs = fewer
     wide = np.log(DEN / NUM)
+    central = runs.join(runs.groupBy("id").agg(F.count("*").alias("held")), "id")  # a set that shares much is in the middle of its group
     stars = None
     for k, shift in enumerate((0.0, 0.5)):
-        named = runs.withColumn("class", F.floor(F.log("n") / wide + shift)).withColumn("turn", F.col("n") if not k else F.xxhash64("id"))
+        named = central.withColumn("class", F.floor(F.log("n") / wide + shift)).withColumn("turn", -F.col("held") if not k else F.xxhash64("id"))
         chief = named.groupBy("token", "class").agg(F.min(F.struct("turn", "id", "n")).alias("p"))
         met = named.join(chief, ["token", "class"]).filter("id <> p.id").filter((F.col("n") * DEN >= F.col("p.n") * NUM) & (F.col("p.n") * DEN >= F.col("n") * NUM))
-        part = met.select(F.col("p.id").alias("a"), F.col("id").alias("b"))
+        # shingles of runs with another pivot aren't counted here; pairs that this leaves out come up again in step 5
+        counted = _counted(met.select(F.col("p.id").alias("a"), F.col("id").alias("b"), F.col("p.n").alias("na"), F.col("n").alias("nb"))).filter(F.col("c") * 2 >= _missing("na", "nb"))
+        part = counted.groupBy("b").agg(F.max(F.struct("c", "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
         stars = part if stars is None else stars.unionByName(part)
-    involved = runs.select(F.col("id").alias("doc_id")).distinct()
-    sets = cut(src.join(involved, "doc_id", "left_semi").mapInArrow(_keyed(levels), "id long, keys array<long>").dropDuplicates(["id"]), "keys")
+    involved = runs.select("id").distinct()
+    sets = cut(src.mapInArrow(_keyed(levels, *_bitmap(involved, involved.count())), "id long, keys array<long>"), "keys")
     links = cut(_check(cut(stars.distinct(), "pairs"), sets), "links")
     labels = cut(connected_components(links), "labels")
-    links = links.unionByName(cut(_check(cut(_residual(runs, labels), "pairs"), sets), "links"))
-    labels = connected_components(links).withColumnsRenamed({"id": "rep", "component": "least"})
+    more = cut(_check(cut(_residual(runs, labels), "pairs"), sets), "links")
+    # links between components are few, whatever the number of their members
+    of = lambda c: labels.select(F.col("id").alias(c), F.col("component").alias(f"c{c}"))
+    between = more.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).distinct()
+    joined = cut(connected_components(between).select(F.col("id").alias("component"), F.col("component").alias("least")), "joined")
+    known = labels.select("id", "component").unionByName(joined.select(F.col("component").alias("id"), "component").join(labels.select("id"), "id", "left_anti").select("id", "component"))
+    labels = known.join(joined, "component", "left").select(F.col("id").alias("rep"), F.coalesce("least", "component").alias("least"))
     drop(sets)
     grouped = reps.join(labels, "rep", "left").select("fp", F.coalesce("least", "rep").alias("component"))
     return facts.join(grouped, "fp", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
 
 
 ORACLE = """
-with recursive w as (
+with recursive w as materialized (
   select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as ws from documents
-), s as (
+), s as materialized (
   select doc_id, case when len(ws) >= 5 then list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i+4], ' ')))
     when len(ws) > 0 then [array_to_string(ws, ' ')] else [] end as g from w
-), fp as (select doc_id, len(g) as n, md5(array_to_string(list_sort(g), '|')) as f from s),
-rep as (select f, min(doc_id) as rep from fp where n > 0 group by f),
-x as (select id, n, md5_number_lower(t) as t from (select s.doc_id as id, len(g) as n, unnest(g) as t from s join rep on s.doc_id = rep.rep)),
-common as (select t from x group by t having count(*) between 2 and 1000000),
-x2 as (select x.* from x join common using (t)),
+), fp as materialized (select doc_id, len(g) as n, md5(array_to_string(list_sort(g), '|')) as f from s),
+rep as materialized (select f, min(doc_id) as rep from fp where n > 0 group by f),
+x as materialized (select id, n, md5_number_lower(t) as t from (select s.doc_id as id, len(g) as n, unnest(g) as t from s join rep on s.doc_id = rep.rep)),
+common as materialized (select t from x group by t having count(*) between 2 and 1000000),
+x2 as materialized (select x.* from x join common using (t)),
 pr as (select a.id as a, b.id as b, any_value(a.n) as na, any_value(b.n) as nb, count(*) as i from x2 a join x2 b on a.t = b.t and a.id < b.id
   where 100 * a.n >= 80 * b.n and 100 * b.n >= 80 * a.n group by 1, 2),
-e as (select a, b from pr where 100 * i >= 80 * (na + nb - i)),
+e as materialized (select a, b from pr where 100 * i >= 80 * (na + nb - i)),
 both_ as (select a, b from e union select b, a from e),
 r(id, c) as (select rep, rep from rep union select b, c from r join both_ on r.id = both_.a),
 lab as (select id, min(c) as c from r group by id)
