@@ -15,8 +15,8 @@ for each length class; a member is checked against the pivot it shares most with
 only.  (5) Runs
 that still hold several components are then joined completely: all members
 outside a run's largest component against the run, so no link is lost and a
-group of near copies isn't paired with itself; pairs whose shared prefix
-shingles are too few to reach the overlap are dropped.  (6) Checks stream bounded chunks
+group of near copies isn't paired with itself; a pair leaves its part once, with
+the count of shared prefix shingles, and goes if they're too few for the overlap.  (6) Checks stream bounded chunks
 of sets through an implicit trie (sets in key order, shared prefixes counted
 once, subtrees pruned by remaining length).
 
@@ -34,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioforge.llm.arrow_text import keys64, mix64, slices, utf8, word_hashes, words
@@ -348,21 +348,81 @@ def _counted(met: DataFrame) -> DataFrame:
     return met.groupBy("a", "b").agg(F.count("*").alias("c"), F.first("na").alias("na"), F.first("nb").alias("nb"))
 
 
+def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of the runs of one part, counted before they leave: rows (main, token, id, n, comp, most) in (main, token) order."""
+    pairs: list[np.ndarray] = []
+    held = 0
+
+    def counted() -> Iterator[pa.RecordBatch]:
+        if pairs:
+            rows, c = np.unique(np.concatenate(pairs), axis=0, return_counts=True)
+            yield pa.RecordBatch.from_arrays([*(pa.array(rows[:, i]) for i in range(4)), pa.array(c.astype(np.int64))], names=["a", "b", "na", "nb", "c"])
+
+    def met(run: list[np.ndarray]) -> Iterator[np.ndarray]:
+        _, _, i, n, comp, most = (np.concatenate(c) for c in zip(*run, strict=True))
+        order = np.argsort(i, kind="stable")
+        i, n, comp, most = i[order], n[order], comp[order], most[order]
+        main = run[0][0][0]
+        rest = np.flatnonzero(comp != main)
+        for at in range(0, len(rest), 256):  # members outside the main component against all, a block at a time
+            r = rest[at : at + 256, None]
+            need = lambda k: -(-k * NUM // DEN)
+            behind = np.maximum(need(n[r]) - np.minimum(SHARED, need(n[r])), (need(n) - np.minimum(SHARED, need(n)))[None, :])
+            least = -(-(n[r] + n[None, :]) * NUM // (NUM + DEN))
+            ok = (comp[r] != comp[None, :]) & (n[r] * DEN >= n[None, :] * NUM) & (n[None, :] * DEN >= n[r] * NUM) & (np.minimum(most[r], most[None, :]) + behind >= least)
+            ok &= (comp[None, :] == main) | (i[r] < i[None, :])
+            x, y = np.nonzero(ok)
+            x = rest[at + x]
+            low, high = np.minimum(x, y), np.maximum(x, y)  # places follow the ids' order
+            if len(low):
+                yield np.stack((i[low], i[high], n[low], n[high]), axis=1)
+
+    run: list = []
+    key = None
+    for batch in batches:
+        cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        cut_at = np.concatenate(([0], np.flatnonzero((cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])) + 1, [len(cols[0])]))
+        for s, e in zip(cut_at[:-1].tolist(), cut_at[1:].tolist(), strict=True):
+            now = (cols[0][s], cols[1][s])
+            if key is not None and now != key:
+                for m in met(run):
+                    pairs.append(m)
+                    held += len(m)
+                    if held > 400_000:
+                        yield from counted()
+                        pairs, held = [], 0
+                run = []
+                if now[0] != key[0]:
+                    yield from counted()
+                    pairs, held = [], 0
+            key = now
+            run.append([c[s:e] for c in cols])
+    for m in met(run) if run else ():
+        pairs.append(m)
+        held += len(m)
+        if held > 400_000:
+            yield from counted()
+            pairs, held = [], 0
+    yield from counted()
+
+
 def _residual(runs: DataFrame, labels: DataFrame) -> DataFrame:
-    """All pairs of a run that lie in different components, without pairs inside its largest one."""
-    lab = runs.join(labels.withColumnRenamed("component", "comp"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    by = lab.groupBy("token", "comp").agg(F.count("*").alias("k"))
-    main = by.groupBy("token").agg(F.max(F.struct("k", "comp")).alias("m"), F.count("*").alias("c")).filter("c > 1").select("token", F.col("m.comp").alias("main"))
-    mixed = cut(lab.join(main, "token"), "mixed")
+    """All pairs of a run that lie in different components, without pairs inside its largest one.
+
+    Runs are dealt by their largest component, so the shingles that a pair shares
+    meet in one task and leave it as one row; a component with many rows is dealt
+    in parts by shingle, where a pair leaves each part once.
+    """
+    token = Window.partitionBy("token")
+    lab = runs.join(labels.withColumnRenamed("component", "comp"), "id", "left").withColumn("comp", F.coalesce("comp", "id")).repartition("token")
+    lab = lab.withColumn("k", F.count("*").over(Window.partitionBy("token", "comp"))).withColumn("main", F.max(F.struct("k", "comp")).over(token)["comp"]).withColumn("least", F.min("comp").over(token)).withColumn("top", F.max("comp").over(token))
+    mixed = cut(lab.filter("least <> top").select("main", "token", "id", "n", "comp"), "mixed")
     # no pair shares more than the fewer of both sets' shingles in such runs
-    mixed = mixed.join(mixed.groupBy("id").agg(F.count("*").alias("most")), "id")
-    rest = mixed.filter("comp <> main").select("token", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("comp").alias("cx"), F.col("most").alias("mx"))
-    every = mixed.select("token", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("comp").alias("cy"), F.col("most").alias("my"), (F.col("comp") == F.col("main")).alias("is_main"))
-    near = (F.col("nx") * DEN >= F.col("ny") * NUM) & (F.col("ny") * DEN >= F.col("nx") * NUM)
-    met = rest.join(every, (rest["token"] == every["token"]) & (F.col("cx") != F.col("cy")) & near & (F.col("is_main") | (F.col("x") < F.col("y"))) & (F.least("mx", "my") >= _missing("nx", "ny")))
-    # a pair is met once for each shingle it shares, so its count is complete
-    first = F.col("x") < F.col("y")
-    pairs = _counted(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.when(first, F.col("nx")).otherwise(F.col("ny")).alias("na"), F.when(first, F.col("ny")).otherwise(F.col("nx")).alias("nb")))
+    most = mixed.groupBy("id").agg(F.count("*").alias("most"))
+    parts = mixed.groupBy("main").agg(F.ceil(F.count("*") / F.lit(100_000.0)).alias("parts"))
+    dealt = mixed.join(most, "id").filter(F.col("most") >= F.least(F.lit(SHARED), F.ceil(F.ceil(F.col("n") * NUM / DEN) * NUM / DEN))).join(parts, "main").withColumn("part", F.pmod(F.xxhash64("token"), F.col("parts")))
+    dealt = dealt.repartition("main", "part").sortWithinPartitions("main", "token").select("main", "token", "id", "n", "comp", "most")
+    pairs = dealt.mapInArrow(_cross, "a long, b long, na long, nb long, c long").groupBy("a", "b").agg(F.sum("c").alias("c"), F.first("na").alias("na"), F.first("nb").alias("nb"))
     return pairs.filter(F.col("c") >= _missing("na", "nb")).select("a", "b")
 
 
@@ -379,22 +439,22 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     posted = src.mapInArrow(_postings(levels), "token long, doc_id long, n long")
     shared = cut(posted.repartition("token").sortWithinPartitions("token").mapInArrow(_shared, "token long, doc_id long, n long"), "shared")
     ids = facts.filter("fp is not null and doc_id is not null").select("doc_id", "fp").distinct().join(reps, "fp").select("doc_id", "rep")
-    runs = shared.join(ids, "doc_id").select("token", F.col("rep").alias("id"), "n").distinct()
-    several = lambda r: r.join(r.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1").select("token"), "token")
-    runs = cut(several(runs), "runs")
+    # dealt by shingle once; what follows needs no other exchange
+    several = lambda r: r.withColumn("c", F.count("*").over(Window.partitionBy("token"))).filter("c > 1").drop("c")
+    runs = cut(several(shared.join(ids, "doc_id").select("token", F.col("rep").alias("id"), "n").repartition("token").dropDuplicates(["token", "id"])), "runs")
     drop(shared)
     need = lambda c: F.ceil(c * NUM / DEN)
-    enough = runs.groupBy("id").agg(F.count("*").alias("c"), F.first("n").alias("n")).filter(F.col("c") >= F.least(F.lit(SHARED), need(need(F.col("n"))))).select("id")
-    fewer = cut(several(runs.join(enough, "id")), "runs")
+    enough = runs.groupBy("id").agg(F.count("*").alias("held"), F.first("n").alias("m")).filter(F.col("held") >= F.least(F.lit(SHARED), need(need(F.col("m"))))).select("id", "held")
+    fewer = cut(several(runs.join(enough, "id").repartition("token")), "runs")
     drop(runs)
     runs = fewer
     wide = np.log(DEN / NUM)
-    central = runs.join(runs.groupBy("id").agg(F.count("*").alias("held")), "id")  # a set that shares much is in the middle of its group
+    dealt = runs.repartition("token")
     stars = None
-    for k, shift in enumerate((0.0, 0.5)):
-        named = central.withColumn("class", F.floor(F.log("n") / wide + shift)).withColumn("turn", -F.col("held") if not k else F.xxhash64("id"))
-        chief = named.groupBy("token", "class").agg(F.min(F.struct("turn", "id", "n")).alias("p"))
-        met = named.join(chief, ["token", "class"]).filter("id <> p.id").filter((F.col("n") * DEN >= F.col("p.n") * NUM) & (F.col("p.n") * DEN >= F.col("n") * NUM))
+    for k, shift in enumerate((0.0, 0.5)):  # a set that shares much is in the middle of its group: first pivots are such
+        turn = -F.col("held") if not k else F.xxhash64("id")
+        named = dealt.withColumn("class", F.floor(F.log("n") / wide + shift)).withColumn("p", F.min(F.struct(turn.alias("turn"), "id", "n")).over(Window.partitionBy("token", "class")))
+        met = named.filter("id <> p.id").filter((F.col("n") * DEN >= F.col("p.n") * NUM) & (F.col("p.n") * DEN >= F.col("n") * NUM))
         # shingles of runs with another pivot aren't counted here; pairs that this leaves out come up again in step 5
         counted = _counted(met.select(F.col("p.id").alias("a"), F.col("id").alias("b"), F.col("p.n").alias("na"), F.col("n").alias("nb"))).filter(F.col("c") * 2 >= _missing("na", "nb"))
         part = counted.groupBy("b").agg(F.max(F.struct("c", "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
@@ -403,7 +463,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     sets = cut(src.mapInArrow(_keyed(levels, *_bitmap(involved, involved.count())), "id long, keys array<long>"), "keys")
     links = cut(_check(cut(stars.distinct(), "pairs"), sets), "links")
     labels = cut(connected_components(links), "labels")
-    more = cut(_check(cut(_residual(runs, labels), "pairs"), sets), "links")
+    more = cut(_check(cut(_residual(runs.select("token", "id", "n"), labels), "pairs"), sets), "links")
     # links between components are few, whatever the number of their members
     of = lambda c: labels.select(F.col("id").alias(c), F.col("component").alias(f"c{c}"))
     between = more.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).distinct()
