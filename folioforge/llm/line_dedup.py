@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from folioforge.plans.lineage import broadcast_if_small, cut
 
-MAX_RATIO, MIN_PAGES = 0.05, 3
+MAX_RATIO, MIN_PAGES = 0.003, 3
 #: Boilerplate lines up to which the list is broadcast (about 50 bytes each).
 BROADCAST_ROWS = 200_000
 

@@ -58,6 +58,13 @@ def test_line_dedup(docs, nothing, rows):
     assert line_dedup.drop_boilerplate(docs).select("score", "token", "rank").count() == len(ROWS)
 
 
+def test_line_dedup_in_a_large_host(spark):
+    passage = " ".join(f"word{k}" for k in range(60))
+    pages = [(k, f"{'often' if k < 10 else passage if k < 14 else 'seldom' if k < 16 else 'lone %d' % k}\nown {k}", "a") for k in range(1000)]
+    got = {r.doc_id: r.n_dropped for r in line_dedup.line_dedup(spark.createDataFrame(pages, "doc_id long, text string, source string")).collect()}
+    assert [got[k] for k in (0, 9, 10, 13, 14, 15, 16)] == [1, 1, 1, 1, 0, 0, 0]  # 1 %, 0.4 % and two of the pages
+
+
 def test_mixing(docs, nothing):
     got = mixing.mix(docs).collect()
     assert {r.doc_id for r in got} <= {1, 4, 5, 7, 8} and all(r.n_tokens > 0 for r in got)
