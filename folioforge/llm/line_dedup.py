@@ -12,7 +12,7 @@ host nor a hot line meets in one task.  A host has at most (mean lines of a
 page / max_ratio) boilerplate lines, yet hosts grow with the data: the list is
 broadcast only after a bounded count has shown it to be small; beyond that,
 lines are joined with it by (host, hash) and only the numbers of the dropped
-lines travel back to the pages.
+lines travel back to the pages, which are known by key, host and text.
 
 Defined cases: a null host is a host of its own; a null text stays null with no
 lines; an empty text stays empty; repeated rows are pages of their own; other
@@ -64,14 +64,17 @@ def drop_boilerplate(
         name = lambda x: F.concat_ws(":", _key(_trim(x))["h"], _key(_trim(x))["g"])
         kept = F.when(F.col("_bad").isNull(), lines).otherwise(F.filter(lines, lambda x: (_trim(x) == "") | ~F.map_contains_key("_bad", name(x))))
         return held.withColumn("_n_lines", n_lines).withColumn("_kept", kept).withColumn("_n_dropped", F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.size(lines) - F.size("_kept")).cast("long")).withColumn(text, F.array_join("_kept", "\n")).drop("_host", "_bad", "_kept")
-    numbered = pages.select(F.col(key).alias("_id"), F.col(host).cast("string").alias("_host"), F.posexplode(F.transform(lines, _trim)).alias("_pos", "_line")).filter("_line <> ''")
-    numbered = numbered.select("_id", "_host", "_pos", _key(F.col("_line")).alias("k")).select("_id", "_host", "_pos", "k.*")
+    # a page is known by its key, host and text: keys may be null or repeated, and equal rows drop equal lines
+    page = [F.col(key).alias("_id"), F.col(host).cast("string").alias("_host"), F.xxhash64(F.col(text)).alias("_t"), F.xxhash64(F.lit("page"), F.col(text)).alias("_u")]
+    numbered = pages.select(*page, F.posexplode(F.transform(lines, _trim)).alias("_pos", "_line")).filter("_line <> ''")
+    numbered = numbered.select("_id", "_host", "_t", "_u", "_pos", _key(F.col("_line")).alias("k")).select("_id", "_host", "_t", "_u", "_pos", "k.*")
     a, b = numbered.alias("a"), found.alias("b")
     hits = a.join(b, F.col("a._host").eqNullSafe(F.col("b._host")) & (F.col("a.h") == F.col("b.h")) & (F.col("a.g") == F.col("b.g")), "left_semi")
-    gone = hits.groupBy("_id").agg(F.collect_set("_pos").alias("_gone"))  # at most the lines of one page
-    held = pages.join(gone, F.col(key) == F.col("_id"), "left")
+    gone = hits.groupBy("_id", "_host", "_t", "_u").agg(F.collect_set("_pos").alias("_gone"))  # at most the lines of one page
+    same = F.col(key).eqNullSafe(F.col("_id")) & F.col(host).cast("string").eqNullSafe(F.col("_host")) & (F.xxhash64(F.col(text)) == F.col("_t")) & (F.xxhash64(F.lit("page"), F.col(text)) == F.col("_u"))
+    held = pages.join(gone, same, "left")
     kept = F.when(F.col("_gone").isNull(), lines).otherwise(F.filter(lines, lambda x, i: ~F.array_contains("_gone", i)))
-    return held.withColumn("_n_lines", n_lines).withColumn("_kept", kept).withColumn("_n_dropped", F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.size(lines) - F.size("_kept")).cast("long")).withColumn(text, F.array_join("_kept", "\n")).drop("_id", "_gone", "_kept")
+    return held.withColumn("_n_lines", n_lines).withColumn("_kept", kept).withColumn("_n_dropped", F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.size(lines) - F.size("_kept")).cast("long")).withColumn(text, F.array_join("_kept", "\n")).drop("_id", "_host", "_t", "_u", "_gone", "_kept")
 
 
 def line_dedup(docs: DataFrame, **options) -> DataFrame:

@@ -65,6 +65,13 @@ def test_line_dedup_in_a_large_host(spark):
     assert [got[k] for k in (0, 9, 10, 13, 14, 15, 16)] == [1, 1, 1, 1, 0, 0, 0]  # 1 %, 0.4 % and two of the pages
 
 
+@pytest.mark.parametrize("rows", [10, 0])
+def test_line_dedup_of_null_and_repeated_ids(spark, rows):
+    pages = [(None, "menu\nfirst", "a"), (None, "second\nmenu", "a"), (7, "menu\nthird", "a"), (7, "fourth\nmenu", "a"), (7, "fifth\nsixth", "b"), (7, "fifth\nsixth", None), (7, "menu\nthird", "a")]
+    out = line_dedup.drop_boilerplate(spark.createDataFrame(pages, "doc_id long, text string, source string"), max_ratio=0.5, broadcast_rows=rows).collect()
+    assert sorted((r.text, r._n_dropped) for r in out) == [("fifth\nsixth", 0), ("fifth\nsixth", 0), ("first", 1), ("fourth", 1), ("second", 1), ("third", 1), ("third", 1)]
+
+
 def test_mixing(docs, nothing):
     got = mixing.mix(docs).collect()
     assert {r.doc_id for r in got} <= {1, 4, 5, 7, 8} and all(r.n_tokens > 0 for r in got)
