@@ -5,7 +5,7 @@ repeats three times or more, or when letters stand alone one after another.  Its
 character lattice offers every reading of each position: the character as it
 is, the letters that leetspeak writes so, a run of a letter as one or two of it,
 separators as nothing, and for spaced letters a word break.  Viterbi decoding
-under a character 4-gram language model, learned from the sample's own words,
+under a character 4-gram language model, counted over the words of all documents,
 picks the reading; reading a character otherwise costs a channel penalty.  All
 other tokens have one reading and pass as they are.
 
@@ -24,7 +24,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +38,8 @@ PER_CLASS, FOLDS, HELD_OUT, THRESHOLD = 1500, 3, 1, 0.7
 FEATURES, LEAST_DOCS, SHORTEST, LONGEST = 3000, 3, 3, 8
 #: Words whose features a task keeps.
 CACHE = 600_000
+#: Distinct words or n-grams that a task counts before it passes the counts on.
+HELD_COUNTS = 200_000
 # Letters that leetspeak writes as a digit or sign.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c"}
 SEPARATES = ".-_*~,'`^"
@@ -45,17 +47,25 @@ ORDER = 4
 SUBSTITUTE, COLLAPSE, DROP, BREAK, UNCHANGED = -1.0, -0.7, -0.2, -1.5, -6.0
 
 
+def grams_of(words: Iterable[tuple[str, int]]) -> Counter:
+    """Counts of the n-grams of 1 to ORDER characters; a word weighs 1 + log2 of its count."""
+    out: Counter = Counter()
+    for w, n in words:
+        n = n.bit_length()
+        s = " " * (ORDER - 1) + w + " "
+        for i in range(ORDER - 1, len(s)):
+            for k in range(ORDER):
+                out[s[i - k : i + 1]] += n
+    return out
+
+
 class Letters:
     """Character n-gram model with interpolated shorter contexts; words are padded with a blank."""
 
-    def __init__(self, words: dict[str, int]):
+    def __init__(self, words: dict[str, int], grams: dict[str, int] | None = None):
         self.count: list[Counter] = [Counter() for _ in range(ORDER + 1)]
-        for w, n in words.items():
-            n = 1 + int(math.log2(n))
-            s = " " * (ORDER - 1) + w + " "
-            for i in range(ORDER - 1, len(s)):
-                for k in range(ORDER):
-                    self.count[k + 1][s[i - k : i + 1]] += n
+        for g, n in (grams_of(words.items()) if grams is None else grams).items():
+            self.count[len(g)][g] = n
         self.context: list[Counter] = [Counter() for _ in range(ORDER + 1)]
         for k in range(1, ORDER + 1):
             for g, n in self.count[k].items():
@@ -261,6 +271,51 @@ def scores(texts: pa.Array, model: Model, kept: dict, seen: set, hot: dict) -> l
     return out
 
 
+def _counts(counter: Counter) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(counter), pa.string()), pa.array(list(counter.values()), pa.int64())], names=["s", "n"])
+
+
+def count_letters(docs: DataFrame) -> Letters:
+    """The character model of all documents: words without digits are counted, then their n-grams; only n-grams come to the driver."""
+
+    def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Counter = Counter()
+
+        def told() -> pa.RecordBatch:
+            out: Counter = Counter()
+            for w, n in held.items():
+                if w.isalpha() or not any(48 <= x < 58 for x in w):
+                    out[w.decode(errors="replace")] += n
+            held.clear()
+            return _counts(out)
+
+        for batch in batches:
+            raw, off = utf8(batch.column(0))
+            for i, j in slices(off):
+                b, _ = fold(raw[off[i] : off[j]], off[i : j + 1] - off[i])
+                held.update(b.tobytes().split())
+                if len(held) > HELD_COUNTS:
+                    yield told()
+        yield told()
+
+    def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Counter = Counter()
+        for batch in batches:
+            words, counts = batch.column(0), batch.column(1)
+            for i in range(0, batch.num_rows, 1000):
+                held.update(grams_of(zip(words.slice(i, 1000).to_pylist(), counts.slice(i, 1000).to_pylist(), strict=True)))
+                if len(held) > HELD_COUNTS:
+                    yield _counts(held)
+                    held.clear()
+        yield _counts(held)
+
+    src = docs.select(F.col("text").cast("string").alias("text")).filter("text is not null")
+    total = F.sum("n").alias("n")
+    words = src.mapInArrow(count_words, "s string, n long").groupBy("s").agg(total)
+    grams = words.mapInArrow(count_grams, "s string, n long").groupBy("s").agg(total).toArrow()
+    return Letters({}, dict(zip(grams.column("s").to_pylist(), grams.column("n").to_pylist(), strict=True)))
+
+
 def fit(docs: DataFrame, labels: DataFrame, per_class_rows: int = PER_CLASS) -> Model | None:
     """Learn from a bounded sample of labelled documents that aren't held out."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("y")).filter("doc_id is not null and y in (0, 1)")
@@ -272,13 +327,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class_rows: int = PER_CLASS) ->
     if len(set(y.tolist())) < 2:
         return None
     texts = got.column("text").combine_chunks()
-    plain = Letters({})
     raw, off = utf8(texts)
-    whole: Counter = Counter()
-    for i, j in slices(off):
-        b, _ = fold(raw[off[i] : off[j]], off[i : j + 1] - off[i])
-        whole.update(b.tobytes().split())
-    letters = Letters({w.decode(errors="replace"): n for w, n in whole.items() if not any(48 <= x < 58 for x in w)}) if whole else plain
+    letters = count_letters(docs)
     vocab: dict[bytes, int] = {}
     held = [np.unique(np.array([vocab.setdefault(w, len(vocab)) for w in own], np.int32), return_counts=True) for own in texts_of(raw, off, letters, {})]
     names = list(vocab)

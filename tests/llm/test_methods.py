@@ -234,6 +234,21 @@ def test_viterbi_is_the_best_reading():
         assert m.restore(token) == max(readings, key=cost)
 
 
+def test_letters_are_counted_over_all_documents(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "HELD_COUNTS", 3)
+    rows = [(k, f"good day number{k % 7} the Street " + ("you fool" if k % 2 else "thank you"), "a") for k in range(40)] + [(100 + k, "blorptang, blorptang\nÄrger", "a") for k in range(9)] + [(None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    plain = {}
+    for _, text, _ in rows:
+        for w in (text or "").lower().replace(",", " ").split():
+            if not any(c in "0123456789" for c in w):
+                plain[w] = plain.get(w, 0) + 1
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, toxic int")
+    letters = toxicity.fit(docs, labels).letters
+    assert letters.count == toxicity.Letters(plain).count and letters.context == toxicity.Letters(plain).context
+    assert letters.restore("bl0rpt4ng") == "blorptang"  # in no labelled document
+
+
 # ---------------------------------------------------------------- quality
 
 
