@@ -10,7 +10,8 @@ leak.  Nothing but the lemma filters, so every text and every item is covered.
 
 Texts are compared folded: Latin letters lower-cased, everything but letters
 and digits one space.  The edit budget is 6 % of the item's folded length (less
-where the bound would fall below one).  Items shorter than q take no part.
+where the bound would fall below one).  Items shorter than q have no q-grams: they
+are found by runs of words, at word bounds and without edits.
 
 The benchmark is the query set: it goes to the executors in blocks of a bounded
 number of items and characters, each a pass over the documents.
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm.arrow_text import fold, mix64, slices, utf8
+from folioforge.llm.arrow_text import fold, mix64, slices, utf8, word_hashes, words
 
 Q, EDIT_RATE = 12, 0.06
 #: Items and characters of one block.
@@ -49,6 +50,15 @@ def _grams(b: np.ndarray, q: int = Q) -> np.ndarray:
     return x[:n] * np.uint64(0x9E3779B97F4A7C15) + (x[q - 8 : q - 8 + n] ^ (x[q - 8 : q - 8 + n] >> np.uint64(29))) * np.uint64(0xC2B2AE3D27D4EB4F)
 
 
+def _runs(h: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of the runs of k words, of the words' hashes."""
+    n = max(0, len(h) - k + 1)
+    x = h[:n]
+    for j in range(1, k):
+        x = mix64(x * np.uint64(0x9E3779B97F4A7C15) + h[j : n + j])
+    return x
+
+
 class Index:
     """q-grams of a block of items, by hash."""
 
@@ -56,9 +66,12 @@ class Index:
         raw, off = fold(*utf8(pa.array(texts, pa.string())))
         self.q, self.ids, self.items, self.budget = q, [], [], []
         hashes, item, at = [], [], []
+        self.short: dict[bytes, list[int]] = {}
         for k, i in enumerate(ids):
             b = raw[off[k] : off[k + 1] - 1]
             if len(b) < q:
+                if len(b):
+                    self.short.setdefault(b.tobytes(), []).append(i)
                 continue
             g = _grams(b, q)
             hashes.append(g)
@@ -76,6 +89,11 @@ class Index:
         self.first = np.append(first, len(h))
         self.item = np.concatenate(item)[order] if item else np.zeros(0, np.int64)
         self.at = np.concatenate(at)[order] if at else np.zeros(0, np.int64)
+        self.runs: dict[int, list[int]] = {}  # hashes of the short items, by their words
+        for x in self.short:
+            b = np.frombuffer(x, np.uint8)
+            k = x.count(b" ") + 1
+            self.runs.setdefault(k, []).append(int(_runs(word_hashes(b, *words(b, np.array([0, len(b)]))[:2]), k)[0]))
         self.bitmap = np.zeros(1 << _BITS, bool)
         self.bitmap[(mix64(self.hash) >> np.uint64(64 - _BITS)).astype(np.int64)] = True
 
@@ -127,8 +145,31 @@ def banded_edits(item: bytes, text: bytes, low: int, width: int) -> tuple[int, i
     return int(now[k]), low + len(item) + k
 
 
+def _short_leaks(b: np.ndarray, off: np.ndarray, index: Index) -> list[tuple[int, int, int, int, int]]:
+    """The first place of each item shorter than q in each text; such items share no q-grams."""
+    if not index.short:
+        return []
+    starts, ends, first = words(b, off)
+    h = word_hashes(b, starts, ends)
+    place: dict[tuple[int, bytes], int] = {}
+    for k, hashes in index.runs.items():
+        p = np.flatnonzero(np.isin(_runs(h, k), np.array(hashes, np.uint64)))
+        text = np.searchsorted(first, p, "right") - 1
+        ok = p + k <= first[text + 1]
+        p, text = p[ok], text[ok]
+        for t, a, z in zip(text.tolist(), starts[p].tolist(), ends[p + k - 1].tolist(), strict=True):
+            x = b[a:z].tobytes()
+            if x in index.short:
+                place.setdefault((t, x), z - int(off[t]))
+    return [(t, i, 0, 0, end) for (t, x), end in place.items() for i in index.short[x]]
+
+
 def find_leaks(b: np.ndarray, off: np.ndarray, index: Index) -> list[tuple[int, int, int, int, int]]:
     """(text number, item id, edits, shared q-grams, end in the folded text), the best band of each text and item."""
+    return _short_leaks(b, off, index) + _long_leaks(b, off, index)
+
+
+def _long_leaks(b: np.ndarray, off: np.ndarray, index: Index) -> list[tuple[int, int, int, int, int]]:
     if not len(index.ids) or len(b) < index.q:
         return []
     text, item, diagonal = index.hits(b, off)

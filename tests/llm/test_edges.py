@@ -78,6 +78,14 @@ def test_mixing(docs, nothing):
     assert mixing.mix(nothing).count() == 0
 
 
+def test_decontamination_of_short_items(spark):
+    docs = spark.createDataFrame([(1, "So: Tiny,  thing!"), (2, "tinything and tiny"), (3, "thing tiny"), (4, "x tiny thing tiny thing"), (5, None), (None, "É 7")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "tiny thing"), (2, "é 7"), (3, "ny th"), (4, "?!"), (5, "Tiny thing.")], "item_id long, text string")
+    got = sorted((r.doc_id or 0, r.item_id, r.edits, r.shared_qgrams, r.end_at) for r in decontam.contaminated(docs, items).collect())
+    assert got == [(0, 2, 0, 0, 4), (1, 1, 0, 0, 13), (1, 5, 0, 0, 13), (4, 1, 0, 0, 12), (4, 5, 0, 0, 12)]
+    assert sorted(r.doc_id for r in decontam.keep_clean(docs, items).collect()) == [2, 3, 5]
+
+
 def test_decontamination(docs, nothing, benchmark, spark):
     got = {(r.doc_id, r.item_id, r.edits) for r in decontam.contaminated(docs, benchmark).collect()}
     assert got == {(1, 1, 0), (5, 1, 0), (None, 1, 0)}
