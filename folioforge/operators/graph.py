@@ -38,7 +38,8 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """``edges(a, b)`` of long ids -> ``(id, component)``; component is the least id.
 
     Nodes without an edge to another node are not returned.  Null ends and
-    loops are ignored; repeated edges count once.  No edges give no rows.
+    loops are ignored; repeated edges count once.  No edges give no rows.  The
+    result is a table that the caller may ``drop``.
     """
     clean = lambda d: d.filter("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     now = cut(clean(edges), "cc")
@@ -55,4 +56,6 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     top = now.select(F.col("b").alias("id")).distinct().select("id", F.col("id").alias("component"))
-    return now.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(top)
+    out = cut(now.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(top), "components")
+    drop(now)
+    return out
