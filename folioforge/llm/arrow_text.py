@@ -16,6 +16,11 @@ from pyspark.sql import DataFrame
 SLICE = 1 << 21
 
 
+def release() -> None:
+    """Give the memory that a task has freed back to the system; Python workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string array; a null text is empty."""
     if column.null_count:

@@ -1,29 +1,38 @@
-"""N-gram Jaccard join on 5-word shingles by a prefix tree over globally ordered sets.
+"""N-gram Jaccard join on 5-word shingles by prefix trees over globally ordered sets.
 
 Semantics.  Words are runs without ASCII white space, A-Z lower-cased.  A set
 holds the distinct 5-word shingles of a text (a shorter text is one shingle).
 Two documents link when ``100 * |A and B| >= 80 * |A or B|``; the result has each
 document's set size and the least ``doc_id`` that links reach.
 
-Plan.  (1) One pass hashes shingles, fingerprints each set and counts shingles
-in a fixed-width sketch, which covers all rows; exact copies are grouped by
-fingerprint, never paired.  (2) The global order is (estimated frequency, hash),
-rare first.  Each set posts the prefix that any partner must share several
-shingles with.  Copies met again in a task post nothing.  (3) Postings are dealt by
-shingle; single ones are dropped while streaming, then sets left with too few.  (4) Each run elects one pivot
-for each length class; a member is checked against the pivot it shares most with
-only.  (5) Runs
-that still hold several components are then joined completely: all members
-outside a run's largest component against the run, so no link is lost and a
-group of near copies isn't paired with itself; a pair leaves its part once, with
-the count of shared prefix shingles, and goes if they're too few for the overlap.  (6) Checks stream bounded chunks
-of sets through an implicit trie (sets in key order, shared prefixes counted
-once, subtrees pruned by remaining length).
+The join is ``Trie``: the sets of a part are stored in the global order (rare
+shingles first) as a tree, a query walks it once for all sets that share a
+path, and leaves a subtree as soon as the overlap so far plus the most that can
+follow is below what the subtree's smallest set needs.  Only links between
+components that the part hasn't joined yet leave it, so what it gives out grows
+with its sets and not with their pairs.
+
+Plan.  (1) One pass fingerprints each set, counts shingles in a fixed-width
+sketch that covers all rows, and takes each set's least shingle under two seeded
+orders.  Exact copies are one class from here on.  (2) First deal: classes go to
+tries by those two shingles; this finds most links cheaply, but not all.
+(3) Every class posts the prefix that any partner must share several shingles
+with; postings are dealt by shingle, those of one class only are dropped while
+streaming, then classes with too few.  (4) Second deal, which makes the result
+complete: a shingle whose classes lie in more than one component sends them to
+the trie of the largest of these.  There all classes outside that component
+query, so any link that is still missing is found: its sets share such a shingle.
+
+Skew.  A part holds about ``PART`` keys; a larger group is split by hash, and
+then queries (first deal: the group's leader) visit each of its parts.
 
 Defined cases: null or blank text gives the empty set, size 0, linked with
 nothing; repeated rows link to themselves; a null ``doc_id`` takes no part in
-links and returns a null component; other columns are ignored; an empty table
-gives no rows.  ``doc_id`` is otherwise taken to identify a text.
+links and returns a null component; very long texts are shingled whole; sets of
+the threshold's exact similarity link; other columns are ignored; an empty table
+gives no rows.  ``doc_id`` is otherwise taken to identify a text.  Shingles and
+sets are known by 64-bit hashes (of 10^9 different sets, two would be taken for
+one with a chance of about 3 %).
 """
 
 from __future__ import annotations
@@ -37,19 +46,27 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioforge.llm.arrow_text import keys64, mix64, slices, utf8, word_hashes, words
+from folioforge.llm.arrow_text import keys64, mix64, release, slices, utf8, word_hashes, words
 from folioforge.operators.graph import connected_components
-from folioforge.plans.lineage import cut, drop
+from folioforge.plans.lineage import broadcast_if_small, cut, drop
 
 #: Sketch width and the counters of one block; both fixed, whatever the input.
 WIDTH, BLOCK = 1 << 22, 1 << 14
 #: Shingles that the longer prefixes of linked sets must share (the l-prefix scheme), where sets are large enough.
 SHARED = 6
-#: Most bits of the bitmap of ids whose sets are wanted.
-MOST_BITS = 1 << 30
-#: Sets in one chunk of a trie.
-CHUNK = 2048
+#: Keys that one trie holds, about.
+PART = 1 << 20
+#: Bytes of text shingled at once.
+SLICE = 1 << 19
+#: Most bits of a Bloom filter of wanted ids (16 MB); fuller filters only let more sets through to the exact joins.
+MOST_BITS = 1 << 27
+#: Rows up to which a side is broadcast.
+BROADCAST_ROWS = 200_000
 NUM, DEN = 80, 100
+#: Sets of fewer shingles link only with their copies.
+SMALLEST = 4
+#: Seeds of the first deal's two orders.
+SEEDS = (np.uint64(0x8F1BBCDCBFA53E0B), np.uint64(0x27D4EB2F165667C5))
 
 
 def _need(n: int) -> int:
@@ -57,14 +74,10 @@ def _need(n: int) -> int:
     return -(-n * NUM // DEN)
 
 
-def _overlap(a: int, b: int) -> int:
-    """Least overlap of two linked sets: DEN*i >= NUM*(a+b-i)."""
-    return -(-NUM * (a + b) // (NUM + DEN))
-
-
-def _least_shared(n: int) -> int:
-    """Shingles that a set of n shares at least with any partner's prefix; partners have at least _need(n)."""
-    return min(SHARED, _need(_need(n)))
+def _least_shared(n: Column) -> Column:
+    """Shingles that a set of n shares at least with any partner's prefix; partners have at least need(n)."""
+    need = lambda c: F.ceil(c * NUM / DEN)
+    return F.least(F.lit(SHARED), need(need(n)))
 
 
 def _prefix(n: int) -> int:
@@ -72,11 +85,14 @@ def _prefix(n: int) -> int:
     return n - _need(n) + min(SHARED, _need(n))
 
 
+# ---------------------------------------------------------------- sets
+
+
 def shingle_sets(column: pa.Array, size: int = 5) -> Iterator[np.ndarray]:
     """Sorted distinct shingle hashes of each text."""
     raw_all, off_all = utf8(column)
     mult = keys64(size, 99)
-    for i, j in slices(off_all):
+    for i, j in slices(off_all, SLICE):
         raw, off = raw_all[off_all[i] : off_all[j]], off_all[i : j + 1] - off_all[i]
         starts, ends, first = words(raw, off)
         h = word_hashes(raw, starts, ends)
@@ -93,29 +109,55 @@ def shingle_sets(column: pa.Array, size: int = 5) -> Iterator[np.ndarray]:
                 yield np.zeros(0, np.uint64)
 
 
+def class_of(s: np.ndarray) -> int:
+    """The fingerprint of a set, by which exact copies are one class."""
+    return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
+
+
+def least_shingle(s: np.ndarray, k: int) -> int:
+    """The least shingle of a set under the k-th seeded order."""
+    return int(mix64(s ^ SEEDS[k]).min().astype(np.int64))
+
+
+def ordered_keys(s: np.ndarray, levels: np.ndarray) -> np.ndarray:
+    """Keys whose integer order is the global order: estimated frequency, then hash."""
+    q = levels[(s >> np.uint64(42)).astype(np.int64)].astype(np.uint64)
+    return np.sort((q << np.uint64(57)) | (s >> np.uint64(7))).astype(np.int64)
+
+
+FACTS = "doc_id long, n long, class long, first long, second long, block int, counts binary"
+
+
 def _pass_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sketch = np.zeros(WIDTH, np.int64)
-    names = ["doc_id", "n", "fp", "block", "counts"]
-    types = [pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary()]
+    """Facts of each set, and at the end the task's part of the sketch in compressed blocks."""
+    sketch = np.zeros(WIDTH, np.uint32)
+    types = [pa.int64()] * 5 + [pa.int32(), pa.binary()]
+    names = ["doc_id", "n", "class", "first", "second", "block", "counts"]
+
+    def add(held: list[np.ndarray]) -> None:
+        at, many = np.unique(np.concatenate(held), return_counts=True)
+        sketch[at] += many.astype(np.uint32)
+
     for batch in batches:
-        n, fp, held, kept = [], [], [], 0
+        facts: list[tuple] = []
+        held, kept = [], 0
         for s in shingle_sets(batch.column(1)):
-            n.append(len(s))
-            fp.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
+            facts.append((len(s), class_of(s), least_shingle(s, 0), least_shingle(s, 1)) if len(s) else (0, None, None, None))
             held.append((s >> np.uint64(42)).astype(np.int32))
             kept += len(s)
-            if kept > 1 << 20:
-                sketch += np.bincount(np.concatenate(held), minlength=WIDTH)
+            if kept > 1 << 18:
+                add(held)
                 held, kept = [], 0
-        if held:
-            sketch += np.bincount(np.concatenate(held), minlength=WIDTH)
-        k = len(n)
-        if k:
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n, types[1]), pa.array(fp, types[2]), pa.nulls(k, types[3]), pa.nulls(k, types[4])], names=names)
+        if kept:
+            add(held)
+        if facts:
+            cols = [pa.array(c, pa.int64()) for c in zip(*facts, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *cols, pa.nulls(len(facts), types[5]), pa.nulls(len(facts), types[6])], names=names)
     for b in range(WIDTH // BLOCK):
         part = sketch[b * BLOCK : (b + 1) * BLOCK]
         if part.any():
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, types[0]), pa.nulls(1, types[1]), pa.nulls(1, types[2]), pa.array([b], types[3]), pa.array([zlib.compress(part.astype(np.uint32).tobytes(), 1)], types[4])], names=names)
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(1, t) for t in types[:5]), pa.array([b], types[5]), pa.array([zlib.compress(part.tobytes(), 1)], types[6])], names=names)
+    release()
 
 
 def _add_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,350 +171,389 @@ def _add_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([level.tobytes()], pa.binary())], names=["block", "levels"])
 
 
-def ordered_keys(s: np.ndarray, levels: np.ndarray) -> np.ndarray:
-    """Keys whose integer order is the global order: estimated frequency, then hash."""
-    q = levels[(s >> np.uint64(42)).astype(np.int64)].astype(np.uint64)
-    return np.sort((q << np.uint64(57)) | (s >> np.uint64(7))).astype(np.int64)
+def _frequency_levels(blocks: DataFrame) -> np.ndarray:
+    """The whole sketch as one byte a counter, WIDTH bytes whatever the input."""
+    levels = np.zeros(WIDTH, np.uint8)
+    for r in blocks.repartition("block").mapInArrow(_add_blocks, "block int, levels binary").collect():
+        levels[r.block * BLOCK : (r.block + 1) * BLOCK] = np.frombuffer(r.levels, np.uint8)
+    return levels
 
 
-def _postings(levels: np.ndarray):
+# ---------------------------------------------------------------- the trie
+
+
+class Trie:
+    """Sets of ordered keys as a tree; level k holds the keys between two of the strides 0, 16, 32, 64, ...
+
+    Sets that agree up to a stride's end share its node.  Keys are numbered
+    within the trie; shorter segments are filled with a number no query holds.
+    """
+
+    def __init__(self, sets: list[np.ndarray]):
+        size = np.array([len(s) for s in sets], np.int64)
+        off = np.concatenate(([0], np.cumsum(size)))
+        self.vocabulary, ids = np.unique(np.concatenate(sets), return_inverse=True)
+        ids = ids.astype(np.int32)
+        self.mark = np.zeros(len(self.vocabulary) + 1, np.uint8)
+        big = ids.astype(">u4")
+        row = np.array(sorted(range(len(sets)), key=lambda i: big[off[i] : off[i + 1]].tobytes()), np.int64)
+        size, first = size[row], off[row]
+        node = np.zeros(len(row), np.int64)  # the node of the level before
+        self.levels = []
+        begin, end = 0, 16
+        while len(row):
+            place = np.arange(begin, min(end, int(size.max())))[None, :]
+            seg = np.where(place < size[:, None], ids[np.minimum(first[:, None] + place, len(ids) - 1)], len(self.vocabulary))
+            new = np.ones(len(row), bool)
+            new[1:] = (node[1:] != node[:-1]) | (seg[1:] != seg[:-1]).any(axis=1)
+            lead = np.flatnonzero(new)
+            own = np.cumsum(new) - 1
+            over = size <= end
+            level = {"seg": seg[lead], "parent": node[lead], "last": seg[lead, -1], "end": end}
+            level["least"], level["most"] = np.minimum.reduceat(size, lead), np.maximum.reduceat(size, lead)
+            level["done"], level["done_node"], level["done_size"] = row[over], own[over], size[over]
+            self.levels.append(level)
+            row, size, first, node = row[~over], size[~over], first[~over], own[~over]
+            begin, end = end, 2 * end
+
+    def links(self, query: np.ndarray) -> list[int]:
+        """Numbers of the stored sets that link with ``query``."""
+        n, mark = len(query), self.mark
+        at = np.minimum(np.searchsorted(self.vocabulary, query), len(self.vocabulary) - 1)
+        known = at[self.vocabulary[at] == query]
+        if len(known) < _need(n):
+            return []
+        mark[known] = 1
+        found: list[int] = []
+        alive = have = None
+        for level in self.levels:
+            nodes = np.arange(len(level["seg"])) if alive is None else np.flatnonzero(alive[level["parent"]])
+            if not len(nodes):
+                break
+            here = mark[level["seg"][nodes]].sum(axis=1, dtype=np.int64)
+            if have is not None:
+                here += have[level["parent"][nodes]]
+            have, seen = np.zeros(len(level["seg"]), np.int64), np.zeros(len(level["seg"]), bool)
+            have[nodes], seen[nodes] = here, True
+            e = level["done_node"]
+            linked = seen[e] & (have[e] * (NUM + DEN) >= NUM * (n + level["done_size"]))
+            found += level["done"][linked].tolist()
+            follow = np.minimum(len(known) - np.searchsorted(known, level["last"][nodes], "right"), level["most"][nodes] - level["end"])
+            keep = (here + follow) * (NUM + DEN) >= NUM * (n + level["least"][nodes])
+            alive = np.zeros(len(level["seg"]), bool)
+            alive[nodes[keep]] = True
+        mark[known] = 0
+        return found
+
+
+def trie_links(query: np.ndarray, sets: list[np.ndarray]) -> list[int]:
+    """Indexes of the sets that link with ``query``."""
+    return Trie(sets).links(query) if sets and len(query) else []
+
+
+class _Joined:
+    """Components within one part."""
+
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        while (y := self.up.get(x, x)) != x:
+            self.up[x] = self.up.get(y, y)
+            x = y
+        return x
+
+    def join(self, a: int, b: int) -> bool:
+        a, b = self.root(a), self.root(b)
+        self.up[max(a, b)] = min(a, b)
+        self.up.setdefault(min(a, b), min(a, b))
+        return a != b
+
+
+def _meet(first_deal: bool):
+    """Trie join of the parts of a deal: rows (group, part, role, class, comp, keys) in (group, part, role) order, links (a, b) between components out.
+
+    First deal: each stored set that nothing has linked yet queries.  Second
+    deal: roles 0 are stored, then the classes outside the group's component
+    query, unless the part has joined them to it.
+    """
+
+    def part_of(stored: dict[int, tuple[int, np.ndarray]]) -> tuple[list[int], Trie]:
+        return [c for c, _ in stored.values()], Trie([k for _, k in stored.values()])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        met: set[bytes] = set()
+        place, stored, trie, comps, joined = None, {}, None, [], _Joined()
+        out: list[tuple[int, int]] = []
+
+        def ask(comp: int, keys: np.ndarray) -> None:
+            for i in trie.links(keys):
+                if comps[i] != comp and joined.join(comp, comps[i]):
+                    out.append((comp, comps[i]))
+
+        def close() -> None:
+            nonlocal trie, comps
+            if first_deal and len(stored) > 1:
+                comps, trie = part_of(stored)
+                for comp, keys in stored.values():
+                    if comp not in joined.up:
+                        ask(comp, keys)
+
+        def told() -> Iterator[pa.RecordBatch]:
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+                out.clear()
+
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            keys, sizes, owner, held = [], [], [], 0
-            for d, s in zip(ids, shingle_sets(batch.column(1)), strict=True):
-                if d is None or len(s) < 4:  # two sets of which one is so small link only if they're equal
-                    continue
-                mark = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
-                if mark in met:
-                    continue
-                met.add(mark)
-                if len(met) > 500_000:
-                    met.clear()
-                n = len(s)
-                k = ordered_keys(s, levels)[: _prefix(n)]
-                keys.append(k)
-                sizes.append(np.full(len(k), n, np.int64))
-                owner.append(np.full(len(k), d, np.int64))
-                held += len(k)
-                if held > 200_000:
-                    yield _rows(keys, owner, sizes)
-                    keys, sizes, owner, held = [], [], [], 0
-            if keys:
-                yield _rows(keys, owner, sizes)
+            off, flat = batch.column(5).offsets.to_numpy(), batch.column(5).values.to_numpy()
+            for r, (group, part, role, own, comp) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True)):
+                if (group, part) != place:
+                    close()
+                    place, stored, trie, joined = (group, part), {}, None, _Joined()
+                if role == 0 or first_deal:
+                    stored.setdefault(own, (comp, flat[off[r] : off[r + 1]].copy()))
+                elif stored:
+                    if trie is None:
+                        comps, trie = part_of(stored)
+                    if joined.root(comp) != joined.root(group):
+                        ask(comp, flat[off[r] : off[r + 1]])
+            yield from told()
+        close()
+        yield from told()
+        release()
 
     return run
 
 
-def _rows(keys: list, owner: list, sizes: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, owner, sizes)], names=["token", "doc_id", "n"])
+# ---------------------------------------------------------------- wanted sets
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows in token order, those whose token another row has too."""
-    last: tuple | None = None  # the row at the end of the batch before, and whether it was given out
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-        t = cols[0]
-        keep = np.zeros(len(t), bool)
-        same = t[1:] == t[:-1]
-        keep[1:] |= same
-        keep[:-1] |= same
-        lead = None
-        if last is not None and last[0][0] == t[0]:
-            keep[0] = True
-            lead = None if last[1] else last[0]
-        out = [c[keep] for c in cols]
-        if lead is not None:
-            out = [np.concatenate(([v], c)) for v, c in zip(lead, out, strict=True)]
-        last = (tuple(c[-1] for c in cols), bool(keep[-1]))
-        if len(out[0]):
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["token", "doc_id", "n"])
+def _bits(ids: np.ndarray, salt: int, log: int) -> np.ndarray:
+    return (mix64(mix64(ids.astype(np.uint64)) + np.uint64(salt)) >> np.uint64(64 - log)).astype(np.int64)
 
 
-def _bits(ids: np.ndarray, log: int) -> np.ndarray:
-    return (mix64(ids.astype(np.uint64)) >> np.uint64(64 - log)).astype(np.int64)
+class Bloom:
+    """Ids that are wanted for something (``salt``), and a few others: built in the tasks, joined by blocks, of a bounded size."""
 
+    STEP = 1 << 15
 
-def _bitmap(ids: DataFrame, n: int) -> tuple[np.ndarray, int]:
-    """A bitmap of fixed size that has a bit for every id: built in the tasks, joined by blocks, at most MOST_BITS."""
-    log = max(20, min((16 * n).bit_length(), MOST_BITS.bit_length() - 1))
+    def __init__(self, wanted: DataFrame):
+        """``wanted(id, salt)``."""
+        n = wanted.count()
+        self.log = log = max(20, min((16 * n).bit_length(), MOST_BITS.bit_length() - 1))
+        step, kind = self.STEP, "block int, bits binary"
 
-    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(1 << log, bool)
-        for batch in batches:
-            bits[_bits(batch.column(0).to_numpy(), log)] = True
-        size = 1 << 18
-        for k in range(len(bits) // size):
-            if bits[k * size : (k + 1) * size].any():
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zlib.compress(np.packbits(bits[k * size : (k + 1) * size]).tobytes(), 1)], pa.binary())], names=["block", "bits"])
-
-    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for k, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                part = np.frombuffer(zlib.decompress(x), np.uint8)
-                total[k] = total[k] | part if k in total else part
-        for k, x in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([x.tobytes()], pa.binary())], names=["block", "bits"])
+        def rows(blocks: dict[int, bytes]) -> Iterator[pa.RecordBatch]:
+            for k, x in blocks.items():
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([x], pa.binary())], names=["block", "bits"])
+
+        def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            bits = np.zeros(1 << (log - 3), np.uint8)
+            for batch in batches:
+                at = _bits_of(batch, log)
+                np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
+            yield from rows({k: zlib.compress(bits[k * step : (k + 1) * step].tobytes(), 1) for k in range(-(-len(bits) // step)) if bits[k * step : (k + 1) * step].any()})
+
+        def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total: dict[int, np.ndarray] = {}
+            for batch in batches:
+                for k, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    part = np.frombuffer(zlib.decompress(x), np.uint8)
+                    total[k] = total[k] | part if k in total else part
+            yield from rows({k: x.tobytes() for k, x in total.items()})
+
+        self.bits = np.zeros(1 << (log - 3), np.uint8)
+        for r in wanted.select("id", "salt").mapInArrow(own, kind).repartition("block").mapInArrow(joined, kind).collect():  # MOST_BITS at most
+            self.bits[r.block * step : (r.block + 1) * step] = np.frombuffer(r.bits, np.uint8)
+
+    def holds(self, ids: np.ndarray, salt: int) -> np.ndarray:
+        at = _bits(ids, salt, self.log)
+        return (self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
+def _bits_of(batch: pa.RecordBatch, log: int) -> np.ndarray:
+    ids, salts = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+    out = np.zeros(len(ids), np.int64)
+    for s in np.unique(salts):
+        out[salts == s] = _bits(ids[salts == s], int(s), log)
+    return out
 
-    out = np.zeros(1 << (log - 3), np.uint8)
-    step = 1 << 15
-    for r in ids.mapInArrow(own, "block int, bits binary").repartition("block").mapInArrow(joined, "block int, bits binary").collect():
-        out[r.block * step : (r.block + 1) * step] = np.frombuffer(r.bits, np.uint8)
-    return out, log
 
+def _wanted_sets(levels: np.ndarray, bloom: Bloom, first_deal: bool):
+    """Keys of the documents that the filter holds; for the first deal, once for each wanted order, with that order's least shingle."""
+    names = ["group", "class", "keys"]
 
-def _keyed(levels: np.ndarray, wanted: np.ndarray, log: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             known = batch.filter(batch.column(0).is_valid())
-            at = _bits(known.column(0).to_numpy(), log)
-            chosen = known.filter(pa.array((wanted[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1))
-            ids, keys = [], []
-            for d, s in zip(chosen.column(0).to_pylist(), shingle_sets(chosen.column(1)), strict=True):
-                ids.append(d)
-                keys.append(ordered_keys(s, levels))
-                if len(ids) == 500:
-                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "keys"])
-                    ids, keys = [], []
-            if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "keys"])
+            ids = known.column(0).to_numpy()
+            held = [bloom.holds(ids, k) for k in ((0, 1) if first_deal else (0,))]
+            some = held[0] | held[-1]
+            chosen = known.filter(pa.array(some))
+            held = [h[some].tolist() for h in held]
+            rows, kept = [], 0
+            for r, s in enumerate(shingle_sets(chosen.column(1))):
+                keys, own = ordered_keys(s, levels), class_of(s)
+                for k, h in enumerate(held):
+                    if h[r] and len(s):
+                        rows.append((least_shingle(s, k) if first_deal else 0, own, keys))
+                        kept += len(keys)
+                if kept > 1 << 18:
+                    yield _packed(rows, names)
+                    rows, kept = [], 0
+            if rows:
+                yield _packed(rows, names)
+        release()
 
     return run
 
 
-def trie_links(query: np.ndarray, sets: list[np.ndarray]) -> list[int]:
-    """Indexes of the sets that link with ``query``.
+def _packed(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+    group, own, keys = zip(*rows, strict=True)
+    off = np.concatenate(([0], np.cumsum([len(k) for k in keys]))).astype(np.int32)
+    arrays = pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(keys)))
+    return pa.RecordBatch.from_arrays([pa.array(group, pa.int64()), pa.array(own, pa.int64()), arrays], names=names)
 
-    The trie is implicit: sets in lexicographic order and the lengths of the
-    prefixes that neighbours share.  A subtree's shared segment is intersected
-    with the query once; it is abandoned when the overlap so far plus the most
-    that can follow stays below the least that its smallest set needs.
-    """
-    if not sets:
-        return []
-    order = sorted(range(len(sets)), key=lambda i: sets[i].astype(">i8").tobytes())
-    rows = [sets[i] for i in order]
-    sizes = np.array([len(r) for r in rows])
-    common = []
-    for a, b in zip(rows, rows[1:], strict=False):
-        k = min(len(a), len(b))
-        differ = np.flatnonzero(a[:k] != b[:k])
-        common.append(int(differ[0]) if len(differ) else k)
-    found: list[int] = []
-    nq = len(query)
-    stack = [(0, len(rows), 0, 0)]
-    while stack:
-        lo, hi, depth, have = stack.pop()
-        end = min(common[lo : hi - 1]) if hi - lo > 1 else len(rows[lo])
-        segment = rows[lo][depth:end]
-        if len(segment):
-            at = np.searchsorted(query, segment)
-            have += int((query[np.minimum(at, nq - 1)] == segment).sum())
-        least, most = int(sizes[lo:hi].min()), int(sizes[lo:hi].max())
-        passed = int(np.searchsorted(query, rows[lo][end - 1], "right")) if end else 0
-        if have + min(nq - passed, most - end) < _overlap(nq, least):
-            continue
-        here = lo
-        if hi - lo == 1:
-            if len(rows[lo]) == end and have >= _overlap(nq, end):
-                found.append(order[lo])
-            continue
-        while here < hi and len(rows[here]) == end:  # sets that end at this node
-            if have >= _overlap(nq, end):
-                found.append(order[here])
-            here += 1
-        start = here
-        for i in range(here, hi):
-            if i == hi - 1 or common[i] == end:
-                stack.append((start, i + 1, end, have))
-                start = i + 1
-    return found
-
-
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in (pivot, salt, member first?) order: the pivot's set, then its partners'."""
-    place, query, ids, sets = None, None, [], []
-
-    def out():
-        hit = trie_links(query, sets) if query is not None and len(query) else []
-        if hit:
-            yield pa.RecordBatch.from_arrays([pa.array([place[0]] * len(hit), pa.int64()), pa.array([ids[i] for i in hit], pa.int64())], names=["a", "b"])
 
-    for batch in batches:
-        keys = batch.column(4)
-        off, flat = keys.offsets.to_numpy(), keys.values.to_numpy()
-        for r, (pivot, salt, role, i) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True)):
-            s = flat[off[r] : off[r + 1]]
-            if (pivot, salt) != place or len(ids) >= CHUNK:
-                yield from out()
-                ids, sets = [], []
-                if (pivot, salt) != place:
-                    place, query = (pivot, salt), None
-            if role == 0:
-                query = s.copy()
-            else:
-                ids.append(i)
-                sets.append(s.copy())
-    if place is not None:
-        yield from out()
+# ---------------------------------------------------------------- the two deals
 
 
-def _check(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links among candidate ``pairs(a, b)``; a pivot's set travels once for each CHUNK of its partners."""
-    many = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(float(CHUNK))).cast("int").alias("parts"))
-    salted = pairs.join(many, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int"))
-    members = salted.join(sets.withColumnRenamed("id", "b"), "b").select(F.col("a").alias("pivot"), "salt", F.lit(1).alias("role"), F.col("b").alias("id"), "keys")
-    pivots = many.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt")).join(sets.withColumnRenamed("id", "a"), "a").select(F.col("a").alias("pivot"), "salt", F.lit(0).alias("role"), F.col("a").alias("id"), "keys")
-    dealt = members.unionByName(pivots).repartition("pivot", "salt").sortWithinPartitions("pivot", "salt", "role")
-    return dealt.mapInArrow(_verify, "a long, b long")
+def _split(weights: DataFrame) -> DataFrame:
+    """``(group, parts)`` of the groups whose weight needs several parts: at most one for each PART keys of the input."""
+    return weights.withColumn("parts", F.ceil(F.col("weight") / F.lit(float(PART))).cast("int")).filter("parts > 1").drop("weight")
 
 
-def _missing(na: str, nb: str) -> Column:
-    """Shared prefix shingles without which two sets can't link.
+def _joined_parts(rows: DataFrame, first_deal: bool) -> DataFrame:
+    dealt = rows.select("group", "part", "role", "class", "comp", "keys").repartition("group", "part").sortWithinPartitions("group", "part", "role", "class")
+    return dealt.mapInArrow(_meet(first_deal), "a long, b long")
 
-    Behind the prefix that ends first in the global order lie need - shared
-    shingles of its set, so the overlap is at most the count plus that many.
-    """
-    need = lambda n: F.ceil(F.col(n) * NUM / DEN)
-    behind = lambda n: need(n) - F.least(F.lit(SHARED), need(n))
-    return F.ceil((F.col(na) + F.col(nb)) * NUM / (NUM + DEN)) - F.greatest(behind(na), behind(nb))
-
-
-def _counted(met: DataFrame) -> DataFrame:
-    """Pairs ``(a, b, na, nb)``, a row for each shingle their prefixes share, with the count ``c``."""
-    return met.groupBy("a", "b").agg(F.count("*").alias("c"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-
-
-def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of the runs of one part, counted before they leave: rows (main, token, id, n, comp, most) in (main, token) order."""
-    pairs: list[np.ndarray] = []
-    held = 0
-
-    def counted() -> Iterator[pa.RecordBatch]:
-        if pairs:
-            rows, c = np.unique(np.concatenate(pairs), axis=0, return_counts=True)
-            yield pa.RecordBatch.from_arrays([*(pa.array(rows[:, i]) for i in range(4)), pa.array(c.astype(np.int64))], names=["a", "b", "na", "nb", "c"])
-
-    def met(run: list[np.ndarray]) -> Iterator[np.ndarray]:
-        _, _, i, n, comp, most = (np.concatenate(c) for c in zip(*run, strict=True))
-        order = np.argsort(i, kind="stable")
-        i, n, comp, most = i[order], n[order], comp[order], most[order]
-        main = run[0][0][0]
-        rest = np.flatnonzero(comp != main)
-        for at in range(0, len(rest), 256):  # members outside the main component against all, a block at a time
-            r = rest[at : at + 256, None]
-            need = lambda k: -(-k * NUM // DEN)
-            behind = np.maximum(need(n[r]) - np.minimum(SHARED, need(n[r])), (need(n) - np.minimum(SHARED, need(n)))[None, :])
-            least = -(-(n[r] + n[None, :]) * NUM // (NUM + DEN))
-            ok = (comp[r] != comp[None, :]) & (n[r] * DEN >= n[None, :] * NUM) & (n[None, :] * DEN >= n[r] * NUM) & (np.minimum(most[r], most[None, :]) + behind >= least)
-            ok &= (comp[None, :] == main) | (i[r] < i[None, :])
-            x, y = np.nonzero(ok)
-            x = rest[at + x]
-            low, high = np.minimum(x, y), np.maximum(x, y)  # places follow the ids' order
-            if len(low):
-                yield np.stack((i[low], i[high], n[low], n[high]), axis=1)
-
-    run: list = []
-    key = None
+
+def _first_deal(src: DataFrame, classes: DataFrame, levels: np.ndarray) -> DataFrame:
+    """Links ``(a, b)`` between classes that share a least shingle; a part of all links."""
+    seeds = classes.filter(F.col("n") >= SMALLEST).select("class", "rep", "n", F.posexplode(F.array("first", "second")).alias("salt", "group"))
+    meets = seeds.groupBy("group").agg(F.count("*").alias("many"), F.sum("n").alias("weight"), F.min("class").alias("lead")).filter("many > 1")
+    meets = cut(meets.select("group", "weight", "lead"), "meets")
+    # where both shingles lead a class to the same leader, one visit is enough; leaders pay both
+    led = seeds.join(meets.select("group", "lead"), "group").groupBy("class", "lead").agg(F.collect_set("salt").alias("salts"), F.first("rep").alias("id"))
+    visits = F.when(F.col("class") == F.col("lead"), F.col("salts")).otherwise(F.array(F.array_min("salts")))
+    wanted = led.select("id", F.explode(visits).alias("salt"))
+    bloom = Bloom(cut(wanted, "wanted"))
+    large = cut(_split(meets), "large")
+    large, _ = broadcast_if_small(large, BROADCAST_ROWS)
+    sets = src.mapInArrow(_wanted_sets(levels, bloom, True), "group long, class long, keys array<long>")
+    rows = sets.join(large, "group", "left").withColumn("role", F.when(F.col("class") == F.col("lead"), 0).otherwise(1)).withColumn("comp", F.col("class"))
+    every = F.when(F.col("parts").isNull(), F.array(F.lit(0))).when(F.col("role") == 0, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("class"), F.col("parts")).cast("int")))
+    return _joined_parts(rows.withColumn("part", F.explode(every)), True)
+
+
+def _postings(levels: np.ndarray):
+    """The prefix of each class in the task, once."""
+
+    def rows(keys: list[np.ndarray], owner: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, owner)], names=["token", "class"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: set[int] = set()
+        for batch in batches:
+            known = batch.filter(batch.column(0).is_valid())
+            keys, owner, held = [], [], 0
+            for s in shingle_sets(known.column(1)):
+                if len(s) < SMALLEST or (own := class_of(s)) in met:
+                    continue
+                met.add(own)
+                if len(met) > 200_000:
+                    met.clear()
+                k = ordered_keys(s, levels)[: _prefix(len(s))]
+                keys.append(k)
+                owner.append(np.full(len(k), own, np.int64))
+                held += len(k)
+                if held > 100_000:
+                    yield rows(keys, owner)
+                    keys, owner, held = [], [], 0
+            if keys:
+                yield rows(keys, owner)
+        release()
+
+    return run
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows in (token, class) order, each once, those whose token another class has too."""
+    last: tuple[int, int, bool] | None = None  # the row before, and whether it was given out
     for batch in batches:
-        cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-        cut_at = np.concatenate(([0], np.flatnonzero((cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])) + 1, [len(cols[0])]))
-        for s, e in zip(cut_at[:-1].tolist(), cut_at[1:].tolist(), strict=True):
-            now = (cols[0][s], cols[1][s])
-            if key is not None and now != key:
-                for m in met(run):
-                    pairs.append(m)
-                    held += len(m)
-                    if held > 400_000:
-                        yield from counted()
-                        pairs, held = [], 0
-                run = []
-                if now[0] != key[0]:
-                    yield from counted()
-                    pairs, held = [], 0
-            key = now
-            run.append([c[s:e] for c in cols])
-    for m in met(run) if run else ():
-        pairs.append(m)
-        held += len(m)
-        if held > 400_000:
-            yield from counted()
-            pairs, held = [], 0
-    yield from counted()
-
-
-def _residual(runs: DataFrame, labels: DataFrame) -> DataFrame:
-    """All pairs of a run that lie in different components, without pairs inside its largest one.
-
-    Runs are dealt by their largest component, so the shingles that a pair shares
-    meet in one task and leave it as one row; a component with many rows is dealt
-    in parts by shingle, where a pair leaves each part once.
-    """
-    token = Window.partitionBy("token")
-    lab = runs.join(labels.withColumnRenamed("component", "comp"), "id", "left").withColumn("comp", F.coalesce("comp", "id")).repartition("token")
-    lab = lab.withColumn("k", F.count("*").over(Window.partitionBy("token", "comp"))).withColumn("main", F.max(F.struct("k", "comp")).over(token)["comp"]).withColumn("least", F.min("comp").over(token)).withColumn("top", F.max("comp").over(token))
-    mixed = cut(lab.filter("least <> top").select("main", "token", "id", "n", "comp"), "mixed")
-    # no pair shares more than the fewer of both sets' shingles in such runs
-    most = mixed.groupBy("id").agg(F.count("*").alias("most"))
-    parts = mixed.groupBy("main").agg(F.ceil(F.count("*") / F.lit(100_000.0)).alias("parts"))
-    dealt = mixed.join(most, "id").filter(F.col("most") >= F.least(F.lit(SHARED), F.ceil(F.ceil(F.col("n") * NUM / DEN) * NUM / DEN))).join(parts, "main").withColumn("part", F.pmod(F.xxhash64("token"), F.col("parts")))
-    dealt = dealt.repartition("main", "part").sortWithinPartitions("main", "token").select("main", "token", "id", "n", "comp", "most")
-    pairs = dealt.mapInArrow(_cross, "a long, b long, na long, nb long, c long").groupBy("a", "b").agg(F.sum("c").alias("c"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-    return pairs.filter(F.col("c") >= _missing("na", "nb")).select("a", "b")
+        t, c = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        new = np.ones(len(t), bool)
+        new[1:] = (t[1:] != t[:-1]) | (c[1:] != c[:-1])
+        if last is not None and len(t):
+            new[0] = (t[0], c[0]) != last[:2]
+        t, c = t[new], c[new]
+        if not len(t):
+            continue
+        keep = np.zeros(len(t), bool)
+        keep[1:] |= t[1:] == t[:-1]
+        keep[:-1] |= t[1:] == t[:-1]
+        lead = None
+        if last is not None and last[0] == t[0]:
+            keep[0] = True
+            lead = None if last[2] else last[:2]
+        last = (int(t[-1]), int(c[-1]), bool(keep[-1]))
+        out = [t[keep], c[keep]]
+        if lead is not None:
+            out = [np.concatenate(([v], x)) for v, x in zip(lead, out, strict=True)]
+        if len(out[0]):
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["token", "class"])
+
+
+def _second_deal(src: DataFrame, classes: DataFrame, comps: DataFrame, levels: np.ndarray) -> DataFrame:
+    """Links ``(a, b)`` between the components ``comps(class, comp)`` that the first deal has left apart, all of them."""
+    posted = src.mapInArrow(_postings(levels), "token long, class long")
+    runs = cut(posted.repartition("token").sortWithinPartitions("token", "class").mapInArrow(_shared, "token long, class long"), "runs")
+    known = classes.select("class", "n").join(comps, "class", "left").select("class", "n", F.coalesce("comp", "class").alias("comp"))
+    by_class = runs.repartition("class").withColumn("many", F.count("*").over(Window.partitionBy("class"))).join(known, "class")
+    held = cut(by_class.filter(F.col("many") >= _least_shared(F.col("n"))).select("token", "class", "n", "comp"), "held")
+    drop(runs)
+    # a link that is missing joins two components, so each shingle its sets share is in both
+    apart = cut(held.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("token"), "apart")
+    few, _ = broadcast_if_small(apart, BROADCAST_ROWS)
+    mixed = held.join(few, "token")
+    enough = mixed.groupBy("class").agg(F.count("*").alias("many"), F.first("n").alias("m")).filter(F.col("many") >= _least_shared(F.col("m"))).select("class")
+    mixed = cut(mixed.join(enough, "class"), "mixed")
+    drop(held)
+    sizes = mixed.groupBy("token", "comp").agg(F.count("*").alias("many"))
+    largest = sizes.groupBy("token").agg(F.max(F.struct("many", "comp")).alias("top"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high")
+    members = cut(mixed.join(largest.select("token", F.col("top.comp").alias("group")), "token").select("group", "class", "n", "comp").distinct(), "members")
+    drop(mixed)
+    large, _ = broadcast_if_small(cut(_split(members.groupBy("group").agg(F.sum("n").alias("weight"))), "large"), BROADCAST_ROWS)
+    bloom = Bloom(members.select("class").distinct().join(classes, "class").select(F.col("rep").alias("id"), F.lit(0).alias("salt")))
+    sets = src.mapInArrow(_wanted_sets(levels, bloom, False), "group long, class long, keys array<long>").drop("group")
+    rows = members.join(sets, "class").join(large, "group", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    own = F.struct(F.lit(0).alias("role"), F.pmod(F.xxhash64("class"), F.col("parts")).cast("int").alias("part"))
+    asks = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.struct(F.lit(1).alias("role"), p.alias("part")))
+    visits = F.when(F.col("comp") == F.col("group"), F.array(own)).otherwise(F.concat(F.array(own), asks))
+    return _joined_parts(rows.withColumn("v", F.explode(visits)).select("group", "v.part", "v.role", "class", "comp", "keys"), False)
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, n_shingles, component_id)`` of every document; see the module's docstring."""
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    one = cut(src.mapInArrow(_pass_one, "doc_id long, n long, fp binary, block int, counts binary"), "sets")
-    facts = one.filter("block is null").select("doc_id", "n", "fp")
-    blocks = one.filter("block is not null").select("block", "counts").repartition("block").mapInArrow(_add_blocks, "block int, levels binary").collect()  # WIDTH bytes at most
-    levels = np.zeros(WIDTH, np.uint8)
-    for r in blocks:
-        levels[r.block * BLOCK : (r.block + 1) * BLOCK] = np.frombuffer(r.levels, np.uint8)
-    reps = facts.filter("fp is not null and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    posted = src.mapInArrow(_postings(levels), "token long, doc_id long, n long")
-    shared = cut(posted.repartition("token").sortWithinPartitions("token").mapInArrow(_shared, "token long, doc_id long, n long"), "shared")
-    ids = facts.filter("fp is not null and doc_id is not null").select("doc_id", "fp").distinct().join(reps, "fp").select("doc_id", "rep")
-    # dealt by shingle once; what follows needs no other exchange
-    several = lambda r: r.withColumn("c", F.count("*").over(Window.partitionBy("token"))).filter("c > 1").drop("c")
-    runs = cut(several(shared.join(ids, "doc_id").select("token", F.col("rep").alias("id"), "n").repartition("token").dropDuplicates(["token", "id"])), "runs")
-    drop(shared)
-    need = lambda c: F.ceil(c * NUM / DEN)
-    enough = runs.groupBy("id").agg(F.count("*").alias("held"), F.first("n").alias("m")).filter(F.col("held") >= F.least(F.lit(SHARED), need(need(F.col("m"))))).select("id", "held")
-    fewer = cut(several(runs.join(enough, "id").repartition("token")), "runs")
-    drop(runs)
-    runs = fewer
-    wide = np.log(DEN / NUM)
-    dealt = runs.repartition("token")
-    stars = None
-    for k, shift in enumerate((0.0, 0.5)):  # a set that shares much is in the middle of its group: first pivots are such
-        turn = -F.col("held") if not k else F.xxhash64("id")
-        named = dealt.withColumn("class", F.floor(F.log("n") / wide + shift)).withColumn("p", F.min(F.struct(turn.alias("turn"), "id", "n")).over(Window.partitionBy("token", "class")))
-        met = named.filter("id <> p.id").filter((F.col("n") * DEN >= F.col("p.n") * NUM) & (F.col("p.n") * DEN >= F.col("n") * NUM))
-        # shingles of runs with another pivot aren't counted here; pairs that this leaves out come up again in step 5
-        counted = _counted(met.select(F.col("p.id").alias("a"), F.col("id").alias("b"), F.col("p.n").alias("na"), F.col("n").alias("nb"))).filter(F.col("c") * 2 >= _missing("na", "nb"))
-        part = counted.groupBy("b").agg(F.max(F.struct("c", "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
-        stars = part if stars is None else stars.unionByName(part)
-    involved = runs.select("id").distinct()
-    sets = cut(src.mapInArrow(_keyed(levels, *_bitmap(involved, involved.count())), "id long, keys array<long>"), "keys")
-    links = cut(_check(cut(stars.distinct(), "pairs"), sets), "links")
-    labels = cut(connected_components(links), "labels")
-    more = cut(_check(cut(_residual(runs.select("token", "id", "n"), labels), "pairs"), sets), "links")
-    # links between components are few, whatever the number of their members
-    of = lambda c: labels.select(F.col("id").alias(c), F.col("component").alias(f"c{c}"))
-    between = more.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).distinct()
-    joined = cut(connected_components(between).select(F.col("id").alias("component"), F.col("component").alias("least")), "joined")
-    known = labels.select("id", "component").unionByName(joined.select(F.col("component").alias("id"), "component").join(labels.select("id"), "id", "left_anti").select("id", "component"))
-    labels = known.join(joined, "component", "left").select(F.col("id").alias("rep"), F.coalesce("least", "component").alias("least"))
-    drop(sets)
-    grouped = reps.join(labels, "rep", "left").select("fp", F.coalesce("least", "rep").alias("component"))
-    return facts.join(grouped, "fp", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+    one = cut(src.mapInArrow(_pass_one, FACTS), "facts")
+    levels = _frequency_levels(one.filter("block is not null").select("block", "counts"))
+    facts = one.filter("block is null").select("doc_id", "n", "class", "first", "second")
+    live = facts.filter("doc_id is not null and class is not null")
+    classes = cut(live.groupBy("class").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("first").alias("first"), F.first("second").alias("second")), "classes")
+    links = cut(_first_deal(src, classes, levels), "links")
+    near = connected_components(links)
+    comps = near.select(F.col("id").alias("class"), F.col("component").alias("comp"))
+    more = cut(_second_deal(src, classes, comps, levels), "links")
+    whole = connected_components(more)
+    final = whole.select(F.col("id").alias("comp"), F.col("component").alias("least"))
+    of = classes.select("class", "rep").join(comps, "class", "left").withColumn("comp", F.coalesce("comp", "class")).join(final, "comp", "left").select("class", "rep", F.coalesce("least", "comp").alias("comp"))
+    least = of.groupBy("comp").agg(F.min("rep").alias("component"))
+    labels = of.join(least, "comp").select("class", "component")
+    out = facts.join(labels, "class", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+    done = cut(out, "components")
+    for table in (one, classes, links, near, more, whole):
+        drop(table)
+    return done
 
 
 ORACLE = """
@@ -484,7 +565,7 @@ with recursive w as materialized (
 ), fp as materialized (select doc_id, len(g) as n, md5(array_to_string(list_sort(g), '|')) as f from s),
 rep as materialized (select f, min(doc_id) as rep from fp where n > 0 group by f),
 x as materialized (select id, n, md5_number_lower(t) as t from (select s.doc_id as id, len(g) as n, unnest(g) as t from s join rep on s.doc_id = rep.rep)),
-common as materialized (select t from x group by t having count(*) between 2 and 1000000),
+common as materialized (select t from x group by t having count(*) >= 2),
 x2 as materialized (select x.* from x join common using (t)),
 pr as (select a.id as a, b.id as b, any_value(a.n) as na, any_value(b.n) as nb, count(*) as i from x2 a join x2 b on a.t = b.t and a.id < b.id
   where 100 * a.n >= 80 * b.n and 100 * b.n >= 80 * a.n group by 1, 2),
