@@ -17,10 +17,11 @@ sketch that covers all rows, and takes each set's least shingle under two seeded
 orders.  Exact copies are one class from here on.  (2) First deal: classes go to
 tries by those two shingles; this finds most links cheaply, but not all.
 (3) Every class posts the prefix that any partner must share several shingles
-with; postings are dealt by shingle, those of one class only are dropped while
-streaming, then classes with too few.  (4) Second deal, which makes the result
-complete: a shingle whose classes lie in more than one component sends them to
-the trie of the largest of these.  There all classes outside that component
+with; postings are dealt by shingle, those without another class of a size that
+can link are dropped while streaming, then those of classes that share too few
+with every size of partner.  (4) Second deal, which makes the result complete: a
+shingle whose classes lie in more than one component sends them to the trie of
+the largest of these.  There all classes outside that component
 query, so any link that is still missing is found: its sets share such a shingle.
 
 Skew.  A part holds about ``PART`` keys; a larger group is split by hash, and
@@ -65,6 +66,8 @@ BROADCAST_ROWS = 200_000
 NUM, DEN = 80, 100
 #: Sets of fewer shingles link only with their copies.
 SMALLEST = 4
+#: Length classes between the sizes of the smallest and the largest set that may link with one.
+STEPS = 4
 #: Seeds of the first deal's two orders.
 SEEDS = (np.uint64(0x8F1BBCDCBFA53E0B), np.uint64(0x27D4EB2F165667C5))
 
@@ -74,17 +77,30 @@ def _need(n: int) -> int:
     return -(-n * NUM // DEN)
 
 
-def _least_shared(n: Column) -> Column:
-    """Shingles that a set of n shares at least with any partner's prefix; partners have at least need(n)."""
-    need = lambda c: F.ceil(c * NUM / DEN)
-    return F.least(F.lit(SHARED), need(need(n)))
-
-
 def _prefix(n: int) -> int:
-    """Length of the prefix that holds them."""
+    """Length of the prefix that holds SHARED of any partner's shingles, where sets are large enough."""
     return n - _need(n) + min(SHARED, _need(n))
 
 
+def _length_class(n: Column) -> Column:
+    """Four classes between a size and the largest partner's."""
+    return F.floor(F.log(n) * (STEPS / np.log(DEN / NUM))).cast("int")
+
+
+def _least_shared(n: Column, s: Column) -> Column:
+    """Prefix shingles that a set of n shares at least with a linked one of length class s; null if none of that class can link.
+
+    Behind the prefix that ends first in the global order lie need - SHARED
+    shingles of its set, so the overlap is at most those shared plus that many.
+    For a partner of size m this bound rises up to m = n and falls from there:
+    its least value is at an end of the class.  Rounded down, for safety.
+    """
+    size = lambda c: F.exp(c * (np.log(DEN / NUM) / STEPS))
+    low, high = F.greatest(size(s), n * (NUM / DEN)), F.least(size(s + 1), n * (DEN / NUM))
+    bound = lambda m: (n + m) * (NUM / (NUM + DEN)) - F.greatest(n, m) * (NUM / DEN) + F.least(F.lit(float(SHARED)), n * (NUM / DEN) ** 2) - 1.5
+    return F.when(low <= high * 1.001, F.greatest(F.lit(1.0), F.floor(F.least(bound(low), bound(high)))))
+
+
 # ---------------------------------------------------------------- sets
 
 
@@ -448,14 +464,14 @@ def _first_deal(src: DataFrame, classes: DataFrame, levels: np.ndarray) -> DataF
 def _postings(levels: np.ndarray):
     """The prefix of each class in the task, once."""
 
-    def rows(keys: list[np.ndarray], owner: list[np.ndarray]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, owner)], names=["token", "class"])
+    def rows(*columns: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in columns], names=["token", "class", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[int] = set()
         for batch in batches:
             known = batch.filter(batch.column(0).is_valid())
-            keys, owner, held = [], [], 0
+            keys, owner, sizes, held = [], [], [], 0
             for s in shingle_sets(known.column(1)):
                 if len(s) < SMALLEST or (own := class_of(s)) in met:
                     continue
@@ -465,37 +481,39 @@ def _postings(levels: np.ndarray):
                 k = ordered_keys(s, levels)[: _prefix(len(s))]
                 keys.append(k)
                 owner.append(np.full(len(k), own, np.int64))
+                sizes.append(np.full(len(k), len(s), np.int32))
                 held += len(k)
                 if held > 100_000:
-                    yield rows(keys, owner)
-                    keys, owner, held = [], [], 0
+                    yield rows(keys, owner, sizes)
+                    keys, owner, sizes, held = [], [], [], 0
             if keys:
-                yield rows(keys, owner)
+                yield rows(keys, owner, sizes)
         release()
 
     return run
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows in (token, class) order, each once, those whose token another class has too."""
-    last: tuple[int, int, bool] | None = None  # the row before, and whether it was given out
+    """Of rows in (token, n, class) order, each once, those whose token another class of a size that can link has too: the nearest in size is beside."""
+    last: tuple[int, int, int, bool] | None = None  # the row before, and whether it was given out
     for batch in batches:
-        t, c = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        t, c, n = (batch.column(i).to_numpy() for i in range(3))
         new = np.ones(len(t), bool)
         new[1:] = (t[1:] != t[:-1]) | (c[1:] != c[:-1])
         if last is not None and len(t):
             new[0] = (t[0], c[0]) != last[:2]
-        t, c = t[new], c[new]
+        t, c, n = t[new], c[new], n[new].astype(np.int64)
         if not len(t):
             continue
+        near = (t[1:] == t[:-1]) & (n[1:] * NUM <= n[:-1] * DEN)
         keep = np.zeros(len(t), bool)
-        keep[1:] |= t[1:] == t[:-1]
-        keep[:-1] |= t[1:] == t[:-1]
+        keep[1:] |= near
+        keep[:-1] |= near
         lead = None
-        if last is not None and last[0] == t[0]:
+        if last is not None and last[0] == t[0] and n[0] * NUM <= last[2] * DEN:
             keep[0] = True
-            lead = None if last[2] else last[:2]
-        last = (int(t[-1]), int(c[-1]), bool(keep[-1]))
+            lead = None if last[3] else last[:2]
+        last = (int(t[-1]), int(c[-1]), int(n[-1]), bool(keep[-1]))
         out = [t[keep], c[keep]]
         if lead is not None:
             out = [np.concatenate(([v], x)) for v, x in zip(lead, out, strict=True)]
@@ -505,19 +523,24 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _second_deal(src: DataFrame, classes: DataFrame, comps: DataFrame, levels: np.ndarray) -> DataFrame:
     """Links ``(a, b)`` between the components ``comps(class, comp)`` that the first deal has left apart, all of them."""
-    posted = src.mapInArrow(_postings(levels), "token long, class long")
-    runs = cut(posted.repartition("token").sortWithinPartitions("token", "class").mapInArrow(_shared, "token long, class long"), "runs")
-    known = classes.select("class", "n").join(comps, "class", "left").select("class", "n", F.coalesce("comp", "class").alias("comp"))
-    by_class = runs.repartition("class").withColumn("many", F.count("*").over(Window.partitionBy("class"))).join(known, "class")
-    held = cut(by_class.filter(F.col("many") >= _least_shared(F.col("n"))).select("token", "class", "n", "comp"), "held")
+    posted = src.mapInArrow(_postings(levels), "token long, class long, n int")
+    runs = cut(posted.repartition("token").sortWithinPartitions("token", "n", "class").mapInArrow(_shared, "token long, class long"), "runs")
+    known = classes.select("class", "n").join(comps, "class", "left").select("class", "n", F.coalesce("comp", "class").alias("comp"), _length_class(F.col("n")).alias("size"))
+    held = cut(runs.join(known, "class").select("token", "class", "n", "comp", "size"), "held")
     drop(runs)
-    # a link that is missing joins two components, so each shingle its sets share is in both
-    apart = cut(held.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("token"), "apart")
+    # a link that is missing joins two components, so each shingle its sets share is in both; few length classes share a shingle
+    spans = held.groupBy("token", "size").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
+    spans = spans.groupBy("token").agg(F.collect_list(F.struct("size", "low", "high")).alias("spans"), F.min("low").alias("low"), F.max("high").alias("high"))
+    apart = cut(spans.filter("low <> high").select("token", "spans"), "apart")
     few, _ = broadcast_if_small(apart, BROADCAST_ROWS)
-    mixed = held.join(few, "token")
-    enough = mixed.groupBy("class").agg(F.count("*").alias("many"), F.first("n").alias("m")).filter(F.col("many") >= _least_shared(F.col("m"))).select("class")
-    mixed = cut(mixed.join(enough, "class"), "mixed")
+    others = F.filter("spans", lambda x: (F.abs(x["size"] - F.col("size")) <= STEPS + 1) & ((x["low"] != F.col("comp")) | (x["high"] != F.col("comp"))))
+    met = cut(held.join(few, "token").select("token", "class", "n", "comp", F.explode(F.transform(others, lambda x: x["size"])).alias("other")), "met")
     drop(held)
+    drop(apart)
+    # a class stays with those of its shingles that sets of some length share with it often enough
+    often = met.groupBy("class", "other").agg(F.count("*").alias("many"), F.first("n").alias("m")).filter(F.col("many") >= _least_shared(F.col("m"), F.col("other"))).select("class", "other")
+    mixed = cut(met.join(often, ["class", "other"]).select("token", "class", "n", "comp").distinct(), "mixed")
+    drop(met)
     sizes = mixed.groupBy("token", "comp").agg(F.count("*").alias("many"))
     largest = sizes.groupBy("token").agg(F.max(F.struct("many", "comp")).alias("top"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high")
     members = cut(mixed.join(largest.select("token", F.col("top.comp").alias("group")), "token").select("group", "class", "n", "comp").distinct(), "members")
