@@ -6,17 +6,20 @@ Base spans, leftmost and non-overlapping for each kind, of the whole match:
 (lower-case hexadecimal digits, 24+ characters).
 
 The method adds ``entropy`` spans.  A candidate is a maximal run of 20+
-characters of one class (base64-like ``[A-Za-z0-9+/_=-]``) that holds a digit
-and a letter; a run of hexadecimal digits only is judged in the hexadecimal
-class.  Shannon entropy is taken in each window of 20 characters, moved by one
-with counts that are raised and lowered, and the candidate is a secret when any
-window reaches its class's threshold.  Suppressed by the allow-list: UUIDs,
-dates and times, version and path words, repeated or sequential examples, and
-candidates within a base span (which stay as they are).
+characters of one class (base64-like ``[A-Za-z0-9+/_-]``, with up to two ``=``
+behind it) that holds a digit and a letter; a run of hexadecimal digits of one
+case is judged in the hexadecimal class.  Shannon entropy is taken in each window
+of 20 characters, moved by one with counts that are raised and lowered, and the
+candidate is a secret when any window reaches its class's threshold.  Every
+candidate is judged, also one within a base span: its span then stands beside
+the base one.  Suppressed by the allow-list: UUIDs, dates and times, version and
+path words, and repeated or sequential examples.
 
 Defined cases: a null text is empty and has no spans (the digest is that of the
-empty string); offsets are code points, ends exclusive; null ``doc_id`` and
-repeated rows pass through; other columns are ignored.
+empty string); offsets are code points, ends exclusive; spans that start
+together stand in the order of the kinds; very long texts and runs are scanned
+whole; null ``doc_id`` and repeated rows pass through; other columns are
+ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -53,7 +56,7 @@ _HEX[[*range(48, 58), *range(97, 103)]] = True
 _DIGIT = np.zeros(256, bool)
 _DIGIT[48:58] = True
 _WORDY = np.zeros(256, bool)
-_WORDY[[*range(48, 58), *range(65, 91), *range(97, 123), *b"+/_=-"]] = True
+_WORDY[[*range(48, 58), *range(65, 91), *range(97, 123), *b"+/_-"]] = True
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123)]] = True
 
@@ -148,13 +151,10 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 place = None if plain else np.concatenate(([0], np.cumsum((own & 0xC0) != 0x80)))
                 point = (lambda x, a=a: x - a) if plain else (lambda x, a=a, place=place: int(place[x - a]))
                 spans += [(point(int(s)), 2, point(int(e))) for s, e in zip(hs[by_hex == d], he[by_hex == d], strict=True)]
-                base = list(spans)
                 for s, e in zip(ws[by_word == d].tolist(), we[by_word == d].tolist(), strict=True):
-                    p, q = point(s), point(e)
-                    if any(x <= p and q <= y for x, _, y in base):
-                        continue
                     if is_secret(data[s:e].decode()):
-                        spans.append((p, 3, q))
+                        padding = len(data[e : min(e + 2, b)]) - len(data[e : min(e + 2, b)].lstrip(b"="))
+                        spans.append((point(s), 3, point(e + padding)))
                 found[d] = sorted(spans)
             n, base_text, all_text = [], [], []
             for d in range(j - i):

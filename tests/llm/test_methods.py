@@ -181,6 +181,39 @@ def test_base_spans(spark):
         assert [got[k].n_assign, got[k].n_access, got[k].n_hex] == [sum(x[1] == i for x in spans) for i in range(3)]
 
 
+def entropy_spans(text):
+    """Entropy spans of a text by regular expressions and a count of each window."""
+    out = []
+    for m in re.finditer(r"[A-Za-z0-9+/_-]{20,}", text):
+        c = m[0]
+        windows = [Counter(c[i : i + 20]).values() for i in range(len(c) - 19)]
+        bits = max(-sum(n / 20 * math.log2(n / 20) for n in w) for w in windows)
+        least = 3.0 if re.fullmatch("[0-9a-f]+|[0-9A-F]+", c) else 3.7
+        allowed = (
+            re.fullmatch(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", c) or re.match(r"\d{4}[-_/]\d{2}[-_/]\d{2}", c)
+            or re.search(r"(?i)example|sample|dummy|placeholder|xxxx|0123456789|abcdefghij", c) or re.fullmatch(r"([A-Za-z]+|\d{1,4})([-_/]([A-Za-z]+|\d{1,4}))+", c)
+        )
+        if re.search("[0-9]", c) and re.search("[A-Za-z]", c) and bits >= least - 1e-9 and not allowed:
+            out.append((m.start(), 3, m.end() + len(re.match("={0,2}", text[m.end() :])[0])))
+    return out
+
+
+def test_entropy_spans_against_plain_version(spark):
+    r = random.Random(11)
+    token = lambda n, signs: "".join(r.choice(signs) for _ in range(n))
+    b64, hexes = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "0123456789abcdef"
+    planted = [token(24, b64), token(40, b64) + "==", token(20, hexes), token(64, hexes), "secret=" + token(30, b64), "AKIA" + token(18, b64.upper()), "é" + token(33, b64) + "é"]
+    clean = ["123e4567-e89b-12d3-a456-426614174000", "2024-01-02T03:04:05Z-and-more", "a1" * 20, "path/to/some/file-12/name", "example" + token(20, b64), "aaaaaaaaaaaaaaaaaaaaaaaa1", "thequickbrownfoxjumpsover", ""]
+    texts = [*planted, *clean, *(" ".join(r.sample(planted + clean, 5)) for _ in range(30)), "x " * 40_000 + planted[0], None]
+    got = {x.doc_id: x for x in secrets.scan_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)).collect()}
+    for k, t in enumerate(texts):
+        own = [tuple(x.split(":")) for x in got[k].spans.split(",") if x.startswith("entropy")]
+        assert [(int(a), 3, int(b)) for _, a, b in own] == entropy_spans(t or ""), t
+        assert got[k].n_entropy == len(own)
+    assert all(got[k].n_entropy >= 1 for k in (0, 1, 3, 4)) and all(got[len(planted) + k].n_entropy == 0 for k in range(len(clean)))
+    assert got[4].spans.startswith("assign:0:") and "entropy:7:" in got[4].spans  # beside the base span
+
+
 def test_sliding_entropy():
     for _ in range(50):
         s = "".join(rng.choice("abcXYZ019") for _ in range(rng.randint(1, 60)))
