@@ -74,14 +74,14 @@ def best_entropy(s: str, window: int = WINDOW) -> float:
     total = 0.0  # sum of c * log2(c)
     least = math.inf
     for i, x in enumerate(s):
-        c = counts.get(x, 0)
-        total += term[c + 1] - term[c]
-        counts[x] = c + 1
-        if i >= w:
+        if i >= w:  # the character that leaves goes first, so no count exceeds the window
             y = s[i - w]
             c = counts[y]
             total += term[c - 1] - term[c]
             counts[y] = c - 1
+        c = counts.get(x, 0)
+        total += term[c + 1] - term[c]
+        counts[x] = c + 1
         if i >= w - 1:
             least = min(least, total)
     return math.log2(w) - least / w
