@@ -1,69 +1,165 @@
-"""Reading requests and codes out of text with built-in expressions: calculation inputs, standard codes, titles, inline equations."""
+"""Reading requests and codes out of text with built-in expressions: calculation inputs, standard codes, titles, inline equations.
+
+Inputs: a message is split at its numbers.  What stands before a number (a
+symbol with a sign, or a name) or behind it (a noun) says which input it is,
+by the tables of this module, and the unit stands behind it.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_NUM = "(-?[0-9]+(?:[.,][0-9]+)?)"
-_UNIT = "(?:\\s*(mm|cm|µm|μm|um|mikron|metre|kg|inch|in|°|derece|deg|rad|radyan)(?!\\p{L}))?"
-_IS = "\\s*(?:[=:]|olan|ise)?\\s*"
-_B = "(?<![\\p{L}\\p{N}_])"
-# How inputs are written, tried in order; kinds with their default units.
-INPUTS = {
-    "z1": ("integer", [_B + "z\\s*[1₁]\\s*[=:]\\s*([0-9]+)", "pinyon[^0-9]{0,25}?([0-9]+)\\s*diş"]),
-    "z2": ("integer", [_B + "z\\s*[2₂]\\s*[=:]\\s*([0-9]+)", "çark[^0-9]{0,25}?([0-9]+)\\s*diş"]),
-    "z": ("integer", [_B + "z\\s*[=:]\\s*([0-9]+)", "diş\\s*sayısı" + _IS + "([0-9]+)", "([0-9]+)\\s*(?:dişli|teeth|diş)(?!\\p{L})", "number\\s*of\\s*teeth\\s*[=:]?\\s*([0-9]+)"]),
-    "m_n": ("length", [_B + "m\\s*_?\\s*n?\\s*[=:]\\s*" + _NUM + _UNIT, "mod[üu]l[üu]?" + _IS + _NUM + _UNIT, _B + "module\\s*(?:[=:]|of)?\\s*" + _NUM + _UNIT]),
-    "alpha_n": ("angle", ["(?:α\\s*_?\\s*n?|alfa\\s*_?\\s*n?|alpha\\s*_?\\s*n?|basınç\\s*açısı|kavrama\\s*açısı|pressure\\s*angle)" + _IS + _NUM + _UNIT]),
-    "beta": ("angle", ["(?:β|" + _B + "beta|helis\\s*açısı|helix\\s*angle)" + _IS + _NUM + _UNIT]),
-    "x": ("dimensionless", ["(?:" + _B + "x\\s*[=:]\\s*|profil\\s*kaydırma(?:\\s*katsayısı)?" + _IS + ")" + _NUM]),
-    "k": ("dimensionless", [_B + "k\\s*[=:]\\s*" + _NUM]),
-    "h_aP": ("dimensionless", ["h\\s*_?\\s*a\\s*P(?:\\s*\\*)?\\s*[=:]\\s*" + _NUM]),
-    "h_fP": ("dimensionless", ["h\\s*_?\\s*f\\s*P(?:\\s*\\*)?\\s*[=:]\\s*" + _NUM]),
-    "b": ("length", ["(?:" + _B + "b\\s*[=:]\\s*|diş\\s*genişliği" + _IS + "|face\\s*width\\s*[=:]?\\s*)" + _NUM + _UNIT]),
-    "d": ("length", ["(?:" + _B + "d\\s*[=:]\\s*|referans\\s*çapı?" + _IS + "|reference\\s*diameter\\s*[=:]?\\s*)" + _NUM + _UNIT]),
-    "a_w": ("length", ["(?:" + _B + "a\\s*_?\\s*w\\s*[=:]\\s*|eksen\\s*mesafesi" + _IS + "|cent(?:re|er)\\s*distance\\s*[=:]?\\s*)" + _NUM + _UNIT]),
-    "A": ("grade", ["(?:tolerans\\s*sınıfı|kalite\\s*sınıfı|flank\\s*tolerance\\s*class|" + _B + "sınıfı?|" + _B + "class)" + _IS + "([0-9]{1,2})(?![0-9])"]),
-    "grade": ("grade", [_B + "IT\\s*(01|0|1[0-8]|[1-9])(?![0-9])"]),
-    "nominal_size": ("length", ["(?:anma\\s*ölçüsü|nominal\\s*(?:size|ölçü)|ø)" + _IS + _NUM + _UNIT, _NUM + "\\s*(mm)\\s*(?:anma|nominal|çap|mil|delik|için|(?=[Hh][0-9]{1,2}))"]),
-}
+_NOT_IN_WORD, _WORD_ENDS = "(?<![\\p{L}\\p{N}_])", "(?!\\p{L})"
+_NUMBER = "(?<![\\p{L}\\p{N}_.,])-?[0-9]+(?:[.,][0-9]+)?"
+# Kinds of the inputs, how they are written, units.
+KINDS = {
+    "z1": "integer", "z2": "integer", "z": "integer", "m_n": "length", "alpha_n": "angle", "beta": "angle", "x": "dimensionless", "k": "dimensionless", "h_aP": "dimensionless", "h_fP": "dimensionless",
+    "b": "length", "d": "length", "a_w": "length", "A": "grade", "grade": "grade", "nominal_size": "length",
+}
+SYMBOLS = {
+    "z1": ["z1", "z₁"], "z2": ["z2", "z₂"], "z": ["z"], "m_n": ["m", "mn"], "alpha_n": ["α", "αn", "alfa", "alfan", "alpha", "alphan"], "beta": ["β", "beta"], "x": ["x"], "k": ["k"], "h_aP": ["haP", "haP*"], "h_fP": ["hfP", "hfP*"],
+    "b": ["b"], "d": ["d"], "a_w": ["aw"],
+}
+NAMES = {
+    "z": ["diş sayısı", "number of teeth"], "m_n": ["modül", "modülü", "modul", "module"], "alpha_n": ["basınç açısı", "kavrama açısı", "pressure angle"], "beta": ["helis açısı", "helix angle"],
+    "x": ["profil kaydırma", "profil kaydırma katsayısı"], "b": ["diş genişliği", "face width", "facewidth"], "d": ["referans çap", "referans çapı", "reference diameter"],
+    "a_w": ["eksen mesafesi", "centre distance", "center distance"], "A": ["tolerans sınıfı", "kalite sınıfı", "flank tolerance class", "sınıf", "sınıfı", "class"], "nominal_size": ["anma ölçüsü", "nominal size", "nominal ölçü", "ø"],
+}
+NOUNS = {"z": ["diş", "dişli", "teeth"], "nominal_size": ["mm anma", "mm nominal", "mm çap", "mm mil", "mm delik", "mm için"]}
+#: The wheel named before "20 diş".
+WHEELS = {"z1": "pinyon", "z2": "çark"}
+UNITS = ("mm", "cm", "µm", "μm", "um", "mikron", "metre", "kg", "inch", "in", "°", "derece", "deg", "rad", "radyan")
 _DEFAULT = {"length": "mm", "angle": "°"}
+#: Calculations, the more special first: the inputs all of which they need, and those of which they need one.
+CALCULATIONS = (
+    ("iso286_it_tolerance", ("grade", "nominal_size"), ()),
+    ("iso1328_flank_tolerance", ("m_n",), ("d", "z")),
+    ("gear_pair", ("z1", "z2", "m_n"), ()),
+    ("cylindrical_gear_geometry", ("z", "m_n"), ()),
+    ("transverse_module", ("m_n", "beta"), ()),
+)
+#: Inputs that a calculation knows; others in the message aren't passed on.
+KNOWN = {
+    "iso286_hole_H": ("nominal_size", "grade"), "iso286_shaft_h": ("nominal_size", "grade"), "iso286_it_tolerance": ("nominal_size", "grade"), "iso1328_flank_tolerance": ("m_n", "d", "z", "beta", "b", "A"),
+    "gear_pair": ("z1", "z2", "m_n", "alpha_n", "beta", "a_w"), "cylindrical_gear_geometry": ("z", "m_n", "alpha_n", "beta", "x", "k", "h_aP", "h_fP"), "transverse_module": ("m_n", "beta"),
+}
+
+
+def _choice(words: list[str]) -> str:
+    """Words of a table as one alternative, longest first; blanks and underscores may stand between parts."""
+    spaced = lambda w: "\\s+".join(w.split()) if " " in w else w.replace("*", "\\s*\\*")
+    return "(?:" + "|".join(map(spaced, sorted(words, key=lambda w: (-len(w), w)))) + ")"
+
+
+def _symbol(word: str) -> str:
+    return "\\s*_?\\s*".join(c.replace("*", "\\*") for c in word)
+
+
+def _readings() -> list[tuple[str, int, str, str]]:
+    """(input, rank, pattern before the number, pattern behind it), in the order in which a number is tried."""
+    out = [(key, 2, word + "\\D{0,25}$", "^\\s*diş" + _WORD_ENDS) for key, word in WHEELS.items()]
+    for key, words in SYMBOLS.items():
+        out.append((key, 1, _NOT_IN_WORD + "(?:" + "|".join(_symbol(w) for w in sorted(words, key=len, reverse=True)) + ")\\s*[=:]\\s*$", ""))
+    for key, words in NAMES.items():
+        out.append((key, 2, _NOT_IN_WORD + _choice(words) + "\\s*(?:[=:]|olan|ise|of)?\\s*$", ""))
+    for key, words in NOUNS.items():
+        out.append((key, 3, "", "^\\s*" + _choice(words) + (_WORD_ENDS if key == "z" else "")))
+    return [*out, ("nominal_size", 3, "", "^\\s*mm\\s*[Hh][0-9]{1,2}(?![0-9])")]
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _keyed(rows: Column, *keys: str) -> Column:
+    return F.filter(rows, lambda r: r["key"].isin(*keys))
 
 
 def inputs(text: Column) -> Column:
-    """Array of (key, value, unit, assumed): the first pattern that fits gives an input; a pair's z1 or z2 takes the place of z."""
+    """Array of (key, value, unit, assumed): of the numbers that can be an input, the first of the best rank; a pair's z1 or z2 takes the place of z."""
+    return let(F.struct(F.regexp_extract_all(text, F.lit(f"({_NUMBER})")).alias("found"), F.split(text, _NUMBER).alias("gaps")), lambda t: let(_read(t["found"], t["gaps"]), lambda n: _chosen(n, _grade(text))))
+
+
+def _read(found: Column, gaps: Column) -> Column:
+    """Each number of a message as (key, rank, place, value, unit); the key is null where it is no input."""
+
+    def one(number: Column, i: Column) -> Column:
+        before, behind = F.element_at(gaps, i + 1), F.element_at(gaps, i + 2)
+        tests = []
+        for name, rank, left, right in _readings():
+            fits = F.lit(True)
+            for side, pattern in ((before, left), (behind, right)):
+                if pattern:
+                    fits = fits & F.regexp_like(side, F.lit("(?iu)" + pattern))
+            if KINDS[name] in ("integer", "grade"):
+                fits = fits & F.regexp_like(number, F.lit("^[0-9]+$"))
+            tests.append(F.when(fits, F.struct(F.lit(name).alias("key"), F.lit(rank).alias("rank"))))
+        unit = F.nullif(F.regexp_extract(behind, "(?iu)^\\s*" + _choice(list(UNITS)).replace("(?:", "(", 1) + _WORD_ENDS, 1), F.lit(""))
+        value = F.replace(number, F.lit(","), F.lit(".")).try_cast("double")
+        return let(F.coalesce(*tests), lambda hit: F.struct(hit["key"].alias("key"), hit["rank"].alias("rank"), i.alias("i"), value.alias("value"), unit.alias("unit")))
+
+    return F.transform(found, one)
+
+
+def _chosen(numbers: Column, grade: Column) -> Column:
+    """The best number of each input as (key, value, unit, assumed)."""
     rows = []
-    for key, (kind, patterns) in INPUTS.items():
-        number, unit = F.lit(None).cast("string"), F.lit(None).cast("string")
-        for p in reversed(patterns):
-            hit = F.regexp_like(text, F.lit("(?iu)" + p))
-            number = F.when(hit, F.regexp_extract(text, "(?iu)" + p, 1)).otherwise(number)
-            unit = F.when(hit, F.nullif(F.regexp_extract(text, "(?iu)" + p, 2), F.lit("")) if _UNIT in p or "(mm)" in p else F.lit(None)).otherwise(unit)
-        value = F.when(number == "01", F.lit(-1.0)).otherwise(F.replace(number, F.lit(","), F.lit(".")).try_cast("double")) if key == "grade" else F.replace(number, F.lit(","), F.lit(".")).try_cast("double")
-        rows.append(F.struct(F.lit(key).alias("key"), value.alias("value"), F.coalesce(unit, F.lit(_DEFAULT.get(kind, ""))).alias("unit"), (unit.isNull() & F.lit(kind in _DEFAULT)).alias("assumed")))
-    found = F.filter(F.array(*rows), lambda r: r["value"].isNotNull())
-    pair = F.exists(found, lambda r: r["key"].isin("z1", "z2"))
-    return F.filter(found, lambda r: ~(pair & (r["key"] == "z")))
+    for key, kind in KINDS.items():
+        default = F.lit(_DEFAULT.get(kind, ""))
+        best = F.array_min(F.transform(_keyed(numbers, key), lambda x: F.struct(x["rank"], x["i"], x["value"], x["unit"])))
+        if key == "grade":
+            best = F.when(grade.isNotNull(), F.struct(grade.alias("value"), F.lit("").alias("unit")))
+        rows.append(let(best, _row(key, default, kind in _DEFAULT)))
+    given = F.array_compact(F.array(*rows))
+    return let(given, lambda g: F.filter(g, lambda r: ~((r["key"] == "z") & (F.size(_keyed(g, "z1", "z2")) > 0))))
+
+
+def _row(key: str, default: Column, has_unit: bool) -> Callable[[Column], Column]:
+    unit = lambda b: F.coalesce(b["unit"], default) if has_unit else default
+    return lambda b: F.when(b.isNotNull(), F.struct(F.lit(key).alias("key"), b["value"].alias("value"), unit(b).alias("unit"), (b["unit"].isNull() & F.lit(has_unit)).alias("assumed")))
+
+
+_IT, _CLASS = "(?i)(?<![\\p{L}\\p{N}_])IT\\s*(01|0|1[0-8]|[1-9])(?![0-9])", "(?<![A-Za-z])([Hh])\\s?([0-9]{1,2})(?![0-9])"
+
+
+def _grade(text: Column) -> Column:
+    """The grade of IT7, or of a hole H7 or shaft h7; IT01 is -1."""
+    it = F.nullif(F.regexp_extract(text, _IT, 1), F.lit(""))
+    return F.when(it == "01", F.lit(-1.0)).otherwise(F.coalesce(it, F.nullif(F.regexp_extract(text, _CLASS, 2), F.lit(""))).try_cast("double"))
 
 
 def calculation_type(text: Column, given: Column) -> Column:
     """Which calculation the inputs ask for; null if none."""
-    has = lambda *keys: F.forall(F.array(*map(F.lit, keys)), lambda k: F.exists(given, lambda r: r["key"] == k))
-    letter = F.regexp_extract(text, "(?<![A-Za-z])([Hh])\\s?[0-9]{1,2}(?![0-9])", 1)
-    fit = F.regexp_like(text, F.lit("[A-Z][0-9]{1,2}\\s*/\\s*[a-z][0-9]{1,2}"))
-    hint = F.regexp_like(text, F.lit("(?i)iso\\s*1328|tolerans"))
-    return (
-        F.when((letter != "") & has("nominal_size") & ~has("grade") & ~fit, F.when(letter == "H", "iso286_hole_H").otherwise("iso286_shaft_h")).when(has("grade", "nominal_size"), "iso286_it_tolerance")
-        .when((has("A") | hint) & has("m_n") & (has("d") | has("z")), "iso1328_flank_tolerance").when(has("z1", "z2", "m_n"), "gear_pair").when(has("z", "m_n"), "cylindrical_gear_geometry")
-        .when(has("m_n", "beta") & F.regexp_like(text, F.lit("(?i)alın\\s*modül|transverse\\s*module|m_?t")), "transverse_module")
-    )
+    return let(given, lambda g: _type(text, g))
+
+
+def _type(text: Column, given: Column) -> Column:
+    has = lambda key: F.size(_keyed(given, key)) > 0
+    like = lambda p: F.regexp_like(text, F.lit(p))
+    said = {"iso286_it_tolerance": like(_IT), "iso1328_flank_tolerance": has("A") | like("(?i)iso\\s*1328|tolerans"), "transverse_module": like("(?i)alın\\s*modül|transverse\\s*module|m_?t")}
+    letter = F.regexp_extract(text, _CLASS, 1)
+    fit = like("[A-Z][0-9]{1,2}\\s*/\\s*[a-z][0-9]{1,2}")  # a fit of a hole and a shaft is neither
+    kind = F.when((letter != "") & has("nominal_size") & ~like(_IT) & ~fit, F.when(letter == "H", "iso286_hole_H").otherwise("iso286_shaft_h"))
+    for name, every, some in CALCULATIONS:
+        holds = said.get(name, F.lit(True))
+        for key in every:
+            holds = holds & has(key)
+        if some:
+            holds = holds & (F.size(_keyed(given, *some)) > 0)
+        kind = F.coalesce(kind, F.when(holds, name))
+    return kind
 
 
 def requests(messages: DataFrame) -> DataFrame:
-    """``messages(req_id, text)`` -> the long request table of calculations, all as user input."""
+    """``messages(req_id, text)`` -> the long request table of calculations with the inputs they know, all as user input."""
     m = messages.withColumn("given", inputs(F.col("text"))).withColumn("calc_type", calculation_type(F.col("text"), F.col("given")))
-    return m.filter("calc_type is not null").select("req_id", "calc_type", F.explode("given").alias("g")).select("req_id", "calc_type", "g.*", F.lit("user_input").alias("prov_kind"), F.lit(None).cast("string").alias("prov_status"))
+    known = F.create_map(*(c for k, v in KNOWN.items() for c in (F.lit(k), F.array(*map(F.lit, v)))))
+    rows = m.filter("calc_type is not null").withColumn("given", F.filter("given", lambda r: F.array_contains(known[F.col("calc_type")], r["key"])))
+    return rows.select("req_id", "calc_type", F.explode("given").alias("g")).select("req_id", "calc_type", "g.*", F.lit("user_input").alias("prov_kind"), F.lit(None).cast("string").alias("prov_status"))
 
 
 # ------------------------------------------------------------------ codes

@@ -7,16 +7,20 @@ INTENTS = [
     ("Merhaba, nasılsın", "general"), ("standart nedir", "general"), ("ISO iyi bir şey mi", "general"), ("kaynak ver", "sources_only"), ("hatırla: modül 2 kullanıyoruz", "memory_command"), ("öneri notu: tabloyu ekle", "note_command"),
     ("hangi standartlar var", "corpus_inventory"), ("which standards do you have", "corpus_inventory"), ("hangi standartlar var 286", "general"), ("z = 20 ve m = 2 için bölüm dairesini hesapla", "calculation"),
     ("basınç açısı nasıl hesaplanır", "technical"), ("modül aralığı nedir", "technical"), ("basınç açısı kaç derece", "technical"), ("ISO 53 kapsamı nedir", "technical"),
+    ("sende hangi belgeler yüklü, listele", "corpus_inventory"), ("dokümanları listele", "corpus_inventory"), ("neleri biliyorsun", "corpus_inventory"), ("list all documents", "corpus_inventory"), ("kaynaklarda ne var", "corpus_inventory"),
+    ("hangi standart 40 mm için geçerli", "technical"), ("ISO 53 standardında hangi modüller var", "technical"), ("Kaynakları göster lütfen", "sources_only"), ("ISO 53 modül değeri nedir, kaynak ver", "technical"),
+    ("ISO 286'ya göre 30 mm H7 toleransı nedir", "calculation"), ("30 mm anma ölçüsü için IT6 kaç µm", "calculation"), ("mn = 3 mm ve β = 20° için alın modülü mt hesapla", "calculation"), ("Dişli mukavemet hesabını yap, güç 25 kW", "calculation"),
+    ("alın modülünü hesapla", "technical"), ("db nasıl hesaplanır", "technical"), ("What is the rim thickness", "technical"), ("bana kısaca kendini tanıt", "general"), ("ISO 53 Table 2 αP kaç derece", "technical"), ("M8 civata 10.9", "technical"),
 ]
 
 
-@pytest.mark.parametrize("text, kind", INTENTS)
-def test_intent(spark, text, kind):
-    assert spark.createDataFrame([(text,)], "t string").select(planning.intent(F.col("t"))).first()[0] == kind
+def test_intent(spark):
+    got = spark.createDataFrame(INTENTS, "t string, want string").select("t", "want", planning.intent(F.col("t")).alias("got")).collect()
+    assert [(r.t, r.got) for r in got] == [(r.t, r.want) for r in got]
 
 
 def test_subtype(spark):
-    rows = [("basınç açısı nasıl hesaplanır", "standards_formula_lookup"), ("modül aralığı nedir", "standards_range_lookup"), ("basınç açısı kaç derece", "standards_value_lookup"), ("merhaba", None)]
+    rows = [("basınç açısı nasıl hesaplanır", "standards_formula_lookup"), ("modül aralığı nedir", "standards_range_lookup"), ("basınç açısı kaç derece", "standards_value_lookup"), ("merhaba", None), ("ISO 53'e göre alın modülünü hesapla", "standards_formula_lookup"), ("z = 20, m = 2 için hesapla", "numeric_calculation")]
     got = spark.createDataFrame(rows, "t string, w string").select(planning.subtype(F.col("t")).alias("g"), "w").collect()
     assert all(r.g == r.w for r in got)
 
@@ -26,6 +30,12 @@ def test_symbols_and_labels():
     assert planning.variants("αP") == ["αP", "aP"] and planning.variants("aP") == ["aP", "αP"] and planning.variants("ρfP") == ["ρfP", "rfP"] and planning.variants("β") == ["β", "beta"] and planning.variants("FD") == ["FD"]
 
 
+def test_labels_clauses_and_stems():
+    p = planning.plan("Class FD, Class FE, 9B testi, Type A, tablo 4.2.4 madde 7 Ek B ISO 286-2:2010 Eşitlik (A.3)", planning.compiled())
+    assert p["labels"] == ["class FD", "class FE", "test 9B", "type A", "annex B"] and p["clauses"] == ["4.2.4", "7", "Annex B"] and p["codes"] == ["286-2"] and p["equations"] == ["A.3"]
+    assert "hob" in planning.stems("hoblar") and "test" in planning.stems("testlerin") and planning.stems("çap") == [] and planning.stems("ada") == []
+
+
 def test_plans(spark):
     q = spark.createDataFrame([(1, "civata için çekme dayanımı ve sıkma torku nedir?"), (2, "madde 5.4 ve Ek A.1, Eşitlik (2), Table 2, 286-2:2010 değeri 0,25"), (3, "50 mm H7 nedir"), (4, "hobların testlerin toleransı"), (5, None)], "qid long, text string")
     p = {r.qid: r for r in planning.plan_questions(q).collect()}

@@ -1,4 +1,3 @@
-import pytest
 from pyspark.sql import functions as F
 
 from folioforge.functions import requests as R
@@ -11,11 +10,11 @@ CASES = [
 ]
 
 
-@pytest.mark.parametrize("text, kind, values", CASES)
-def test_requests(spark, text, kind, values):
-    given = R.inputs(F.col("t"))
-    r = spark.createDataFrame([(text,)], "t string").select(given.alias("g"), R.calculation_type(F.col("t"), given).alias("k")).first()
-    assert r.k == kind and values.items() <= {x.key: x.value for x in r.g}.items()
+def test_requests(spark):
+    rows = spark.createDataFrame([(i, text) for i, (text, _, _) in enumerate(CASES)], "i int, t string").withColumn("g", R.inputs(F.col("t")))
+    for r in rows.withColumn("k", R.calculation_type(F.col("t"), F.col("g"))).collect():
+        _, kind, values = CASES[r.i]
+        assert r.k == kind and values.items() <= {x.key: x.value for x in r.g}.items(), r.t
 
 
 def test_request_to_result(spark):
@@ -24,6 +23,12 @@ def test_request_to_result(spark):
     assert calc.cylindrical(wide).first().d == 40
 
 
+def test_requests_know_their_inputs(spark):
+    d = spark.createDataFrame([(1, "50 mm H7, modül 2"), (2, "pinyon 20 diş, çark 41 diş, modül 2, x = 0,1")], "req_id int, text string")
+    got = {(r.req_id, r.calc_type, r.key, r.value) for r in R.requests(d).collect()}
+    assert got == {(1, "iso286_hole_H", "nominal_size", 50.0), (1, "iso286_hole_H", "grade", 7.0), (2, "gear_pair", "z1", 20.0), (2, "gear_pair", "z2", 41.0), (2, "gear_pair", "m_n", 2.0)}
+
+
 def test_codes(spark):
     pages = spark.createDataFrame([(1, "BS ISO 53:1998 and ISO 53 and ISO 1990 ISO_TR 10064-1", "x.pdf"), (2, "nothing", "ISO_TR 10064, 1, 1992 -- a.pdf"), (3, None, "y")], "doc_id int, text string, name string")
     assert {r.doc_id: r.code for r in R.detect_codes(pages).collect()} == {1: "ISO 53:1998", 2: "ISO/TR 10064:1992", 3: None}
