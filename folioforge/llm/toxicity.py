@@ -1,7 +1,8 @@
 """Toxicity by noisy-channel deobfuscation: restore the text, then score it.
 
-A token is suspect when a digit or sign stands among its letters, when a letter
-repeats three times or more, or when letters stand alone one after another.  Its
+A token is suspect when a digit or sign stands among its letters or for one at
+its edge, when a letter repeats three times or more, or when letters stand alone
+one after another, with blanks or signs between them.  Its
 character lattice offers every reading of each position: the character as it
 is, the letters that leetspeak writes so, a run of a letter as one or two of it,
 separators as nothing, and for spaced letters a word break.  Viterbi decoding
@@ -11,13 +12,17 @@ other tokens have one reading and pass as they are.
 
 The restored text is scored by a logistic model over its words and their
 beginnings (3 to 8 characters; log counts), learned from a sample of about
-``PER_CLASS`` labelled documents a class whose crc32 fold isn't held out.
+``PER_CLASS`` labelled documents a class whose crc32 fold isn't held out.  Of all
+words and beginnings only those serve that stand in toxic documents too often
+for chance: so often that about ``BY_CHANCE`` of all would by chance.
 lang, source and doc_id are never inputs of a score.
 
 Defined cases: a null text is empty and gets the score of an empty text; with
-no labels, or labels of one class, every score is 0; null ``doc_id`` isn't held
-out and isn't learned from; repeated rows are scored alike; other columns are
-ignored; an empty table gives no rows.
+no labels, or labels of one class, every score is 0; a very long text is restored
+and scored whole, in slices of bounded size; of readings with equal costs the
+alphabetically last is taken; a score equal to the threshold predicts 1; null
+``doc_id`` isn't held out and isn't learned from; repeated rows are scored
+alike; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -35,7 +40,7 @@ from folioforge.llm.arrow_text import LOWER, SEPARATOR, fold, slices, utf8, word
 from folioforge.llm.sampling import fold_of, logistic, per_class
 
 PER_CLASS, FOLDS, HELD_OUT, THRESHOLD = 1500, 3, 1, 0.7
-FEATURES, LEAST_DOCS, SHORTEST, LONGEST = 3000, 3, 3, 8
+FEATURES, LEAST_DOCS, BY_CHANCE, SHORTEST, LONGEST = 3000, 2, 20, 3, 8
 #: Words whose features a task keeps.
 CACHE = 600_000
 #: Distinct words or n-grams that a task counts before it passes the counts on.
@@ -140,6 +145,9 @@ _STRONG = np.zeros(256, bool)  # leet wherever it touches a letter
 _STRONG[list(b"0123456789@$")] = True
 _WEAK = np.zeros(256, bool)  # leet or separators only between letters
 _WEAK[list(b"!|+(" + SEPARATES.replace(",", "").replace("'", "").encode())] = True
+_AT_START, _AT_END = np.zeros(256, bool), np.zeros(256, bool)  # leet at a word's edge, where prose has no such sign
+_AT_START[list(b"!|+")] = True
+_AT_END[list(b"|+")] = True
 _SIGN = np.zeros(256, bool)
 _SIGN[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
 
@@ -174,9 +182,16 @@ def suspects(b: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     lb[1:], la[:-1] = letter[:-1], letter[1:]
     odd = (strong & (lb | la)) | (weak & before & after & (lb | la))
     odd[1:-1] |= _ASCII_LETTER[b[1:-1]] & (b[1:-1] == b[:-2]) & (b[1:-1] == b[2:])
+    for sign in b",'":  # i,d,i,o,t
+        between = b[1:-3] == sign
+        chain = np.flatnonzero(letter[:-4] & between & letter[2:-2] & (b[3:-1] == sign) & letter[4:]) if len(b) > 4 else empty
+        odd[chain] = True
     starts, ends, first = words(b, off)
     if not len(starts):
         return empty, empty, empty.astype(bool)
+    long = np.flatnonzero(ends - starts > 2)
+    odd[starts[long]] |= _AT_START[b[starts[long]]] & letter[starts[long] + 1]  # !diot
+    odd[ends[long] - 1] |= _AT_END[b[ends[long] - 1]] & letter[ends[long] - 2]  # shi+
     hit = np.unique(np.searchsorted(starts, np.flatnonzero(odd), "right") - 1)
     # three or more one-character words in a row
     one = (ends - starts == 1) & readable[starts]
@@ -241,6 +256,14 @@ def beginnings(word: bytes) -> list[bytes]:
     return [word[:k] for k in range(SHORTEST, min(LONGEST, len(word)) + 1)] + [word + b" "]
 
 
+def surprise(k: int, n: int, share: float) -> float:
+    """Minus the log of a bound on the chance that k or more of n documents are toxic where a share of all is (Chernoff)."""
+    p = k / n
+    if p <= share:
+        return 0.0
+    return n * (p * math.log(p / share) + ((1 - p) * math.log((1 - p) / (1 - share)) if p < 1 else 0.0))
+
+
 def texts_of(raw: np.ndarray, off: np.ndarray, letters: Letters, kept: dict) -> Iterator[list[bytes]]:
     """Words of each restored text."""
     for i, j in slices(off):
@@ -336,8 +359,9 @@ def fit(docs: DataFrame, labels: DataFrame, per_class_rows: int = PER_CLASS) ->
     for (ids, _), t in zip(held, y.tolist(), strict=True):
         in_docs[int(t)].update({f for k in ids.tolist() for f in beginnings(names[k])})
     n1, n0 = max(1, int(y.sum())), max(1, len(y) - int(y.sum()))
-    gain = {f: math.log((k + 0.5) / (n1 + 1)) - math.log((in_docs[0][f] + 0.5) / (n0 + 1)) for f, k in in_docs[1].items() if k >= LEAST_DOCS}
-    rank = sorted(gain, key=lambda f: (-gain[f] * math.sqrt(in_docs[1][f]), f))[:FEATURES]
+    told = {f: surprise(k, k + in_docs[0][f], n1 / (n1 + n0)) for f, k in in_docs[1].items() if k >= LEAST_DOCS}
+    least = math.log(max(1.0, len(in_docs[1]) / BY_CHANCE))
+    rank = sorted((f for f in told if told[f] > 0 and told[f] >= least), key=lambda f: (-told[f], f))[:FEATURES]
     if not rank:
         return None
     place = {f: k for k, f in enumerate(rank)}

@@ -246,6 +246,8 @@ def test_restore_spaced_and_whole_texts():
     raw, off = arrow_text.utf8(pa.array(["You are an 1D10T, i d i o t!!", "clean text %%% here", "", "cl0wn"]))
     b, o = toxicity.restored(raw, off, m, {})
     out = [b[x:y].tobytes().decode().split() for x, y in zip(o, o[1:], strict=False)]
+    edges, o = toxicity.restored(*arrow_text.utf8(pa.array(["you are an !diot", "i,d,i,o,t and |diot", "an i'd'i'o't", "stop! (the) a,b x, y, z it's"])), m, {})
+    assert [edges[x:y].tobytes().decode() for x, y in zip(o, o[1:], strict=False)] == ["you are an idiot", "idiot and idiot", "an idiot", "stop! (the) a,b x, y, z it's"]
     assert "idiot" in out[0][3] and "".join(out[0][4:]).startswith("idiot") and out[1] == ["clean", "text", "here"] and out[2] == [] and out[3] == ["clown"]
 
 
