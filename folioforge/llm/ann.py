@@ -1,8 +1,9 @@
 """Approximate nearest neighbours by inner product: adaptive dimension scan within probed lists.
 
-Index.  Centroids come from k-means on a sample of about ``SAMPLE`` vectors
-(drawn by a hash of the id); every vector is put in the list of its nearest
-centroid.  The number of lists to probe is what reaches ``TARGET`` recall on the
+Index.  Centroids come from k-means on a sample of about ``SAMPLE`` vectors, more
+for many lists, ``MOST_SAMPLE`` at most (drawn by a hash of the id); every vector
+is put in the list of its nearest centroid.  Lists grow with the square root of
+the table, up to ``MOST_LISTS``.  The number of lists to probe is what reaches ``TARGET`` recall on the
 sample against brute force.  A query probes at least as many lists as hold the
 neighbours wanted.
 
@@ -12,19 +13,21 @@ d of D dimensions contradicts the hypothesis "the product is at least t" is
 abandoned: p < t * d/D - Z * |q||x| * sqrt(d/D * (1 - d/D) / D), the spread of a
 random rotation's partial product.  The threshold t starts at the k-th best of
 the query among ``GAUGE`` vectors of the sample, which are candidates
-themselves.  What survives is scored in double
-precision on the original vectors; ties go to the smaller id.
+themselves, and rises with the k-th best found: a block is scanned in pieces of
+``PIECE`` candidates.  What survives is scored in double precision on the
+original vectors; ties go to the smaller id.
 
-Scale.  Lists are dealt in blocks of about ``BLOCK`` vectors and ``QUERIES``
-queries, so a list with a third of all vectors (copies of one) is many tasks;
-queries are replicated to the blocks of their lists only, and each block returns
-at most k rows a query, none below t.
+Scale.  Lists are dealt in blocks of about ``BLOCK`` vectors, so a list with a
+third of all vectors (copies of one) is many tasks; queries are replicated to the
+blocks of their lists only and pass a block together (a block is copied only
+where more than ``ASKED`` components of queries come to its list), and each
+block returns at most k rows a query, none below t.
 
 Defined cases: vectors that are null, empty, zero, of another length than the
 commonest one, or hold null or non-finite components take no part, nor do rows
-with a null id; with fewer candidates than k all are returned; repeated ids are
-candidates of their own (but a query never finds its own id); other columns are
-ignored; an empty table gives no rows.
+with a null id; with fewer candidates than k all are returned; rows with the same
+id are queries and candidates of their own, each finding the others; other
+columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -39,8 +42,8 @@ from pyspark.sql import functions as F
 from folioforge.plans.lineage import cut
 
 K, COLUMNS, Z = 20, 16, 2.75
-SAMPLE, GAUGE, MOST_LISTS, TARGET, SEED = 16_000, 6_000, 1024, 0.975, 11
-BLOCK, QUERIES = 8192, 1024
+SAMPLE, MOST_SAMPLE, GAUGE, MOST_LISTS, TARGET, SEED = 16_000, 65_536, 6_000, 4096, 0.975, 11
+BLOCK, PIECE, ASKED = 8192, 2048, 1 << 22
 _GRAIN = 1 << 30
 
 
@@ -59,6 +62,11 @@ def valid_vectors(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return v.filter(F.size("v") == common.d) if common else v
 
 
+def lists_for(n: int) -> int:
+    """Lists of a table of n vectors."""
+    return min(MOST_LISTS, int(n**0.5 / 2))
+
+
 class Index:
     """Rotation, centroids, lists to probe, and the gauge vectors."""
 
@@ -67,7 +75,7 @@ class Index:
         d = x.shape[1]
         q, r = np.linalg.qr(rng.normal(size=(d, d)))
         self.rotation = q * np.sign(np.diag(r))
-        lists = max(1, min(MOST_LISTS, int(n**0.5 / 2), len(x) // 8))
+        lists = max(1, min(lists_for(n), len(x) // 8))
         c = x[rng.choice(len(x), lists, replace=False)].copy()
         for _ in range(8):
             own = self._nearest(x, c)
@@ -119,54 +127,64 @@ class Index:
         return [o[:m] for o, m in zip(order, many.tolist(), strict=True)]
 
 
-def scan(x: np.ndarray, x_ids: np.ndarray, q: np.ndarray, q_ids: np.ndarray, floor: np.ndarray, rotation: np.ndarray, k: int, z: float = Z, columns: int = COLUMNS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query number, candidate number, score) of at most k candidates a query, none below its floor."""
-    d = x.shape[1]
-    xr, xn = (x @ rotation).astype(np.float32), np.sqrt((x * x).sum(axis=1))
+def scan(x: np.ndarray, x_ids: np.ndarray, x_rows: np.ndarray, q: np.ndarray, q_rows: np.ndarray, floor: np.ndarray, rotation: np.ndarray, k: int, z: float = Z, columns: int = COLUMNS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query number, candidate number, score) of at most k candidates a query, none below its floor; a row never finds itself."""
     got = []
+    xr, xn = (x @ rotation).astype(np.float32), np.sqrt((x * x).sum(axis=1))
     for i in range(0, len(q), 128):
-        own, ids, t = q[i : i + 128], q_ids[i : i + 128], floor[i : i + 128]
+        own, rows, t = q[i : i + 128], q_rows[i : i + 128], floor[i : i + 128].copy()
         qr, qn = (own @ rotation).astype(np.float32), np.sqrt((own * own).sum(axis=1))
-
-        def limit(at: int, a, b, t=t, qn=qn):
-            share = at / d
-            return np.where(np.isfinite(t[a]), t[a] * share - min(z, 1e9) * qn[a] * xn[b] * np.sqrt(share * (1 - share) / d), -np.inf)
-
-        first = min(columns, d)
-        p = qr[:, :first] @ xr[:, :first].T
-        share = first / d
-        spread = z * np.sqrt(share * (1 - share) / d)
-        least = np.where(np.isfinite(t)[:, None], t[:, None] * share - np.minimum(spread, 1e9) * qn[:, None] * xn[None, :] - 1e-6, -np.inf)
-        a, b = np.nonzero((p >= least) & (ids[:, None] != x_ids[None, :]))
-        p = p[a, b]
-        at = first
-        while at < d and len(a):
-            nxt = min(d, at + columns)
-            p = p + np.einsum("ij,ij->i", qr[a, at:nxt], xr[b, at:nxt])
-            at = nxt
-            if at < d:
-                keep = p >= limit(at, a, b) - 1e-6
-                a, b, p = a[keep], b[keep], p[keep]
-        keep = p >= np.where(np.isfinite(t[a]), t[a] - 1e-4 * np.abs(t[a]) - 1e-6, -np.inf)
-        a, b = a[keep], b[keep]
-        s = (own[a] * x[b]).sum(axis=1)
-        keep = s >= t[a]
-        a, b, s = a[keep], b[keep], s[keep]
-        order = np.lexsort((x_ids[b], -s, a))
-        a, b, s = a[order], b[order], s[order]
-        lead = np.searchsorted(a, a)
-        keep = np.arange(len(a)) - lead < k
-        got.append((a[keep] + i, b[keep], s[keep]))
+        a, b, s = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        for j in range(0, len(x), PIECE):
+            na, nb = _survivors(qr, qn, xr[j : j + PIECE], xn[j : j + PIECE], t, z, columns)
+            nb = nb + j
+            other = rows[na] != x_rows[nb]
+            na, nb = na[other], nb[other]
+            ns = (own[na] * x[nb]).sum(axis=1)
+            good = ns >= t[na]
+            a, b, s = np.concatenate((a, na[good])), np.concatenate((b, nb[good])), np.concatenate((s, ns[good]))
+            order = np.lexsort((x_rows[b], x_ids[b], -s, a))
+            a, b, s = a[order], b[order], s[order]
+            place = np.arange(len(a)) - np.searchsorted(a, a)
+            a, b, s, place = (c[place < k] for c in (a, b, s, place))
+            last = place == k - 1  # queries with k found: nothing below their k-th matters any more
+            t[a[last]] = np.maximum(t[a[last]], s[last])
+        got.append((a + i, b, s))
     return tuple(np.concatenate(c) for c in zip(*got, strict=True)) if got else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
 
 
+def _survivors(qr: np.ndarray, qn: np.ndarray, xr: np.ndarray, xn: np.ndarray, t: np.ndarray, z: float, columns: int) -> tuple[np.ndarray, np.ndarray]:
+    """(query number, candidate number) whose product, block of columns by block, never contradicts that it reaches t."""
+    d = xr.shape[1]
+    open_, z = ~np.isfinite(t), min(z, 1e9)
+
+    def least(at: int, tt, q_norm, x_norm, free):
+        share = at / d
+        return np.where(free, -np.inf, np.where(free, 0.0, tt) * share - z * q_norm * x_norm * np.sqrt(share * (1 - share) / d) - 1e-6)
+
+    at = min(columns, d)
+    p = qr[:, :at] @ xr[:, :at].T
+    a, b = np.nonzero(p >= least(at, t[:, None], qn[:, None], xn[None, :], open_[:, None]))
+    p = p[a, b]
+    while at < d and len(a):
+        nxt = min(d, at + columns)
+        p = p + np.einsum("ij,ij->i", qr[a, at:nxt], xr[b, at:nxt])
+        at = nxt
+        if at < d:
+            keep = p >= least(at, t[a], qn[a], xn[b], open_[a])
+            a, b, p = a[keep], b[keep], p[keep]
+    keep = p >= np.where(open_[a], -np.inf, np.where(open_[a], 0.0, t[a]) - 1e-4 * np.abs(np.where(open_[a], 0.0, t[a])) - 1e-6)
+    return a[keep], b[keep]
+
+
 def build(vectors: DataFrame, k: int = K) -> Index | None:
     """Fit an index on a bounded sample; None if there is no vector."""
     n = vectors.count()
     if not n:
         return None
     draw = F.pmod(F.xxhash64(F.lit("ann"), "vec_id"), F.lit(_GRAIN))
-    got = vectors.filter(draw < int(_GRAIN * min(1.0, SAMPLE / n))).toArrow()
+    sample = min(MOST_SAMPLE, max(SAMPLE, 16 * lists_for(n)))
+    got = vectors.filter(draw < int(_GRAIN * min(1.0, sample / n))).toArrow()
     if not got.num_rows:
         got = vectors.limit(1).toArrow()
     ids, x = np.array(got.column("vec_id").to_pylist(), np.int64), _matrix(got.column("v").combine_chunks())
@@ -189,7 +207,8 @@ def search(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding
             if batch.num_rows:
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(index.assign(_matrix(batch.column(1))), pa.int64())], names=["vec_id", "v", "list"])
 
-    stored = cut(v.mapInArrow(assigned, f"vec_id long, v {kind}, list long"), "lists")
+    placed = v.mapInArrow(assigned, f"vec_id long, v {kind}, list long")
+    stored = cut(placed.withColumn("row", F.monotonically_increasing_id()), "lists")  # a row's number is fixed once it is written
     sizes = np.zeros(lists, np.int64)
     for r in stored.groupBy("list").count().collect():  # a row for each list, MOST_LISTS at most
         sizes[r.list] = r["count"]
@@ -198,46 +217,50 @@ def search(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding
         for batch in batches:
             for i in range(0, batch.num_rows, 1024):
                 part = batch.slice(i, 1024)
-                q, ids = _matrix(part.column(1)), part.column(0).to_numpy()
+                q, ids = _matrix(part.column(2)), part.column(1).to_numpy()
                 floor, probed = index.floor(ids, q, k), index.lists_of(q, sizes, k)
                 at = np.repeat(np.arange(len(ids)), [len(p) for p in probed])
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at)), part.column(1).take(pa.array(at)), pa.array(floor[at]), pa.array(np.concatenate(probed).astype(np.int64))], names=["vec_id", "v", "floor", "list"])
-
-    queries = stored.filter(F.col("vec_id") % every == 0).select("vec_id", "v")
-    met = _met(stored, queries.mapInArrow(probing, f"vec_id long, v {kind}, floor double, list long"), index, sizes, k, Z)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    found = cut(met.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "found")
-    full = found.groupBy("query_id").agg(F.count("*").alias("c")).filter(F.col("c") >= min(k, int(sizes.sum()) - 1))
-    short = cut(queries.join(full, queries["vec_id"] == full["query_id"], "left_anti"), "short")
+                own = [part.column(c).take(pa.array(at)) for c in range(3)]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(floor[at]), pa.array(np.concatenate(probed).astype(np.int64))], names=["row", "vec_id", "v", "floor", "list"])
+
+    queries = stored.filter(F.col("vec_id") % every == 0).select("row", "vec_id", "v")
+    met = _met(stored, queries.mapInArrow(probing, f"row long, vec_id long, v {kind}, floor double, list long"), index, sizes, k, Z)
+    order = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id", "other")
+    ranked = lambda m: m.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("row", "query_id", "rank", "vec_id", "score")
+    result = ["query_id", "rank", "vec_id", "score"]
+    found = cut(ranked(met), "found")
+    full = found.groupBy("row").agg(F.count("*").alias("c")).filter(F.col("c") >= min(k, int(sizes.sum()) - 1)).select("row")
+    short = cut(queries.join(full, "row", "left_anti"), "short")
     if short.isEmpty():
-        return found
+        return found.select(*result)
     # a query that found fewer than k candidates, which a floor too high can cause, is asked again of every list, without a test
-    everywhere = short.select("vec_id", "v", F.lit(float("-inf")).alias("floor"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(lists - 1).cast("long"))).alias("list"))
-    again = _met(stored, everywhere, index, sizes, k, float("inf")).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-    return found.join(short.select(F.col("vec_id").alias("query_id")).distinct(), "query_id", "left_anti").unionByName(again)
+    everywhere = short.select("row", "vec_id", "v", F.lit(float("-inf")).alias("floor"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(lists - 1).cast("long"))).alias("list"))
+    again = ranked(_met(stored, everywhere, index, sizes, k, float("inf")))
+    return found.join(short.select("row"), "row", "left_anti").select(*result).unionByName(again.select(*result))
 
 
 def _met(stored: DataFrame, asked: DataFrame, index: Index, sizes: np.ndarray, k: int, z: float) -> DataFrame:
-    """``(query_id, vec_id, score)``: what each query finds in each block of the lists it probes."""
+    """``(row, query_id, vec_id, other, score)``: what each query finds in each block of the lists it probes; ``other`` is the candidate's row."""
     spark, lists = stored.sparkSession, len(index.centroids)
     per_list = np.zeros(lists, np.int64)
     for r in asked.select("list").groupBy("list").count().collect():
         per_list[r.list] = r["count"]
-    parts = spark.createDataFrame([(i, int(max(1, -(-sizes[i] // BLOCK))), int(max(1, -(-per_list[i] // QUERIES)))) for i in range(lists)], "list long, blocks int, asks int")
+    most = max(1, ASKED // index.centroids.shape[1])
+    parts = spark.createDataFrame([(i, int(max(1, -(-sizes[i] // BLOCK))), int(max(1, -(-per_list[i] // most)))) for i in range(lists)], "list long, blocks int, asks int")
     parts = F.broadcast(parts)  # MOST_LISTS rows at most
     pick = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
-    data = stored.join(parts, "list").withColumn("block", pick("vec_id", "blocks")).withColumn("ask", F.explode(F.sequence(F.lit(0), F.col("asks") - 1))).select("list", "block", "ask", "vec_id", "v")
-    asks = asked.join(parts, "list").withColumn("ask", pick("vec_id", "asks")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("list", "block", "ask", "vec_id", "v", "floor")
+    data = stored.join(parts, "list").withColumn("block", pick("row", "blocks")).withColumn("ask", F.explode(F.sequence(F.lit(0), F.col("asks") - 1))).select("list", "block", "ask", "row", "vec_id", "v")
+    asks = asked.join(parts, "list").withColumn("ask", pick("row", "asks")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("list", "block", "ask", "row", "vec_id", "v", "floor")
     rotation = index.rotation
 
     def found(left: pa.Table, right: pa.Table) -> pa.Table:
-        names, kinds = ["query_id", "vec_id", "score"], [pa.int64(), pa.int64(), pa.float64()]
+        names, kinds = ["row", "query_id", "vec_id", "other", "score"], [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64()]
         if not left.num_rows or not right.num_rows:
             return pa.table([pa.array([], t) for t in kinds], names=names)
         x, q = _matrix(left.column("v").combine_chunks()), _matrix(right.column("v").combine_chunks())
-        x_ids, q_ids = left.column("vec_id").to_numpy(), right.column("vec_id").to_numpy()
-        a, b, s = scan(x, x_ids, q, q_ids, right.column("floor").to_numpy(), rotation, k, z)
-        return pa.table([pa.array(q_ids[a]), pa.array(x_ids[b]), pa.array(s)], names=names)
+        x_ids, x_rows, q_ids, q_rows = (t.column(c).to_numpy() for t in (left, right) for c in ("vec_id", "row"))
+        a, b, s = scan(x, x_ids, x_rows, q, q_rows, right.column("floor").to_numpy(), rotation, k, z)
+        return pa.table([pa.array(c) for c in (q_rows[a], q_ids[a], x_ids[b], x_rows[b], s)], names=names)
 
     keys = ["list", "block", "ask"]
-    return data.groupBy(*keys).cogroup(asks.groupBy(*keys)).applyInArrow(found, "query_id long, vec_id long, score double")
+    return data.groupBy(*keys).cogroup(asks.groupBy(*keys)).applyInArrow(found, "row long, query_id long, vec_id long, other long, score double")

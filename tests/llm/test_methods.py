@@ -330,16 +330,35 @@ def test_network_gradients():
 # ---------------------------------------------------------------- nearest neighbours
 
 
-def test_scan_without_test_is_exact():
+def test_scan_without_test_is_exact(monkeypatch):
     r = np.random.Generator(np.random.PCG64(6))
     x, q = r.normal(size=(300, 24)), r.normal(size=(9, 24))
     rot = np.linalg.qr(r.normal(size=(24, 24)))[0]
-    a, b, s = ann.scan(x, np.arange(300), q, np.arange(1000, 1009), np.full(9, -np.inf), rot, 5, float("inf"), 7)
+    monkeypatch.setattr(ann, "PIECE", 64)
+    ids = np.arange(300)
+    a, b, s = ann.scan(x, ids, ids, q, np.arange(1000, 1009), np.full(9, -np.inf), rot, 5, float("inf"), 7)
     for i in range(9):
         want = np.lexsort((np.arange(300), -(x @ q[i])))[:5]
         assert b[a == i].tolist() == want.tolist() and np.allclose(s[a == i], (x @ q[i])[want])
 
 
+def test_abandoned_candidates_are_few_of_the_best():
+    r = np.random.Generator(np.random.PCG64(8))
+    x, q = r.normal(size=(4000, 64)), r.normal(size=(40, 64))
+    rot, ids = np.linalg.qr(r.normal(size=(64, 64)))[0], np.arange(4000)
+    a, b, _ = ann.scan(x, ids, ids, q, np.arange(9000, 9040), np.full(40, -np.inf), rot, 10)
+    hit = sum(len(set(b[a == i]) & set(np.argsort(-(x @ q[i]))[:10])) for i in range(40))
+    assert hit >= 0.97 * 400
+
+
+def test_rows_with_the_same_id(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [1.0, 1.0]), (1, [1.0, 1.0]), (2, [3.0, -1.0])]
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    first = [(0, 1, 2, 3.0), (0, 2, 1, 1.0), (0, 3, 1, 1.0), (0, 4, 0, 0.0)]
+    second = [(0, 1, 1, 1.0), (0, 2, 1, 1.0), (0, 3, 0, 0.0), (0, 4, 2, -1.0)]
+    assert got == sorted(first + second)
+
+
 def test_recall(spark, sf):
     rows = spark.read.parquet(f"{sf}/embeddings.parquet")
     got = ann.search(rows).toPandas()
