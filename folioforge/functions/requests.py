@@ -12,6 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioforge.functions.text import let
+
 _NOT_IN_WORD, _WORD_ENDS = "(?<![\\p{L}\\p{N}_])", "(?!\\p{L})"
 _NUMBER = "(?<![\\p{L}\\p{N}_.,])-?[0-9]+(?:[.,][0-9]+)?"
 # Kinds of the inputs, how they are written, units.
@@ -70,11 +72,6 @@ def _readings() -> list[tuple[str, int, str, str]]:
     return [*out, ("nominal_size", 3, "", "^\\s*mm\\s*[Hh][0-9]{1,2}(?![0-9])")]
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once, however often the body names it."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def _keyed(rows: Column, *keys: str) -> Column:
     return F.filter(rows, lambda r: r["key"].isin(*keys))
 

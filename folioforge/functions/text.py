@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,6 +22,11 @@ UNICODE_SPACES = "[  -​  　﻿]"
 BOILERPLATE = ("^Not for Resale\\s*$", "^--`[`,\\-]*---\\s*$")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def token_features(text: Column) -> dict[str, Column]:
     """Integer features; those of two texts joined by white space add up (a line feed adds one newline)."""
     count = lambda p: F.regexp_count(text, F.lit(p)).cast("long")
@@ -101,16 +108,13 @@ def numbers_in(text: Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(F.filter(found, lambda n: n != ""), canonical_number)))
 
 
-def language(text: Column) -> Column:
-    """Language of a text's first 4000 words by stop words: at least five, else 'und'."""
-    words = F.slice(F.regexp_extract_all(F.lower(text), F.lit("(\\p{L}+)")), 1, 4000)
-    held = lambda vocab: F.size(F.filter(words, lambda w: w.isin(*vocab)))
-    score = {k: held(v) for k, v in LANGUAGE_WORDS.items()}
-    best = F.greatest(*score.values())
-    out = F.lit("und")
-    for k in reversed(list(LANGUAGE_WORDS)):
-        out = F.when((best >= 5) & (score[k] == best), F.lit(k)).otherwise(out)
-    return F.when(text.isNull(), F.lit("und")).otherwise(out)
+def language(text: Column, most_words: int | None = None) -> Column:
+    """Language of a text by stop words: at least five, else 'und'; ``most_words`` reads only so many first words."""
+    low = F.lower(text) if most_words is None else F.array_join(F.slice(F.regexp_extract_all(F.lower(text), F.lit("(\\p{L}+)")), 1, most_words), " ")
+    counts = let(low, lambda x: F.array(*(F.regexp_count(x, F.lit("(?<!\\p{L})(?:" + "|".join(v) + ")(?!\\p{L})")) for v in LANGUAGE_WORDS.values())))
+    names = F.array(*map(F.lit, LANGUAGE_WORDS))
+    told = let(counts, lambda c: F.when(F.array_max(c) >= 5, F.element_at(names, F.array_position(c, F.array_max(c)).cast("int"))))  # the first of equals
+    return F.coalesce(told, F.lit("und"))
 
 
 def page_quality(text: Column, method: Column | None = None, ocr_confidence: Column | None = None) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioforge.functions.text import let, squash
 from folioforge.plans.lineage import broadcast_if_small
 
 # ------------------------------------------------------------------ versions and lifecycle
@@ -70,29 +71,29 @@ def fingerprint(parts: Column, *header: Column) -> Column:
 
 def traced_share(chunk: Column, pages: Column, least: int = 8) -> Column:
     """Share of a chunk's lines (without white space, of at least ``least`` characters) that stand in its pages."""
-    from folioforge.functions.text import squash
-
     lines = F.filter(F.transform(F.split(chunk, "\n"), squash), lambda x: F.length(x) >= least)
-    held = F.filter(lines, lambda x: F.contains(squash(pages), x))
-    return F.when(F.size(lines) == 0, F.lit(1.0)).otherwise(F.size(held) / F.size(lines))
+    both = F.struct(lines.alias("lines"), squash(pages).alias("pages"))
+    return let(both, lambda b: F.when(F.size(b["lines"]) == 0, F.lit(1.0)).otherwise(F.size(F.filter(b["lines"], lambda x: F.contains(b["pages"], x))) / F.size(b["lines"])))
 
 
 # ------------------------------------------------------------------ scopes, audit, lists
 
 
-def in_scope(rows: DataFrame, scopes: DataFrame, users: DataFrame, area: str, document: str, owner_role: str = "owner_admin") -> DataFrame:
+def in_scope(rows: DataFrame, scopes: DataFrame, users: DataFrame, area: str, document: str, owner_role: str = "owner_admin", block: int = 10_000) -> DataFrame:
     """Rows each user may see: all for the owner, else those of a granted area or document, once each.
 
-    The grants are joined by equality on each kind, so no user meets a row for nothing.
+    Owners see every row by one rule, without a join: their ids stand in the
+    plan, ``block`` at a time.  Grants are joined by equality on each kind.
     """
     live = scopes.filter(~F.col("revoked"))
-    own = users.filter(F.col("role") == owner_role).select("user_id")
-    own, _ = broadcast_if_small(own, 10_000)
-    every = rows.withColumn("_one", F.lit(1)).join(own.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    owners = [r.user_id for r in users.filter(F.col("role") == owner_role).select("user_id").distinct().orderBy("user_id").toLocalIterator()]  # a row for each owner
     others = live.join(users.filter(F.col("role") != owner_role).select("user_id"), "user_id", "left_semi")
     by_area = rows.join(others.filter("scope_type = 'area'").select("user_id", F.col("scope_id").alias(area)), area)
     by_doc = rows.join(others.filter("scope_type = 'document'").select("user_id", F.col("scope_id").alias(document)), document)
-    return every.select("user_id", *rows.columns).unionByName(by_area.select("user_id", *rows.columns).unionByName(by_doc.select("user_id", *rows.columns)).distinct())
+    out = by_area.select("user_id", *rows.columns).unionByName(by_doc.select("user_id", *rows.columns)).distinct()
+    for i in range(0, len(owners), block):
+        out = out.unionByName(rows.select(F.explode(F.array(*map(F.lit, owners[i : i + block]))).alias("user_id"), *rows.columns))
+    return out
 
 
 def audit_page(events: DataFrame, prefix: str | None = None, contains: str | None = None, user: int | None = None, since: str | None = None, until: str | None = None, limit: int = 50, offset: int = 0, text: str = "props") -> DataFrame:

@@ -20,12 +20,36 @@ def lexemes(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("([\\p{L}\\p{N}]+)"))
 
 
-def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, lexeme, tf, first_pos)``: the inverted index of the plain configuration."""
+def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", only: DataFrame | None = None) -> DataFrame:
+    """``(doc_id, lexeme, tf, first_pos)``: the inverted index of the plain configuration; ``only(lexeme)`` keeps the words of some questions, before anything is counted."""
     words = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(lexemes(F.col(text_col))).alias("pos", "lexeme"))
+    if only is not None:
+        wanted, _ = broadcast_if_small(only.select("lexeme").distinct(), QUESTION_ROWS)
+        words = words.join(wanted, "lexeme", "left_semi")
     return words.groupBy("doc_id", "lexeme").agg(F.count("*").alias("tf"), F.min("pos").cast("long").alias("first_pos"))
 
 
+def phrase_candidates(docs: DataFrame, phrases: DataFrame, phrase: str) -> DataFrame:
+    """Documents that may hold a phrase, as rows of both: ``docs(doc_id, text)`` and ``phrases``, whose key is all its columns.
+
+    A phrase's inner words stand whole in any text that holds it (its outer ones
+    may be parts of words): the longest of them finds the documents by equality.
+    Phrases without an inner word meet every document; they are a stated set,
+    which stands in the plan in blocks.
+    """
+    inner = F.regexp_extract_all(F.regexp_replace(F.regexp_replace(F.lower(phrase), "^[\\p{L}\\p{N}]+", " "), "[\\p{L}\\p{N}]+$", " "), F.lit("([\\p{L}\\p{N}]+)"))
+    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    keyed = phrases.withColumn("lexeme", longest)
+    near = postings(docs, only=keyed.filter("lexeme is not null")).select("doc_id", "lexeme").join(keyed.filter("lexeme is not null"), "lexeme").drop("lexeme")
+    out = near.join(docs.select("doc_id", "text"), "doc_id").select("doc_id", "text", *phrases.columns)
+    bare = phrases.join(keyed.filter("lexeme is null").select(*phrases.columns), phrases.columns, "left_semi")
+    rest = [r.asDict() for r in bare.toLocalIterator()]
+    for i in range(0, len(rest), 1000):
+        block = F.array(*(F.struct(*(F.lit(r[c]).cast(t).alias(c) for c, t in phrases.dtypes)) for r in rest[i : i + 1000]))
+        out = out.unionByName(docs.select("doc_id", "text", F.explode(block).alias("p")).select("doc_id", "text", "p.*"))
+    return out
+
+
 def question_terms(questions: DataFrame, least: int = 1) -> DataFrame:
     """``(qid, lexeme)``: distinct words of each question of at least ``least`` characters."""
     return questions.select("qid", F.explode(F.array_distinct(lexemes(F.col("text")))).alias("lexeme")).filter(F.length("lexeme") >= least)

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioforge.functions import text as T
 from folioforge.operators import calc, diagnosis, grounding, packing, relational, search
+from folioforge.plans.lineage import cut
 from folioforge.plans.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,10 +59,13 @@ def text_html_strip(spark, sf_dir):
     return t.select("page_id", F.md5("t").alias("text_md5"), F.length("t").cast("long").alias("n_chars"))
 
 
-@query("""select doc_id, md5(t) as text_md5 from (select doc_id, regexp_replace(regexp_replace(regexp_replace(array_to_string(list_filter(list_transform(string_split(replace(replace(
+_NORMAL = """regexp_replace(regexp_replace(regexp_replace(array_to_string(list_filter(list_transform(string_split(replace(replace(
   regexp_replace(replace(regexp_replace(translate(text, '‐‑‒', '---'), '\\x{00AD}[ \\t]*\\r?\\n', '', 'g'), chr(173), '-'), '[\\x{00A0}\\x{2000}-\\x{200B}\\x{202F}\\x{205F}\\x{3000}\\x{FEFF}]', ' ', 'g'),
   chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)), lambda x: regexp_replace(x, '\\s+$', '')), lambda x: not regexp_matches(trim(x), '(?:^Not for Resale\\s*$)|(?:^--`[`,\\-]*---\\s*$)')), chr(10)),
-  '\\n{3,}', chr(10) || chr(10), 'g'), '^\\s+', ''), '\\s+$', '') as t from documents)""")
+  '\\n{3,}', chr(10) || chr(10), 'g'), '^\\s+', ''), '\\s+$', '')"""
+
+
+@query(f"select doc_id, md5({_NORMAL}) as text_md5 from documents")
 def text_normalize(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.normalize_text(F.col("text"))).alias("text_md5"))
 
@@ -89,7 +93,7 @@ _LANGS = {k: "[" + ", ".join(f"'{w}'" for w in v) + "]" for k, v in T.LANGUAGE_W
 
 
 @query("select doc_id, case when greatest(en, de, fr, tr) < 5 then 'und' when en = greatest(en, de, fr, tr) then 'en' when de = greatest(en, de, fr, tr) then 'de' when fr = greatest(en, de, fr, tr) then 'fr' else 'tr' end as detected from (select doc_id, "
-       + ", ".join(f"len(list_filter(ws, lambda w: list_contains({v}, w))) as {k}" for k, v in _LANGS.items()) + " from (select doc_id, (regexp_extract_all(lower(text), '\\p{L}+'))[1:4000] as ws from documents))")
+       + ", ".join(f"len(list_filter(ws, lambda w: list_contains({v}, w))) as {k}" for k, v in _LANGS.items()) + " from (select doc_id, regexp_extract_all(lower(text), '\\p{L}+') as ws from documents))")
 def text_language(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.language(F.col("text")).alias("detected"))
 
@@ -99,9 +103,9 @@ def text_turkish_fold(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.squash(T.tr_lower(F.col("text"))).alias("squashed"))
 
 
-@query("select doc_id, source, trim(regexp_replace(substr(regexp_replace(regexp_replace(lower(translate(s, 'çğıöşüÇĞİÖŞÜ', 'cgiosucgiosu')), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 60), '-+$', '', 'g')) as slug from (select doc_id, source, substr(text, 1, 90) as s from documents)")
+@query("select doc_id, source, trim(regexp_replace(substr(regexp_replace(regexp_replace(lower(translate(s, 'çğıöşüÇĞİÖŞÜ', 'cgiosucgiosu')), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 60), '-+$', '', 'g')) as slug from (select doc_id, source, text as s from documents)")
 def text_slug(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", "source", T.slugify(F.substring("text", 1, 90)).alias("slug"))
+    return table(spark, sf_dir, "documents").select("doc_id", "source", T.slugify(F.col("text")).alias("slug"))
 
 
 # ------------------------------------------------------------------ segments and chunks
@@ -148,11 +152,9 @@ r as (select user_id, i, ts as anchor, 0::bigint as w from e where i = 1
   union all select e.user_id, e.i, case when epoch_us(e.ts) - epoch_us(anchor) >= 60000000 then e.ts else anchor end, case when epoch_us(e.ts) - epoch_us(anchor) >= 60000000 then w + 1 else w end from r join e on e.user_id = r.user_id and e.i = r.i + 1)
 select user_id, w as win, count(*)::bigint as n_events from r group by user_id, w""")
 def transcript_windows(spark, sf_dir):
-    """Windows of 60 s from the first event of each user: one fold over a user's sorted times."""
+    """Windows of 60 s from the first event of each user."""
     e = table(spark, sf_dir, "events").select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
-    times = e.groupBy("user_id").agg(F.sort_array(F.collect_list("t")).alias("times"))
-    w = times.select("user_id", F.explode(packing.anchored_windows(F.col("times"), 60_000_000.0)).alias("win"))
-    return w.groupBy("user_id", "win").agg(F.count("*").alias("n_events"))
+    return packing.anchored_windows(e, "user_id", "t", 60_000_000.0).withColumnRenamed("n", "n_events")
 
 
 # ------------------------------------------------------------------ index and retrieval
@@ -172,9 +174,10 @@ placed as materialized (select * from (select *, row_number() over (partition by
 
 
 def _index(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    index = search.postings(table(spark, sf_dir, "documents"))
+    """Postings of the questions' words of 6 letters or more, the searchable ones here, and these words."""
     questions = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text")
-    return index, search.question_terms(questions, 6)
+    terms = search.question_terms(questions, 6)
+    return cut(search.postings(table(spark, sf_dir, "documents"), only=terms), "postings"), terms
 
 
 def _fused(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -242,25 +245,16 @@ def search_metrics(spark, sf_dir):
 
 def _truth(spark, sf_dir) -> DataFrame:
     d, b = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("item"))
-    words = b.select("qid", "item", F.explode(F.array_distinct(search.lexemes(F.col("item")))).alias("lexeme"))
-    key = words.groupBy("qid", "item").agg(F.max(F.struct(F.length("lexeme"), "lexeme")).alias("k")).select("qid", "item", F.col("k.lexeme").alias("lexeme"))
-    near = search.postings(d).select("doc_id", "lexeme").join(key, "lexeme")
-    return near.join(d.select("doc_id", "text"), "doc_id").filter(F.contains("text", F.col("item"))).select("qid", "doc_id").distinct()
+    return search.phrase_candidates(d, b, "item").filter(F.contains("text", F.col("item"))).select("qid", "doc_id").distinct()
 
 
 @query("""select item_id, d.doc_id, row_number() over (partition by item_id order by d.doc_id <> item_id, d.doc_id)::bigint as place from documents d join (
   select item_id, array_to_string(ws[1:4], ' ') as p1, array_to_string(ws[5:8], ' ') as p2 from (select item_id, string_split(text, ' ') as ws from benchmark)) b on contains(d.text, p1) and contains(d.text, p2)""")
 def evidence_match(spark, sf_dir):
-    """Requirements of two phrases; the longest word of the first one finds the candidates by equality."""
-    from pyspark.sql import Window
-
+    """Requirements of two phrases; an inner word of the first one finds the candidates by equality."""
     d, ws = table(spark, sf_dir, "documents"), F.split("text", " ")
     req = table(spark, sf_dir, "benchmark").select("item_id", F.array_join(F.slice(ws, 1, 4), " ").alias("p1"), F.array_join(F.slice(ws, 5, 4), " ").alias("p2"))
-    # inner words of a phrase stand whole in any text that holds it; its outer ones may be parts of words
-    words = req.select("item_id", "p1", "p2", F.explode(search.lexemes(F.array_join(F.slice(F.split("p1", "\\s"), 2, 2), " "))).alias("lexeme"))
-    key = words.groupBy("item_id", "p1", "p2").agg(F.max(F.struct(F.length("lexeme"), "lexeme")).alias("k")).select("item_id", "p1", "p2", F.col("k.lexeme").alias("lexeme"))
-    near = search.postings(d).select("doc_id", "lexeme").join(key, "lexeme").join(d.select("doc_id", "text"), "doc_id")
-    held = near.filter(F.contains("text", F.col("p1")) & F.contains("text", F.col("p2")))
+    held = search.phrase_candidates(d, req, "p1").filter(F.contains("text", F.col("p1")) & F.contains("text", F.col("p2"))).select("item_id", "doc_id").distinct()
     w = Window.partitionBy("item_id").orderBy(F.col("doc_id") != F.col("item_id"), "doc_id")
     return held.select("item_id", "doc_id", F.row_number().over(w).cast("long").alias("place"))
 
@@ -317,11 +311,11 @@ def fingerprint_docs(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", relational.fingerprint(parts, F.lit(1), F.col("lang")).alias("fingerprint"))
 
 
-@query("""select doc_id, case when len(ls) = 0 then 1.0 else len(list_filter(ls, lambda x: contains(page, x))) / len(ls)::double end as traced from (select doc_id, regexp_replace(substr(text, 1, 3000), '[\\s\\x{00A0}]+', '', 'g') as page,
-  list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '[\\s\\x{00A0}]+', '', 'g')), lambda x: length(x) >= 8) as ls from documents)""")
+@query(f"""select doc_id, case when len(ls) = 0 then 1.0 else len(list_filter(ls, lambda x: contains(page, x))) / len(ls)::double end as traced from (select doc_id, regexp_replace({_NORMAL}, '[\\s\\x{{00A0}}]+', '', 'g') as page,
+  list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '[\\s\\x{{00A0}}]+', '', 'g')), lambda x: length(x) >= 8) as ls from documents)""")
 def traceability(spark, sf_dir):
-    """Share of each text's lines that its first page holds."""
-    return table(spark, sf_dir, "documents").select("doc_id", relational.traced_share(F.col("text"), F.substring("text", 1, 3000)).alias("traced"))
+    """Share of each text's lines that its normalised pages hold."""
+    return table(spark, sf_dir, "documents").select("doc_id", relational.traced_share(F.col("text"), T.normalize_text(F.col("text"))).alias("traced"))
 
 
 @query("select o_custkey, count(*)::bigint as n_entries, max_by(o_orderkey, struct_pack(d := o_orderdate, k := o_orderkey))::bigint as o_orderkey, max_by(o_orderstatus, struct_pack(d := o_orderdate, k := o_orderkey)) as o_orderstatus from orders group by o_custkey")
@@ -425,8 +419,6 @@ def snapshot_changes(spark, sf_dir):
 @query("""with recursive i as (select row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) as rn, o_orderkey, o_custkey, lag(o_orderkey) over (partition by o_custkey order by o_orderdate, o_orderkey) as replaces from orders),
 r as (select o_orderkey, o_orderkey as root, 0::bigint as depth from i where replaces is null union all select i.o_orderkey, root, depth + 1 from r join i on i.replaces = r.o_orderkey) select o_orderkey as item_id, root, depth from r""")
 def chain_history(spark, sf_dir):
-    from pyspark.sql import Window
-
     w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
     items = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("item_id"), F.lag("o_orderkey").over(w).alias("replaces"))
     return relational.chains(items)

@@ -92,4 +92,6 @@ def test_pack_lines(spark):
 
 
 def test_anchored_windows(spark):
-    assert spark.range(1).select(packing.anchored_windows(F.array(*map(F.lit, [0.0, 59.0, 60.0, 119.9, 200.0])), 60.0)).first()[0] == [0, 0, 1, 1, 2]
+    times = [(k, t) for k, ts in enumerate(([0.0, 59.0, 60.0, 119.9, 200.0], [7.0], [0.0, 50.0, 100.0, 150.0, 199.0, 500.0, 500.0])) for t in ts]
+    got = sorted(map(tuple, packing.anchored_windows(spark.createDataFrame(times, "k int, t double"), "k", "t", 60.0).collect()))
+    assert got == [(0, 0, 2), (0, 1, 2), (0, 2, 1), (1, 0, 1), (2, 0, 2), (2, 1, 2), (2, 2, 1), (2, 3, 2)]
