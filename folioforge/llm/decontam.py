@@ -16,9 +16,11 @@ are found by runs of words, at word bounds and without edits.
 The benchmark is the query set: it goes to the executors in blocks of a bounded
 number of items and characters, each a pass over the documents.
 
-Defined cases: null and empty texts hold no leak; null ``doc_id`` and repeated
-rows are reported as they are; a null item text takes no part; other columns
-are ignored; an empty table or benchmark gives no rows.
+Defined cases: null and empty texts hold no leak; very long texts are searched
+whole; of a text's bands for an item the one with the fewest edits is reported,
+of these the one with most shared q-grams, then the first; null ``doc_id`` and
+repeated rows are reported as they are; a null item text takes no part; other
+columns are ignored; an empty table or benchmark gives no rows.
 """
 
 from __future__ import annotations

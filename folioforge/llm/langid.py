@@ -15,9 +15,10 @@ by a hash of the id from those whose ``lang`` isn't null and whose crc32 fold
 isn't held out.  lang, source and doc_id are never inputs of a prediction.
 
 Defined cases: a null text, or one without any Unicode letter, is ``und`` with
-score 0; with no learned language every text is ``und``; null ``doc_id`` isn't
-held out and isn't learned from; repeated rows are scored alike; ties go to the
-alphabetically first; other columns are ignored.
+score 0; with no learned language every text is ``und``; a very long text is
+scored whole, in one pass over its trigrams; null ``doc_id`` isn't held out and
+isn't learned from; repeated rows are scored alike; ties go to the alphabetically
+first; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ from folioforge.llm.arrow_text import fold, slices, utf8
 from folioforge.llm.sampling import fold_of, linear_svm, per_class
 
 BUCKETS, PER_LANG, FOLDS, HELD_OUT = 1 << 12, 500, 4, 2
+#: Scores below which a document counts as told by nothing, and from which a prediction outweighs a given language.
+LEAST, SURE = 0.2, 0.9
 # Families of common language codes.
 FAMILIES = {
     "germanic": "en de nl sv da no nb nn is af",
@@ -191,13 +194,22 @@ def language_id(docs: DataFrame) -> DataFrame:
     return identify(docs, fit(docs))
 
 
-def keep_known(docs: DataFrame, model: Model | None, least: float = 0.2) -> DataFrame:
-    """``docs`` without those whose language isn't told: ``und``, or a score below ``least``."""
-    fields, k = docs.schema, docs.columns.index("text")
+def keep_known(docs: DataFrame, model: Model | None, least: float = LEAST, sure: float = SURE) -> DataFrame:
+    """``docs`` without those whose language isn't told: ``und``, or a score below ``least``.
+
+    The prediction becomes ``lang`` where that is null, or differs from a
+    prediction whose score is ``sure`` at least.
+    """
+    fields, at, own = docs.schema, docs.columns.index("text"), docs.columns.index("lang")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lang, score = label(batch.column(k).cast(pa.string()), model)
-            yield batch.filter(pa.array([c != "und" and s >= least for c, s in zip(lang, score, strict=True)], pa.bool_()))
+            told, score = label(batch.column(at).cast(pa.string()), model)
+            given = batch.column(own).to_pylist()
+            lang = [p if g is None or s >= sure else g for g, p, s in zip(given, told, score, strict=True)]
+            cols = list(batch.columns)
+            cols[own] = pa.array(lang, batch.column(own).type)
+            keep = pa.array([c != "und" and s >= least for c, s in zip(told, score, strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays(cols, schema=batch.schema).filter(keep)
 
     return docs.mapInArrow(run, fields)

@@ -15,8 +15,9 @@ lines are joined with it by (host, hash) and only the numbers of the dropped
 lines travel back to the pages, which are known by key, host and text.
 
 Defined cases: a null host is a host of its own; a null text stays null with no
-lines; an empty text stays empty; repeated rows are pages of their own; other
-columns pass through; an empty table gives no rows.
+lines; an empty text stays empty; a line whose share is the ratio exactly stays;
+very long texts are split whole; repeated rows are pages of their own; other
+columns pass through, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,8 +28,8 @@ from pyspark.sql import functions as F
 from folioforge.plans.lineage import broadcast_if_small, cut
 
 MAX_RATIO, MIN_PAGES = 0.003, 3
-#: Boilerplate lines up to which the list is broadcast (about 50 bytes each).
-BROADCAST_ROWS = 200_000
+#: Boilerplate lines up to which the list is broadcast (about 50 bytes each), and short lists a host's are dealt to.
+BROADCAST_ROWS, BUCKETS = 200_000, 256
 
 
 def _key(line: Column) -> Column:
@@ -50,31 +51,49 @@ def boilerplate(pages: DataFrame, host: str, text: str, max_ratio: float = MAX_R
     return joined.filter(F.col("_pages") > F.col("_total") * F.lit(float(max_ratio))).select("a._host", "h", "g")
 
 
+def _listed(found: DataFrame) -> DataFrame:
+    """``(host, bad)``: each host's boilerplate as BUCKETS lists of keys, so that a line is looked up in one short list."""
+    keys = found.select(F.col("_host").alias("host"), F.pmod("h", F.lit(BUCKETS)).cast("int").alias("bucket"), F.struct("h", "g").alias("k"))
+    lists = keys.groupBy("host", "bucket").agg(F.collect_list("k").alias("ks")).groupBy("host").agg(F.map_from_entries(F.collect_list(F.struct("bucket", "ks"))).alias("by_bucket"))
+    none = F.array().cast("array<struct<h:bigint,g:bigint>>")
+    return lists.select("host", F.transform(F.sequence(F.lit(0), F.lit(BUCKETS - 1)), lambda b: F.coalesce(F.try_element_at("by_bucket", b), none)).alias("bad"))
+
+
 def drop_boilerplate(
     pages: DataFrame, host: str = "source", text: str = "text", key: str = "doc_id", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, broadcast_rows: int = BROADCAST_ROWS
 ) -> DataFrame:
-    """``pages`` with ``text`` less its boilerplate lines, and ``_n_lines`` / ``_n_dropped``."""
+    """``pages`` with ``text`` less its boilerplate lines, and ``_n_lines`` / ``_n_dropped`` (which replace columns of these names)."""
     found = cut(boilerplate(pages, host, text, max_ratio, min_pages), "boilerplate")
     _, small = broadcast_if_small(found, broadcast_rows)
-    lines = F.split(F.col(text), "\n")
-    n_lines = F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long")
+    # a page's own columns travel as one struct, so no name of theirs can clash
+    rows = pages.select(F.struct(*pages.columns).alias("page"), F.col(key).alias("id"), F.col(host).cast("string").alias("host"), F.col(text).alias("text")).withColumn("lines", F.split("text", "\n"))
     if small:
-        lists = found.groupBy("_host").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws(":", "h", "g"), F.lit(True)))).alias("_bad"))
-        held = pages.join(F.broadcast(lists), F.col(host).cast("string").eqNullSafe(F.col("_host")), "left")
-        name = lambda x: F.concat_ws(":", _key(_trim(x))["h"], _key(_trim(x))["g"])
-        kept = F.when(F.col("_bad").isNull(), lines).otherwise(F.filter(lines, lambda x: (_trim(x) == "") | ~F.map_contains_key("_bad", name(x))))
-        return held.withColumn("_n_lines", n_lines).withColumn("_kept", kept).withColumn("_n_dropped", F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.size(lines) - F.size("_kept")).cast("long")).withColumn(text, F.array_join("_kept", "\n")).drop("_host", "_bad", "_kept")
-    # a page is known by its key, host and text: keys may be null or repeated, and equal rows drop equal lines
-    page = [F.col(key).alias("_id"), F.col(host).cast("string").alias("_host"), F.xxhash64(F.col(text)).alias("_t"), F.xxhash64(F.lit("page"), F.col(text)).alias("_u")]
-    numbered = pages.select(*page, F.posexplode(F.transform(lines, _trim)).alias("_pos", "_line")).filter("_line <> ''")
-    numbered = numbered.select("_id", "_host", "_t", "_u", "_pos", _key(F.col("_line")).alias("k")).select("_id", "_host", "_t", "_u", "_pos", "k.*")
-    a, b = numbered.alias("a"), found.alias("b")
-    hits = a.join(b, F.col("a._host").eqNullSafe(F.col("b._host")) & (F.col("a.h") == F.col("b.h")) & (F.col("a.g") == F.col("b.g")), "left_semi")
-    gone = hits.groupBy("_id", "_host", "_t", "_u").agg(F.collect_set("_pos").alias("_gone"))  # at most the lines of one page
-    same = F.col(key).eqNullSafe(F.col("_id")) & F.col(host).cast("string").eqNullSafe(F.col("_host")) & (F.xxhash64(F.col(text)) == F.col("_t")) & (F.xxhash64(F.lit("page"), F.col(text)) == F.col("_u"))
-    held = pages.join(gone, same, "left")
-    kept = F.when(F.col("_gone").isNull(), lines).otherwise(F.filter(lines, lambda x, i: ~F.array_contains("_gone", i)))
-    return held.withColumn("_n_lines", n_lines).withColumn("_kept", kept).withColumn("_n_dropped", F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.size(lines) - F.size("_kept")).cast("long")).withColumn(text, F.array_join("_kept", "\n")).drop("_id", "_host", "_t", "_u", "_gone", "_kept")
+        held = rows.join(F.broadcast(_listed(found)).withColumnRenamed("host", "of"), F.col("host").eqNullSafe(F.col("of")), "left")
+
+        def clean(x: Column) -> Column:
+            k = _key(_trim(x))
+            return (_trim(x) == "") | ~F.array_contains(F.element_at("bad", (F.pmod(k["h"], F.lit(BUCKETS)) + 1).cast("int")), k)
+
+        kept = F.when(F.col("bad").isNull(), F.col("lines")).otherwise(F.filter("lines", clean))
+    else:
+        # a page is known by its key, host and text: keys may be null or repeated, and equal rows drop equal lines
+        marks = {"id": F.col("id"), "host": F.col("host"), "t": F.xxhash64("text"), "u": F.xxhash64(F.lit("page"), "text")}
+        numbered = rows.select(*(c.alias(n) for n, c in marks.items()), F.posexplode(F.transform("lines", _trim)).alias("pos", "line")).filter("line <> ''")
+        numbered = numbered.select(*marks, "pos", _key(F.col("line")).alias("k")).select(*marks, "pos", "k.*")
+        a, b = numbered.alias("a"), found.alias("b")
+        hits = a.join(b, F.col("a.host").eqNullSafe(F.col("b._host")) & (F.col("a.h") == F.col("b.h")) & (F.col("a.g") == F.col("b.g")), "left_semi")
+        gone = hits.groupBy(*marks).agg(F.collect_set("pos").alias("gone"))  # at most the lines of one page
+        gone = gone.select(*(F.col(n).alias(f"of_{n}") for n in marks), "gone")
+        same = F.lit(True)
+        for n, c in marks.items():
+            same = same & c.eqNullSafe(F.col(f"of_{n}"))
+        held = rows.join(gone, same, "left")
+        kept = F.when(F.col("gone").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x, i: ~F.array_contains("gone", i)))
+    n_lines = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size("lines"))
+    n_dropped = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size("lines") - F.size("kept"))
+    out = held.withColumn("kept", kept)
+    own = [F.array_join("kept", "\n").alias(c) if c == text else F.col("page")[c].alias(c) for c in pages.columns if c not in ("_n_lines", "_n_dropped")]
+    return out.select(*own, n_lines.cast("long").alias("_n_lines"), n_dropped.cast("long").alias("_n_dropped"))
 
 
 def line_dedup(docs: DataFrame, **options) -> DataFrame:

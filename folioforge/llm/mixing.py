@@ -21,7 +21,8 @@ ends, and only documents of that range are sorted.
 Defined cases: null lang or source is the value ''; a null text has 0 tokens
 and, like any text without a word, is never selected; rows with a null
 ``doc_id`` are left out; repeated rows are documents of their own with tied
-order, and ties are all taken or all left; an empty table gives no rows.
+order, and ties are all taken or all left; the words of a very long text are
+counted whole; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -14,8 +14,11 @@ excerpt (at word bounds, drawn anew in each epoch) with its label.  lang, source
 
 Defined cases: a null text is empty; an empty text is one window of padding and
 so has a score too; with no labels, or labels of one class, every score is the
-share of label 1 (0 without labels); null ``doc_id`` is held out and never
-learned from; repeated rows are scored alike; other columns are ignored.
+share of label 1 (0 without labels); a very long text is convolved whole; a chunk
+with several equal maxima counts the first in training, all texts alike in
+scoring; a score equal to the threshold predicts 1; null ``doc_id`` is held out
+and never learned from; repeated rows are scored alike; other columns are
+ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -12,8 +12,9 @@ The vocabulary is a byte-level one in the public ``tokenizers`` JSON format,
 whose path is a parameter.  The driver reads it and sends the automaton to the
 executors: its size is the vocabulary's, whatever the corpus.
 
-Defined cases: null and blank texts count 0; null ``doc_id`` and repeated rows
-pass through; other columns are ignored; an empty table gives no rows.
+Defined cases: null and blank texts count 0; very long texts and words are counted
+whole; null ``doc_id`` and repeated rows pass through; other columns are
+ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -129,7 +130,7 @@ def greedy_length(word: bytes, start: set[bytes], inner: set[bytes]) -> int:
 
 def _counter(vocab: tuple[list[bytes], list[bytes]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        length = Automaton(*vocab).length  # once for each task
+        length = Automaton(*vocab).length  # a task builds it in half a second
         known: dict[bytes, int] = {}
         for batch in batches:
             raw, off = utf8(batch.column(1))

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from folioforge.llm import ann, decontam, langid, line_dedup, mixing, ngram_join, quality, secrets, token_counts, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, token string, rank int, list long, block int"
@@ -72,6 +73,33 @@ def test_line_dedup_of_null_and_repeated_ids(spark, rows):
     assert sorted((r.text, r._n_dropped) for r in out) == [("fifth\nsixth", 0), ("fifth\nsixth", 0), ("first", 1), ("fourth", 1), ("second", 1), ("third", 1), ("third", 1)]
 
 
+@pytest.mark.parametrize("rows", [10, 0])
+def test_line_dedup_with_clashing_columns(spark, rows):
+    schema = "doc_id long, text string, source string, _host string, _bad int, _kept string, _id int, _gone int, _n_lines long, _n_dropped long, page string, host string, id int, lines int, kept int, gone int, of int, bad string"
+    pages = [(k, f"menu\nown {k}", "a", "h", 1, "k", 2, 3, 4, 5, "p", "q", 6, 7, 8, 9, 10, "b") for k in range(4)]
+    out = line_dedup.drop_boilerplate(spark.createDataFrame(pages, schema), max_ratio=0.5, broadcast_rows=rows)
+    got = sorted(tuple(r) for r in out.select("doc_id", "text", "source", "_host", "_bad", "_kept", "_id", "_gone", "page", "host", "id", "lines", "kept", "gone", "of", "bad", "_n_lines", "_n_dropped").collect())
+    assert got == [(k, f"own {k}", "a", "h", 1, "k", 2, 3, "p", "q", 6, 7, 8, 9, 10, "b", 2, 1) for k in range(4)]
+
+
+def test_pipeline_stages(spark, docs, nothing, sf):
+    """Nulls, empty and very long texts, repeated rows, an empty table, and columns of other names."""
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, nothing, sf).count() == 0, name
+        out = stage(spark, docs, sf)
+        if name != "source_mixing":
+            assert out.columns == docs.columns
+        got = sorted((r.doc_id is None, r.doc_id) for r in out.select("doc_id").collect())
+        every = [(False, k) for k in (1, 2, 3, 4, 5, 5, 6, 7, 8)] + [(True, None)]
+        want = {"language_id": {(False, 1), (False, 4), (False, 5), (False, 7), (True, None)}, "line_dedup": set(every), "ngram_jaccard_join": set(every) - {(False, 5)}, "decontamination": set(every)}
+        if name != "language_id" and name in want:
+            assert set(got) == want[name], name
+        elif name == "language_id":
+            assert set(got) <= want[name]  # texts without a letter go
+        else:
+            assert set(got) <= {(False, k) for k in (1, 4, 5, 7, 8)}
+
+
 def test_mixing(docs, nothing):
     got = mixing.mix(docs).collect()
     assert {r.doc_id for r in got} <= {1, 4, 5, 7, 8} and all(r.n_tokens > 0 for r in got)

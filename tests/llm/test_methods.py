@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from folioforge.llm import ann, arrow_text, decontam, ngram_join, quality, secrets, token_counts, toxicity
+from folioforge.llm import ann, arrow_text, decontam, langid, ngram_join, quality, secrets, token_counts, toxicity
 
 rng = random.Random(3)
 WORDS = ["ab", "the", "of", "gear", "tooth", "é", "x1", "module", "pitch", "circle", "base", "tip"]
@@ -374,6 +374,103 @@ def test_recall(spark, sf):
     assert hit / total >= 0.9
 
 
+# ---------------------------------------------------------------- language ID
+
+
+def plain_language(text, model):
+    """The prediction by plain loops over the text's trigrams."""
+    if not any(c.isalpha() for c in text or ""):
+        return "und", 0.0
+    b = ("".join(c.lower() if ord(c) < 256 and c.isalpha() and c not in "ß" else c if not c.isascii() else " " for c in text)).encode()
+    b = re.sub(rb" +", b" ", b).strip(b" ")
+    around = b" " + b + b" "
+    hashes = [(((around[i - 1] << 16) | (around[i] << 8) | around[i + 1]) * 2654435761 % 2**32) >> 20 for i in range(1, len(around) - 1)]
+    margins = [sum(float(model.table[h, m]) for h in hashes) / len(hashes) + model.bias[m] for m in range(model.table.shape[1])]
+    sure = [1 / (1 + math.exp(-max(-30, min(30, 3 * m)))) for m in margins]
+    families = model.families if len(model.families) > 1 else []
+    best = max(range(len(families)), key=lambda k: margins[k]) if families else 0
+    members = [c for c in model.langs if langid.family_of(c) == model.families[best]]
+    duels = {c: [] for c in members}
+    for (one, two), p in zip(model.pairs, sure[len(families) :], strict=True):
+        if one in duels:
+            duels[one].append((p >= 0.5, p))
+            duels[two].append((p < 0.5, 1 - p))
+    rank = {c: sum(w for w, _ in d) + 0.5 * min([p for _, p in d], default=1.0) for c, d in duels.items()}
+    lang = max(members, key=lambda c: rank[c])
+    return lang, (sure[best] if families else 1.0) * min([p for _, p in duels[lang]], default=1.0)
+
+
+def test_language_against_plain_version(spark):
+    r = random.Random(17)
+    words_of = {"en": "the of and with stone water thing", "de": "der die und mit Straße über nicht", "fr": "le la et avec été où garçon", "es": "el la y con señor año está"}
+    docs = [(i, " ".join(r.choice(words_of[c].split()) for _ in range(r.choice([3, 12, 60]))) + r.choice(["", " 42!", "\n- x"]), c) for i in range(160) for c in [r.choice(list(words_of))]]
+    docs += [(200, None, "en"), (201, "", "en"), (202, "12 --", "de"), (203, "x", None), (204, "漢字", None), (205, "the of and " * 3000, None)]
+    table_ = spark.createDataFrame(docs, "doc_id long, text string, lang string").repartition(3)
+    model = langid.fit(table_)
+    got = {x.doc_id: x for x in langid.language_id(table_).collect()}
+    assert len(model.families) == 2 and len(model.pairs) == 2
+    for i, text, _ in docs:
+        lang, score = plain_language(text, model)
+        assert got[i].lang_pred == lang and got[i].score == pytest.approx(score, abs=1e-4), text
+    kept = {x.doc_id: x.lang for x in langid.keep_known(table_, model).collect()}
+    assert set(kept) == {i for i, t, _ in docs if (p := plain_language(t, model))[0] != "und" and p[1] >= langid.LEAST}
+    for i, text, lang in docs:
+        if i in kept:
+            told, score = plain_language(text, model)
+            assert kept[i] == (told if lang is None or score >= langid.SURE else lang)
+
+
+# ---------------------------------------------------------------- scores and counts of whole queries
+
+
+def test_scores_of_the_queries_against_single_texts(spark):
+    r = random.Random(23)
+    clean, bad = "the good gear runs and turns with care in the old mill".split(), ["idiot", "1d10t", "scum", "sc-u-m"]
+    docs = [(i, " ".join(r.choice(clean) for _ in range(r.choice([5, 40, 900]))) + (" " + r.choice(bad) if i % 3 == 0 else ""), "en") for i in range(240)] + [(900, None, "en"), (901, "", "en"), (902, "scum " * 9000, "en")]
+    table_ = spark.createDataFrame(docs, "doc_id long, text string, lang string").repartition(3)
+    labels = spark.createDataFrame([(i, int(i % 3 == 0), int(i % 3 == 0)) for i in range(240)], "doc_id long, toxic int, quality int")
+    model = toxicity.fit(table_, labels)
+    got = {x.doc_id: x for x in toxicity.toxicity(table_, labels).collect()}
+    for i, text, _ in docs:
+        raw, off = arrow_text.utf8(pa.array([text], pa.string()))
+        low, at = arrow_text.fold(*toxicity.restored(raw, off, model.letters, {}))
+        count = Counter(f for w in low.tobytes().split() for f in model.features_of(w))
+        z = model.bias + sum(model.weights[f] * math.log1p(n) for f, n in count.items())
+        assert got[i].score == pytest.approx(1 / (1 + math.exp(-max(-30, min(30, z)))), abs=1e-9) and got[i].predicted == int(got[i].score >= 0.7)
+    assert sum(got[i].predicted == int(i % 3 == 0) for i in range(240)) >= 230 and got[902].predicted == 1
+    net = quality.fit(table_, labels, epochs=2)
+    scored = {x.doc_id: x.score for x in quality.score_documents(table_, net).collect()}
+    for i, text, _ in docs:
+        data = (text or "").encode()
+        one = net.score(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+        assert scored[i] == pytest.approx(float(one[0]), abs=1e-5)
+
+
+def test_counts_and_leaks_of_whole_tables(spark):
+    r = random.Random(29)
+    docs = [(i, " ".join(r.choice(["gear", "Unbelievable", "naïve", "x=1;", "漢字", "tooth-pitch"]) for _ in range(r.choice([0, 3, 50])))) for i in range(40)] + [(50, None), (51, " \n"), (52, "z" * 5000)]
+    start, inner = token_counts.load_vocabulary()
+    s, i_ = set(start), set(inner)
+    got = {x.doc_id: (x.n_words, x.n_tokens) for x in token_counts.count_tokens(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()}
+    for k, t in docs:
+        own = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        assert got[k] == (len(own), sum(token_counts.greedy_length(w.encode(), s, i_) for w in own))
+    items = [(k, words(n)) for k, n in enumerate((15, 30))]
+    leaky = []
+    for k in range(24):
+        t = list(items[k % 2][1])
+        for _ in range(r.choice([0, 2, 6, 12])):
+            t[r.randrange(len(t))] = r.choice("qz ")
+        leaky.append((k, f"{words(r.choice([0, 30]))} {''.join(t)} {words(3)}"))
+    leaky += [(30, None), (31, words(60))]
+    index = decontam.Index([k for k, _ in items], [t for _, t in items])
+    found = {(x.doc_id, x.item_id) for x in decontam.contaminated(spark.createDataFrame(leaky, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    for k, t in leaky:
+        b, off = arrow_text.fold(*arrow_text.utf8(pa.array([t], pa.string())))
+        text = b[: off[1] - 1].tobytes()
+        assert {i for i in range(2) if edit_ends(index.items[i], text) <= index.budget[i]} == {i for d, i in found if d == k}
+
+
 # ---------------------------------------------------------------- the rest of the inputs
 
 
