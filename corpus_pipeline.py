@@ -2,7 +2,15 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor
 kept; ``run`` writes each result as Parquet in the shared folder and reads it
-again for the next one.  All but the last return the columns of ``documents``.
+again for the next one, then drops the one before.  All but the last return the
+columns of ``documents``.
+
+Defined cases, for all stages: an empty table gives no rows; repeated rows stay
+as they are, but for the n-gram join, which keeps those with the least id of
+their group; other columns pass through.  A null or blank text: language ID
+rejects it.  A null ``doc_id``: stays until source mixing, which leaves it out.
+A null ``lang``: language ID fills it; a null ``source`` is a host and a source
+of its own.  Very long texts are worked on whole, ties as the operators say.
 """
 
 from __future__ import annotations
@@ -11,19 +19,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioforge.llm import decontam, langid, line_dedup, mixing, ngram_join
-from folioforge.plans.lineage import cut
+from folioforge.plans.lineage import cut, drop
 from folioforge.plans.tables import table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is told; ``und`` and hopeless scores go."""
+    """Documents whose language is told; ``und`` and hopeless scores go; the prediction fills a null ``lang`` and mends a wrong one."""
     return langid.keep_known(docs, langid.fit(docs))
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the boilerplate lines of their source; ``n_chars`` follows."""
     out = line_dedup.drop_boilerplate(docs)
-    return out.withColumn("n_chars", F.when(F.col("_n_dropped") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))).select(*docs.columns)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("_n_dropped") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +66,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         docs = cut(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            drop(before)
+        before = docs
     return docs
