@@ -4,54 +4,61 @@ from pyspark.sql import functions as F
 from folioforge.operators import passages, planning, tables, values
 
 PATTERNS = planning.compiled()
+SCHEMA = (
+    "qid long, chunk_id long, question string, subtype string, concepts array<array<string>>, codes array<string>, literals array<string>, symbols array<string>, labels array<string>, clauses array<string>, equations array<string>, "
+    "text string, heading_path array<string>, clause string, content_type string, code string, meanings map<string,string>"
+)
 
 
-def question(text, subtype=None):
-    return planning.plan(text, PATTERNS) | {"question": text, "subtype": subtype}
+def row(question, text, subtype=None, heading_path=(), clause=None, kind="general_text", code=None, meanings=None):
+    q = planning.plan(question, PATTERNS)
+    return [question, subtype, *(q[k] for k in ("concepts", "codes", "literals", "symbols", "labels", "clauses", "equations")), text, list(heading_path), clause, kind, code, meanings]
 
 
-def passage(text, **k):
-    return {"text": text, "heading_path": [], "clause": None, "content_type": "general_text", "code": None} | k
+BOLT, H7 = "civata için çekme dayanımı ve sıkma torku nedir?", "50 mm H7 nedir"
+LONG = "module once\n" + "filler words here\n" * 120 + "pressure angle 20 and module range\n" + "2 < m ≤ 3,5\n13\n—\n" + "Other prose that goes on for a while.\n" * 40
+ROWS = {
+    "far": row(BOLT, "The gear has a tooth profile and a reference diameter."), "near": row(BOLT, "tightening torques and tensile strengths of bolts"), "h7": row(H7, "the hole H7 of 50,0 mm"), "hx7": row(H7, "the feature hx7 of 500 cm"),
+    "table": row("tablo nedir", "x", kind="table"), "no table": row("tablo nedir", "x"), "symbol": row("basınç açısı", "| αP | 20° |", kind="table", meanings={"αP": "Pressure angle"}),
+    "boosted": row("ISO 53 madde 4.2 Table 2 αP formülü", "see Table 2 for aP = 20 (1)", "standards_formula_lookup", ["Annex A Profile"], "4.2.1", "formula", "ISO 53:1998"), "front": row("kapsam nedir", "x", kind="front_matter"),
+    "heading": row("basınç açısı nedir", "the pressure angle is 20°", heading_path=["4 Pressure angle"], clause="4", kind="definition", code="ISO 53"), "nothing": [None] * 15,
+    "quantity": row("temel çap", "db = d cos α", kind="formula", meanings={"db": "base diameter"}), "focus": row("basınç açısı 20 derece modül aralığı", LONG), "short": row("modül", "short"), "no hit": row("modül", "z" * 900),
+    "stems": row("modül için hoblar ve testlerin", "Tests of a module range with one hob."), "labels": row("Class FD ve Class FE neyi temsil eder", "Figure 5 — Class FE with adjacent Class FD heavy tempering"), "no label": row("Class FD ve Class FE neyi temsil eder", "Class A feature list for a few items"),
+}
 
 
-def coverage(q, text):
-    return passages.term_coverage(q["concepts"], q["literals"], q["symbols"], text, len(passages.matched(q["concepts"], text, None)))
+@pytest.fixture(scope="module")
+def scored(spark):
+    names = list(ROWS)
+    rows = [(i, i, *ROWS[n]) for i, n in enumerate(names)]
+    assert all(len(r) == 17 for r in rows)
+    return {names[r.qid]: r for r in passages.score(spark.createDataFrame(rows, SCHEMA), 300).collect()}
 
 
-def test_coverage():
-    bolt = question("civata için çekme dayanımı ve sıkma torku nedir?")
-    assert coverage(bolt, "The gear has a tooth profile and a reference diameter.") < 0.4 and coverage(bolt, "tightening torques and tensile strengths of bolts") == 1.0
-    h7 = question("50 mm H7 nedir")
-    assert coverage(h7, "the hole H7 of 50,0 mm") == 1.0 and coverage(h7, "the feature hx7 of 500 cm") == 0.0
-    table = question("tablo nedir")
-    assert passages.matched(table["concepts"], "x", "table") == ["table"] and passages.matched(table["concepts"], "x", None) == []
-    angle = question("basınç açısı")
-    assert passages.matched(angle["concepts"], "| αP | 20° |", "table", {"αP": "Pressure angle"}) == ["pressure angle"]
+def test_coverage(scored):
+    assert scored["far"].score < 0.4 and scored["near"].score == 1.0 and scored["h7"].score == 1.0 and scored["hx7"].score == 0.0
+    assert scored["table"].matched == ["table"] and scored["no table"].matched == [] and scored["symbol"].matched == ["pressure angle"]
+    assert scored["heading"].coverage == 1.0 and scored["nothing"].coverage == 1.0 and scored["nothing"].boost == 0.0
+    assert scored["stems"].score == 1.0 and scored["labels"].score > 0.4 > scored["no label"].score  # an ending typed after a stem; short codes as whole tokens
 
 
-def test_boosts():
-    q = question("ISO 53 madde 4.2 Table 2 αP formülü", "standards_formula_lookup")
-    b = passages.boosts(q, passage("see Table 2 for aP = 20 (1)", clause="4.2.1", content_type="formula", code="ISO 53:1998", heading_path=["Annex A Profile"]))
+def test_boosts(scored):
+    b = scored["boosted"].boosts
     assert b["clause"] == 0.2 and b["standard_code"] == 0.25 and b["requested_structure"] == 0.2 and b["content_type"] == 0.1 and b["informative_annex"] == -0.05 and b["exact_tokens"] == pytest.approx(0.15)
-    assert passages.boosts(question("kapsam nedir"), passage("x", content_type="front_matter"))["front_matter"] == -0.2
+    assert scored["front"].boosts["front_matter"] == -0.2 and scored["heading"].boosts["defines_term"] == 0.2 and scored["quantity"].boosts["defines_quantity"] == 0.3 and "defines_quantity" not in b
 
 
-def test_focus():
-    q = question("basınç açısı 20 derece modül aralığı")
-    text = "module once\n" + "filler words here\n" * 120 + "pressure angle 20 and module range\n" + "2 < m ≤ 3,5\n13\n—\n" + "Other prose that goes on for a while.\n" * 40
-    s, e = passages.focus(text, q, 300)
-    assert "pressure angle 20" in text[s:e] and text[s - 1] == "\n" and passages.focus("short", q) == (0, 5) and passages.focus("z" * 900, q) == (0, 800)
-    kept = passages.focused_parent("a\nb […]\nmodule\nc\nd\nmodule range", question("modül"), 40)
-    assert "module" in kept and "[…]" in kept
+def test_focus(spark, scored):
+    s, e = scored["focus"].start, scored["focus"].stop
+    assert "pressure angle 20" in LONG[s:e] and LONG[s - 1] == "\n" and (scored["short"].start, scored["short"].stop) == (0, 5) and (scored["no hit"].start, scored["no hit"].stop) == (0, 300)
+    d = spark.createDataFrame([(1, 1, *row("modül", "a\nb […]\nmodule\nc\nd\nmodule range"))], SCHEMA)
+    kept = d.select(passages.focused_parent(F.col("text"), 40)).first()[0]
+    assert "module" in kept and "[…]" in kept and len(kept) <= 44
 
 
-def test_score_rows(spark):
-    q = question("basınç açısı nedir")
-    row = (1, 7, q["question"], None, q["concepts"], q["codes"], q["literals"], q["symbols"], q["labels"], q["clauses"], q["equations"], "the pressure angle is 20°", ["4 Pressure angle"], "4", "definition", "ISO 53")
-    schema = "qid long, chunk_id long, question string, subtype string, concepts array<array<string>>, codes array<string>, literals array<string>, symbols array<string>, labels array<string>, clauses array<string>, equations array<string>, text string, heading_path array<string>, clause string, content_type string, code string"
-    r = passages.score(spark.createDataFrame([row, (2, 8, *[None] * 14)], schema)).orderBy("qid").collect()
-    assert r[0].coverage == 1.0 and r[0].boosts["defines_term"] == 0.2 and r[1].coverage == 1.0 and r[1].boost == 0.0
-    assert passages.relevant(passages.score(spark.createDataFrame([row], schema)).withColumn("n_concepts", F.lit(1))).count() == 1
+def test_relevant(spark):
+    d = spark.createDataFrame([(1, 1.0, 0.1, 1), (2, 0.5, 0.1, 2), (3, 0.4, 0.5, 2), (4, 0.4, 0.6, 2), (5, 0.5, 0.1, 1)], "qid long, coverage double, score double, n_concepts int")
+    assert [r.qid for r in passages.relevant(d).orderBy("qid").collect()] == [1, 2, 4]
 
 
 def test_values(spark):
