@@ -290,15 +290,15 @@ def _meet(first_deal: bool):
     """Trie join of the parts of a deal: rows (group, part, role, class, comp, keys) in (group, part, role) order, links (a, b) between components out.
 
     First deal: each stored set that nothing has linked yet queries.  Second
-    deal: roles 0 are stored, then the classes outside the group's component
-    query, unless the part has joined them to it.
+    deal: roles 0 and 1 are stored, then roles 1 and 2, the classes outside the
+    group's component, query, unless the part has joined them to it.
     """
 
     def part_of(stored: dict[int, tuple[int, np.ndarray]]) -> tuple[list[int], Trie]:
         return [c for c, _ in stored.values()], Trie([k for _, k in stored.values()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, stored, trie, comps, joined = None, {}, None, [], _Joined()
+        place, stored, asking, trie, comps, joined = None, {}, set(), None, [], _Joined()
         out: list[tuple[int, int]] = []
 
         def ask(comp: int, keys: np.ndarray) -> None:
@@ -306,12 +306,13 @@ def _meet(first_deal: bool):
                 if comps[i] != comp and joined.join(comp, comps[i]):
                     out.append((comp, comps[i]))
 
-        def close() -> None:
+        def built() -> None:
+            """The trie of the part, and the queries of its own sets."""
             nonlocal trie, comps
-            if first_deal and len(stored) > 1:
+            if trie is None and len(stored) > 1:
                 comps, trie = part_of(stored)
-                for comp, keys in stored.values():
-                    if comp not in joined.up:
+                for own, (comp, keys) in stored.items():
+                    if comp not in joined.up if first_deal else own in asking and joined.root(comp) != joined.root(place[0]):
                         ask(comp, keys)
 
         def told() -> Iterator[pa.RecordBatch]:
@@ -323,17 +324,19 @@ def _meet(first_deal: bool):
             off, flat = batch.column(5).offsets.to_numpy(), batch.column(5).values.to_numpy()
             for r, (group, part, role, own, comp) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True)):
                 if (group, part) != place:
-                    close()
-                    place, stored, trie, joined = (group, part), {}, None, _Joined()
-                if role == 0 or first_deal:
+                    built()
+                    place, stored, asking, trie, joined = (group, part), {}, set(), None, _Joined()
+                if role < 2:
                     stored.setdefault(own, (comp, flat[off[r] : off[r + 1]].copy()))
+                    asking |= {own} if role == 1 else set()
                 elif stored:
+                    built()
                     if trie is None:
                         comps, trie = part_of(stored)
                     if joined.root(comp) != joined.root(group):
                         ask(comp, flat[off[r] : off[r + 1]])
             yield from told()
-        close()
+        built()
         yield from told()
         release()
 
@@ -343,20 +346,16 @@ def _meet(first_deal: bool):
 # ---------------------------------------------------------------- wanted sets
 
 
-def _bits(ids: np.ndarray, salt: int, log: int) -> np.ndarray:
-    return (mix64(mix64(ids.astype(np.uint64)) + np.uint64(salt)) >> np.uint64(64 - log)).astype(np.int64)
-
-
 class Bloom:
-    """Ids that are wanted for something (``salt``), and a few others: built in the tasks, joined by blocks, of a bounded size."""
+    """Ids that are wanted for something (``salt``), and about one of 400 others: built in the tasks, joined by blocks, of a bounded size."""
 
-    STEP = 1 << 15
+    STEP, HASHES = 1 << 15, 4
 
     def __init__(self, wanted: DataFrame):
         """``wanted(id, salt)``."""
         n = wanted.count()
         self.log = log = max(20, min((16 * n).bit_length(), MOST_BITS.bit_length() - 1))
-        step, kind = self.STEP, "block int, bits binary"
+        step, places, kind = self.STEP, self.places, "block int, bits binary"
 
         def rows(blocks: dict[int, bytes]) -> Iterator[pa.RecordBatch]:
             for k, x in blocks.items():
@@ -365,8 +364,8 @@ class Bloom:
         def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bits = np.zeros(1 << (log - 3), np.uint8)
             for batch in batches:
-                at = _bits_of(batch, log)
-                np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
+                for at in places(batch.column(0).to_numpy(), batch.column(1).to_numpy(), log):
+                    np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
             yield from rows({k: zlib.compress(bits[k * step : (k + 1) * step].tobytes(), 1) for k in range(-(-len(bits) // step)) if bits[k * step : (k + 1) * step].any()})
 
         def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -378,20 +377,21 @@ class Bloom:
             yield from rows({k: x.tobytes() for k, x in total.items()})
 
         self.bits = np.zeros(1 << (log - 3), np.uint8)
-        for r in wanted.select("id", "salt").mapInArrow(own, kind).repartition("block").mapInArrow(joined, kind).collect():  # MOST_BITS at most
+        for r in wanted.select("id", F.col("salt").cast("long")).mapInArrow(own, kind).repartition("block").mapInArrow(joined, kind).collect():  # MOST_BITS at most
             self.bits[r.block * step : (r.block + 1) * step] = np.frombuffer(r.bits, np.uint8)
 
-    def holds(self, ids: np.ndarray, salt: int) -> np.ndarray:
-        at = _bits(ids, salt, self.log)
-        return (self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+    @classmethod
+    def places(cls, ids: np.ndarray, salts: np.ndarray | int, log: int) -> Iterator[np.ndarray]:
+        """The bits of each id."""
+        h = mix64(mix64(ids.astype(np.uint64)) + np.uint64(0x9E3779B97F4A7C15) * np.asarray(salts, np.uint64))
+        for k in range(cls.HASHES):
+            yield (mix64(h + np.uint64(k)) >> np.uint64(64 - log)).astype(np.int64)
 
-
-def _bits_of(batch: pa.RecordBatch, log: int) -> np.ndarray:
-    ids, salts = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-    out = np.zeros(len(ids), np.int64)
-    for s in np.unique(salts):
-        out[salts == s] = _bits(ids[salts == s], int(s), log)
-    return out
+    def holds(self, ids: np.ndarray, salt: int) -> np.ndarray:
+        out = np.ones(len(ids), bool)
+        for at in self.places(ids, salt, self.log):
+            out &= (self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+        return out
 
 
 def _wanted_sets(levels: np.ndarray, bloom: Bloom, first_deal: bool):
@@ -549,9 +549,10 @@ def _second_deal(src: DataFrame, classes: DataFrame, comps: DataFrame, levels: n
     bloom = Bloom(members.select("class").distinct().join(classes, "class").select(F.col("rep").alias("id"), F.lit(0).alias("salt")))
     sets = src.mapInArrow(_wanted_sets(levels, bloom, False), "group long, class long, keys array<long>").drop("group")
     rows = members.join(sets, "class").join(large, "group", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    own = F.struct(F.lit(0).alias("role"), F.pmod(F.xxhash64("class"), F.col("parts")).cast("int").alias("part"))
-    asks = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.struct(F.lit(1).alias("role"), p.alias("part")))
-    visits = F.when(F.col("comp") == F.col("group"), F.array(own)).otherwise(F.concat(F.array(own), asks))
+    inside, home = F.col("comp") == F.col("group"), F.pmod(F.xxhash64("class"), F.col("parts")).cast("int")
+    at_home = F.array(F.struct(F.when(inside, 0).otherwise(1).alias("role"), home.alias("part")))
+    elsewhere = F.filter(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.struct(F.lit(2).alias("role"), p.alias("part"))), lambda v: v["part"] != home)
+    visits = F.when(inside, at_home).otherwise(F.concat(at_home, elsewhere))
     return _joined_parts(rows.withColumn("v", F.explode(visits)).select("group", "v.part", "v.role", "class", "comp", "keys"), False)
 
 
