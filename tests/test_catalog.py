@@ -1,6 +1,6 @@
 import pytest
 
-from folioforge.plans import catalog
+from folioforge.plans import catalog, evidence_queries
 from tests.parity import same
 
 
@@ -15,6 +15,10 @@ def test_query_runs_alike_twice(spark, sf, name):
     assert a == b and a
 
 
+def test_evidence_queries_are_registered():
+    assert catalog.QUERIES["evidence_view"] is evidence_queries.evidence_view
+
+
 def test_entry(spark):
     import __spark_entry__
 
