@@ -57,7 +57,9 @@ def shingles(t):
     return {" ".join(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {" ".join(w)} if w else set()
 
 
-def test_jaccard_components_against_all_pairs(spark):
+@pytest.mark.parametrize("part", [ngram_join.PART, 300])  # whole groups, and groups in many parts
+def test_jaccard_components_against_all_pairs(spark, monkeypatch, part):
+    monkeypatch.setattr(ngram_join, "PART", part)
     docs = []
     for g in range(12):
         base = words(rng.choice([3, 5, 6, 9, 40, 120])).split()
