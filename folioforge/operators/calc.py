@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioforge.functions.expr import compile_column, to_sql
+from folioforge.plans.lineage import broadcast_if_small
 
 # Units and their factor to the canonical unit of the kind.
 UNITS = {
@@ -142,9 +143,14 @@ def flank_tolerance(requests: DataFrame) -> DataFrame:
 
 
 def grade_lookup(requests: DataFrame, table: DataFrame, size: str = "size") -> DataFrame:
-    """Requests with the row ``above < size <= up_to`` of a tolerance table (a few dozen rows, so broadcast)."""
-    t = F.broadcast(table)
-    return requests.join(t, (F.col(size) > t["above"]) & (F.col(size) <= t["up_to"]), "left")
+    """Requests with the row ``above < size <= up_to`` of a tolerance table.
+
+    Rows are dealt to the whole sizes they cover, so that the join is by equality.
+    """
+    dealt = table.withColumn("_covers", F.explode(F.sequence(F.floor("above").cast("long"), F.ceil("up_to").cast("long"))))
+    dealt, _ = broadcast_if_small(dealt, 100_000)
+    asked = requests.withColumn("_whole", F.ceil(size).cast("long"))
+    return asked.join(dealt, (F.col("_whole") == F.col("_covers")) & (F.col(size) > F.col("above")) & (F.col(size) <= F.col("up_to")), "left").drop("_whole", "_covers")
 
 
 def limit_sizes(size: Column, it: Column, letter: str) -> dict[str, Column]:
@@ -228,8 +234,8 @@ def extra_keys(engine: DataFrame, drafts: DataFrame) -> DataFrame:
 
 
 def parse_tolerance_table(tokens: DataFrame) -> DataFrame:
-    """Checks rows ``(row, above, up_to, values array<double>)`` of a table: the bounds chain, values rise along a row and never fall down a column."""
-    w = Window.orderBy("row")  # a few dozen rows
+    """Checks rows ``([table,] row, above, up_to, values array<double>)``: within a table bounds chain, values rise along a row and never fall down a column."""
+    w = Window.partitionBy(F.col("table") if "table" in tokens.columns else F.lit(0)).orderBy("row")  # a table has a few dozen rows
     chain = F.coalesce(F.abs(F.col("above") - F.lag("up_to").over(w)) <= 1e-9, F.lit(True)) & (F.col("up_to") > F.col("above"))
     rises = F.forall(F.sequence(F.lit(2), F.size("values")), lambda i: F.element_at("values", i) > F.element_at("values", i - 1))
     prior = F.lag("values").over(w)
