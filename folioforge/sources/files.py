@@ -94,7 +94,8 @@ def archive_members(members: DataFrame) -> DataFrame:
     """``members(archive, ord, name, size, packed, is_link, is_dir)`` with ``status`` and ``reason``.
 
     Unsafe members are blocked; of the others, those are extracted whose sizes,
-    summed in order over the extracted ones only, stay within the total.
+    summed in order over the extracted ones only, stay within the total.  An
+    archive of more than MEMBERS members is refused: all of them are blocked.
     """
     n = F.col("name")
     unsafe = (
@@ -103,7 +104,10 @@ def archive_members(members: DataFrame) -> DataFrame:
     )
     known = F.lower(n).rlike("\\.(" + "|".join(x for c in ("pdf", "docx", "xlsx", "pptx", "text", "image") for x in EXTENSIONS[c].split()) + ")$")
     rows = members.withColumn("reason", unsafe).withColumn("usable", F.col("reason").isNull() & ~F.col("is_dir") & known)
-    listed = rows.groupBy("archive").agg(F.array_sort(F.collect_list(F.struct("ord", "name", "size", "is_dir", "reason", "usable"))).alias("m"))  # at most MEMBERS of an archive
+    counts = rows.groupBy("archive").agg((F.count("*") > MEMBERS).alias("refused"))
+    rows = rows.join(counts, "archive")
+    refused = rows.filter("refused").select("archive", "name", F.lit("blocked").alias("status"), F.lit("too_many_members").alias("reason"))
+    listed = rows.filter("not refused").groupBy("archive").agg(F.array_sort(F.collect_list(F.struct("ord", "name", "size", "is_dir", "reason", "usable"))).alias("m"))  # at most MEMBERS of an archive
     start = F.struct(F.lit(0).cast("long").alias("total"), F.array().cast("array<struct<name:string,status:string,reason:string>>").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
@@ -112,7 +116,7 @@ def archive_members(members: DataFrame) -> DataFrame:
         item = F.struct(x["name"].alias("name"), status.alias("status"), F.coalesce(x["reason"], F.when(x["usable"] & ~fits, "total_size")).alias("reason"))
         return F.struct((acc["total"] + F.when(fits, x["size"]).otherwise(0)).cast("long").alias("total"), F.concat(acc["out"], F.array(item)).alias("out"))
 
-    return listed.select("archive", F.explode(F.aggregate(F.slice("m", 1, MEMBERS), start, step, lambda a: a["out"])).alias("x")).select("archive", "x.*")
+    return listed.select("archive", F.explode(F.aggregate("m", start, step, lambda a: a["out"])).alias("x")).select("archive", "x.*").unionByName(refused)
 
 
 # ------------------------------------------------------------------ store

@@ -67,6 +67,12 @@ def test_archives(spark):
     assert got == {"a.txt": ("extracted", None), "/etc/x.txt": ("blocked", "absolute_path"), "../y.txt": ("blocked", "parent_path"), "l.txt": ("blocked", "link"), "in.zip": ("blocked", "nested_archive"), "b.txt": ("blocked", "ratio"), "d/": ("skipped", None), "q.exe": ("catalogued", None)}
 
 
+def test_archive_of_too_many_members(spark):
+    members = spark.range(files.MEMBERS + 3).select(F.lit("big").alias("archive"), F.col("id").cast("int").alias("ord"), F.concat(F.col("id").cast("string"), F.lit(".txt")).alias("name"), F.lit(1).cast("long").alias("size"), F.lit(1).cast("long").alias("packed"), F.lit(False).alias("is_link"), F.lit(False).alias("is_dir"))
+    got = files.archive_members(members.unionByName(members.filter("ord < 3").withColumn("archive", F.lit("small")))).groupBy("archive", "status", "reason").count().collect()
+    assert {tuple(r) for r in got} == {("big", "blocked", "too_many_members", files.MEMBERS + 3), ("small", "extracted", None, 3)}
+
+
 def test_manifest(spark):
     v = spark.createDataFrame([(1, 2, "f" * 64, "b.PDF"), (1, 1, "e" * 64, "a.pdf")], "doc_id long, version int, sha string, name string")
     m = files.manifests(v).first().manifest
