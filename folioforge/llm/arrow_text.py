@@ -7,18 +7,22 @@ operator works on slices of at most ``SLICE`` bytes (one text may exceed that).
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-SLICE = 1 << 21
+SLICE = 1 << 19
 
 
 def release() -> None:
     """Give the memory that a task has freed back to the system; Python workers outlive their tasks."""
     pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim:
+        trim(0)
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm.arrow_text import fold, mix64, slices, utf8, word_hashes, words
+from folioforge.llm.arrow_text import fold, mix64, release, slices, utf8, word_hashes, words
 
 Q, EDIT_RATE = 12, 0.06
 #: Items and characters of one block.
@@ -252,6 +252,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") ->
                     for f in find_leaks(*fold(raw[off[i] : off[j]], off[i : j + 1] - off[i]), index):
                         good[i + f[0]] = False
                 yield batch.filter(pa.array(good))
+            release()
 
         return run
 

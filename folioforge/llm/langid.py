@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm.arrow_text import fold, slices, utf8
+from folioforge.llm.arrow_text import fold, release, slices, utf8
 from folioforge.llm.sampling import fold_of, linear_svm, per_class
 
 BUCKETS, PER_LANG, FOLDS, HELD_OUT = 1 << 12, 500, 4, 2
@@ -211,5 +211,6 @@ def keep_known(docs: DataFrame, model: Model | None, least: float = LEAST, sure:
             cols[own] = pa.array(lang, batch.column(own).type)
             keep = pa.array([c != "und" and s >= least for c, s in zip(told, score, strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays(cols, schema=batch.schema).filter(keep)
+        release()
 
     return docs.mapInArrow(run, fields)

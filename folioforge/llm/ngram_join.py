@@ -56,7 +56,7 @@ WIDTH, BLOCK = 1 << 22, 1 << 14
 #: Shingles that the longer prefixes of linked sets must share (the l-prefix scheme), where sets are large enough.
 SHARED = 6
 #: Keys that one trie holds, about.
-PART = 1 << 20
+PART = 1 << 19
 #: Bytes of text shingled at once.
 SLICE = 1 << 19
 #: Most bits of a Bloom filter of wanted ids (16 MB); fuller filters only let more sets through to the exact joins.
