@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioforge.llm import ann, decontam, langid, line_dedup, mixing, ngram_join, quality, secrets, token_counts, toxicity
+from folioforge.llm import ann, decontam, langid, line_dedup, mixing, ngram_join, phrases, quality, secrets, token_counts, toxicity
 from folioforge.plans.tables import table
 
 
@@ -50,11 +50,15 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_ann, op2_toxicity, op3_language_id, op4_ngram_jaccard_join, op5_line_dedup, op6_decontamination, op7_token_counts, op8_source_mixing, op9_secret_scan, op10_quality)
+    every = (op1_ann, op2_toxicity, op3_language_id, op4_ngram_jaccard_join, op5_line_dedup, op6_decontamination, op7_token_counts, op8_source_mixing, op9_secret_scan, op10_quality, op13_phrase_mining)
     return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
     """The others can't be expressed in SQL: fitted models, offsets of matches, alignments, automata."""
-    return {"op4_ngram_jaccard_join": ngram_join.ORACLE, "op5_line_dedup": line_dedup.ORACLE, "op8_source_mixing": mixing.ORACLE}
+    return {"op4_ngram_jaccard_join": ngram_join.ORACLE, "op5_line_dedup": line_dedup.ORACLE, "op8_source_mixing": mixing.ORACLE, "op13_phrase_mining": phrases.ORACLE}
