@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioforge.llm import ann, conversation_trie, decontam, langid, line_dedup, mixing, ngram_join, phrases, quality, secrets, token_counts, toxicity
+from folioforge.llm import ann, conversation_trie, decontam, langid, line_dedup, minhash_dedup, mixing, ngram_join, phrases, quality, secrets, token_counts, toxicity
 from folioforge.plans.tables import table
 
 
@@ -54,15 +54,19 @@ def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie.prefix_trie(table(spark, sf_dir, "conversations"))
 
 
+def op12_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op13_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_ann, op2_toxicity, op3_language_id, op4_ngram_jaccard_join, op5_line_dedup, op6_decontamination, op7_token_counts, op8_source_mixing, op9_secret_scan, op10_quality, op11_conversation_trie, op13_phrase_mining)
+    every = (op1_ann, op2_toxicity, op3_language_id, op4_ngram_jaccard_join, op5_line_dedup, op6_decontamination, op7_token_counts, op8_source_mixing, op9_secret_scan, op10_quality, op11_conversation_trie, op12_minhash_dedup, op13_phrase_mining)
     return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
     """The others can't be expressed in SQL: fitted models, offsets of matches, alignments, automata."""
-    return {"op4_ngram_jaccard_join": ngram_join.ORACLE, "op5_line_dedup": line_dedup.ORACLE, "op8_source_mixing": mixing.ORACLE, "op11_conversation_trie": conversation_trie.ORACLE, "op13_phrase_mining": phrases.ORACLE}
+    return {"op4_ngram_jaccard_join": ngram_join.ORACLE, "op5_line_dedup": line_dedup.ORACLE, "op8_source_mixing": mixing.ORACLE, "op11_conversation_trie": conversation_trie.ORACLE, "op12_minhash_dedup": minhash_dedup.ORACLE, "op13_phrase_mining": phrases.ORACLE}
