@@ -149,6 +149,7 @@ def _pass_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sketch = np.zeros(WIDTH, np.uint32)
     types = [pa.int64()] * 5 + [pa.int32(), pa.binary()]
     names = ["doc_id", "n", "class", "first", "second", "block", "counts"]
+    marked = False
 
     def add(held: list[np.ndarray]) -> None:
         at, many = np.unique(np.concatenate(held), return_counts=True)
@@ -168,11 +169,13 @@ def _pass_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             add(held)
         if facts:
             cols = [pa.array(c, pa.int64()) for c in zip(*facts, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *cols, pa.nulls(len(facts), types[5]), pa.nulls(len(facts), types[6])], names=names)
+            marks = [batch.column(2)] if batch.num_columns > 2 else []
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *cols, pa.nulls(len(facts), types[5]), pa.nulls(len(facts), types[6]), *marks], names=[*names, "mark"][: 7 + len(marks)])
+            marked = bool(marks)
     for b in range(WIDTH // BLOCK):
         part = sketch[b * BLOCK : (b + 1) * BLOCK]
         if part.any():
-            yield pa.RecordBatch.from_arrays([*(pa.nulls(1, t) for t in types[:5]), pa.array([b], types[5]), pa.array([zlib.compress(part.tobytes(), 1)], types[6])], names=names)
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(1, t) for t in types[:5]), pa.array([b], types[5]), pa.array([zlib.compress(part.tobytes(), 1)], types[6]), *[pa.nulls(1, pa.int64())] * marked], names=[*names, "mark"][: 7 + marked])
     release()
 
 
@@ -556,12 +559,14 @@ def _second_deal(src: DataFrame, classes: DataFrame, comps: DataFrame, levels: n
     return _joined_parts(rows.withColumn("v", F.explode(visits)).select("group", "v.part", "v.role", "class", "comp", "keys"), False)
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, n_shingles, component_id)`` of every document; see the module's docstring."""
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: Column | None = None) -> DataFrame:
+    """``(doc_id, n_shingles, component_id)`` of every document, and a long ``mark`` of the caller's that tells rows of one id apart; see the module's docstring."""
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    one = cut(src.mapInArrow(_pass_one, FACTS), "facts")
+    told = [] if mark is None else ["mark"]
+    read = src if mark is None else docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), mark.cast("long").alias("mark"))
+    one = cut(read.mapInArrow(_pass_one, FACTS + ", mark long" * len(told)), "facts")
     levels = _frequency_levels(one.filter("block is not null").select("block", "counts"))
-    facts = one.filter("block is null").select("doc_id", "n", "class", "first", "second")
+    facts = one.filter("block is null").select("doc_id", "n", "class", "first", "second", *told)
     live = facts.filter("doc_id is not null and class is not null")
     classes = cut(live.groupBy("class").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("first").alias("first"), F.first("second").alias("second")), "classes")
     links = cut(_first_deal(src, classes, levels), "links")
@@ -573,7 +578,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     of = classes.select("class", "rep").join(comps, "class", "left").withColumn("comp", F.coalesce("comp", "class")).join(final, "comp", "left").select("class", "rep", F.coalesce("least", "comp").alias("comp"))
     least = of.groupBy("comp").agg(F.min("rep").alias("component"))
     labels = of.join(least, "comp").select("class", "component")
-    out = facts.join(labels, "class", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+    out = facts.join(labels, "class", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"), *told)
     done = cut(out, "components")
     for table in (one, classes, links, near, more, whole):
         drop(table)
