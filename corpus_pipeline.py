@@ -15,6 +15,9 @@ of its own.  Very long texts are worked on whole, ties as the operators say.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,11 +26,28 @@ from folioforge.plans.lineage import cut, drop
 from folioforge.plans.tables import table
 
 
+def any_names(stage: Callable) -> Callable:
+    """A stage that also takes columns whose names hold dots or backticks: they go through it under other names."""
+
+    @wraps(stage)
+    def run_renamed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        odd = {c: f"_odd_{i}" for i, c in enumerate(docs.columns) if "." in c or "`" in c}
+        if not odd:
+            return stage(spark, docs, sf_dir)
+        out = stage(spark, docs.toDF(*(odd.get(c, c) for c in docs.columns)), sf_dir)
+        back = {v: k for k, v in odd.items()}
+        return out.toDF(*(back.get(c, c) for c in out.columns))
+
+    return run_renamed
+
+
+@any_names
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told; ``und`` and hopeless scores go; the prediction fills a null ``lang`` and mends a wrong one."""
     return langid.keep_known(docs, langid.fit(docs))
 
 
+@any_names
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the boilerplate lines of their source; ``n_chars`` follows."""
     out = line_dedup.drop_boilerplate(docs)
@@ -36,18 +56,22 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.select(*docs.columns)
 
 
+@any_names
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the least id, of each group of near copies."""
-    groups = ngram_join.jaccard_components(docs)
-    gone = groups.filter("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One document, that of the least id, of each group of near copies; rows of one id with different texts are told apart."""
+    of_text = F.xxhash64("text")
+    groups = ngram_join.jaccard_components(docs, mark=of_text)
+    gone = groups.filter("component_id <> doc_id").select(F.col("doc_id").alias("_gone"), F.col("mark").alias("_text")).distinct()
+    return docs.join(gone, (docs["doc_id"] == gone["_gone"]) & (of_text == gone["_text"]), "left_anti")
 
 
+@any_names
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
     return decontam.keep_clean(docs, table(spark, sf_dir, "benchmark"))
 
 
+@any_names
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What is taken of each domain, language and source, with its epoch."""
     return mixing.mix(docs)
