@@ -1,6 +1,6 @@
 import pytest
 
-from folioforge.plans import catalog, evidence_queries
+from folioforge.plans import catalog, evidence_queries, ranking_queries  # noqa: F401 (these register their queries)
 from tests.parity import same
 
 
