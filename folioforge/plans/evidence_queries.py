@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from folioforge.functions import text as T
 from folioforge.operators import evidence as E
-from folioforge.operators import packing, search
+from folioforge.operators import packing, reingest, search
 from folioforge.plans import catalog
 from folioforge.plans.catalog import query
 from folioforge.plans.lineage import cut
@@ -158,3 +158,21 @@ def citations_remapped(spark, sf_dir):
     """Each text's start as a citation, on the first of its packed chunks that holds it."""
     d = table(spark, sf_dir, "documents")
     return E.remapped(d.select("doc_id", F.col("doc_id").alias("cite_id"), F.col("text").alias("quote")), packing.pack_lines(d), "doc_id", "chunk").select("doc_id", "cite_id", "chunk")
+
+
+@query("""with l as (select doc_id, unnest(string_split(text, chr(10))) as line, unnest(range(0, len(string_split(text, chr(10))))) as n from documents),
+old as (select doc_id, count(*) as c, sum(length(line)) as k, list(line order by n) as t from l group by 1),
+new as (select doc_id, count(*) as c, sum(length(x)) as k, list(x order by n) as t from (select doc_id, n, trim(line) as x from l) where x <> '' group by 1),
+f as (select d.doc_id, case when quality = 1 then 'verified' else 'needs_review' end as corpus_status, old.c as oc, old.k as ok, new.c as nc, new.k as nk, old.t as ot, new.t as nt, contains(text, chr(65533)) as bad
+  from documents d left join labels using (doc_id) left join old using (doc_id) left join new using (doc_id))
+select doc_id as version_id, corpus_status, coalesce(oc, 0)::bigint as old_chunks, coalesce(nc, 0)::bigint as new_chunks, coalesce(ok, 0)::bigint as old_chars, coalesce(nk, 0)::bigint as new_chars,
+  case when bad or nt is null then 'blocked_gates' when corpus_status = 'verified' and ot <> nt then 'blocked_verified' when ot = nt then 'unchanged' else 'apply' end as decision from f""")
+def reingest_report(spark, sf_dir):
+    """Lines as stored chunks, trimmed lines without blank ones as a new extraction of every document."""
+    d, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    old = d.select(F.col("doc_id").alias("version_id"), F.posexplode(F.split("text", "\n")).alias("chunk_no", "text"))
+    new = old.withColumn("text", F.trim("text")).filter("text <> ''")
+    gates = d.select(F.col("doc_id").alias("version_id"), F.lit("clean_glyphs").alias("gate"), F.when(F.contains("text", F.lit("�")), "fail").otherwise("pass").alias("status"))
+    versions = d.join(labels, "doc_id", "left").select(F.col("doc_id").alias("version_id"), F.when(F.col("quality") == 1, "verified").otherwise("needs_review").alias("corpus_status"))
+    out = reingest.decisions(reingest.digests(new), reingest.digests(old), gates, versions)
+    return out.select("version_id", "corpus_status", "old_chunks", "new_chunks", "old_chars", "new_chars", "decision")
