@@ -33,6 +33,7 @@ def test_symbols_and_labels():
 def test_labels_clauses_and_stems():
     p = planning.plan("Class FD, Class FE, 9B testi, Type A, tablo 4.2.4 madde 7 Ek B ISO 286-2:2010 Eşitlik (A.3)", planning.compiled())
     assert p["labels"] == ["class FD", "class FE", "test 9B", "type A", "annex B"] and p["clauses"] == ["4.2.4", "7", "Annex B"] and p["codes"] == ["286-2"] and p["equations"] == ["A.3"]
+    assert "test" in planning.stems("testlerinin") and "standart" in planning.stems("standartlara") and len(planning.ENDINGS) == len(set(planning.ENDINGS)) == 29
     assert "hob" in planning.stems("hoblar") and "test" in planning.stems("testlerin") and planning.stems("çap") == [] and planning.stems("ada") == []
 
 
