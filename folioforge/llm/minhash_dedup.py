@@ -14,8 +14,8 @@ bitmaps count what differs, precisely where similarity is high:
 deviations off.
 
 Plan.  (1) One pass shingles the texts and gives out each set's fingerprint,
-bands and sketch; exact copies are one class from here on.  (2) Band keys held by
-several classes have a leader; each class is compared with the leader it shares
+bands and sketch; exact copies are one class from here on.  A filter of bounded
+size lets only band keys through that several classes hold.  (2) Such a key has a leader; each class is compared with the leader it shares
 most keys with, first by sketches, then on full sets: components of most groups
 at the price of one visit a class.  (3) Only keys whose classes lie in several
 components can still hide a link.  There, the classes outside the component that
@@ -132,6 +132,20 @@ def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     release()
 
 
+def _shared_keys(bloom: Bloom):
+    """``(key, class)`` of the band keys that the filter holds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            keys, own = lists.flatten().to_numpy(), np.repeat(batch.column(0).to_numpy(), np.diff(lists.offsets.to_numpy()))
+            some = bloom.holds(keys, 0)
+            yield from _pairs_of(keys[some], own[some], ("key", "class"))
+        release()
+
+    return run
+
+
 def _sets(bloom: Bloom):
     """Full sets of the documents that the filter holds."""
 
@@ -167,9 +181,13 @@ def _unsigned(batch: pa.RecordBatch, column: int) -> Iterator[np.ndarray]:
     return (flat[off[r] : off[r + 1]] for r in range(batch.num_rows))
 
 
+def _pairs_of(one: np.ndarray, two: np.ndarray, names: tuple[str, str]) -> Iterator[pa.RecordBatch]:
+    if len(one):
+        yield pa.RecordBatch.from_arrays([pa.array(one, pa.int64()), pa.array(two, pa.int64())], names=names)
+
+
 def _pairs(found: list[tuple[int, int]], names: tuple[str, str] = ("a", "b")) -> Iterator[pa.RecordBatch]:
-    if found:
-        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=names)
+    yield from _pairs_of([x[0] for x in found], [x[1] for x in found], names)
 
 
 def _with_leader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -347,11 +365,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     facts = cut(src.mapInArrow(_facts, FACTS), "facts")
     live = facts.filter("class is not null")
-    known = live.filter("sketch is not null").groupBy("class").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands"))
-    classes = cut(live.groupBy("class").agg(F.min("doc_id").alias("rep")).join(known, "class"), "classes")
-    postings = classes.select("class", F.explode("bands").alias("key"))
-    meets = cut(postings.groupBy("key").agg(F.count("*").alias("many"), F.min("class").alias("lead")).filter("many > 1").select("key", "lead"), "meets")
-    held = cut(postings.join(broadcast_if_small(meets, BROADCAST_ROWS)[0], "key"), "held")
+    known = live.filter("sketch is not null")
+    classes = cut(live.groupBy("class").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch", ignorenulls=True).alias("sketch")), "classes")
+    # tasks that met one class each gave out its keys, so a key is shared where its classes differ
+    spans = known.select("class", F.explode("bands").alias("key")).groupBy("key").agg(F.min("class").alias("lead"), F.max("class").alias("high"))
+    meets = cut(spans.filter("lead <> high").select("key", "lead"), "meets")
+    shared = Bloom(meets.select(F.col("key").alias("id"), F.lit(0).alias("salt")))
+    held = known.select("class", "bands").mapInArrow(_shared_keys(shared), "key long, class long")
+    held = cut(held.join(broadcast_if_small(meets, BROADCAST_ROWS)[0], "key").distinct(), "held")
     drop(meets)
     first = cut(_leader_links(src, classes, held), "links")
     near = connected_components(first)
