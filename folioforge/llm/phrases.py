@@ -9,14 +9,15 @@ cut after the first k words has ``l`` and ``r``, the counts of both parts, and
 cut that scores lowest counts.  A candidate within a longer one of the same
 count goes.  The first 2000 of each language stay.
 
-Plan.  (1) and (2) Two passes over the texts count words, then pairs of frequent
-words, as 64-bit hashes.  What is rare at one level can't be part of a
-candidate, so a filter of the frequent ones keeps the long tail out of the
-tries; it has a bounded size, and a fuller one only lets more through.  (3) The
-third pass builds, for each shard of texts, a count trie of at most five levels
-over runs of words whose pairs passed, and writes it serialised in sorted order.
-The shards' tries are merged by prefix range (a range partition of the written
-rows, sorted, then summed) and cut at 100 exactly.  (4) The merged trie is
+Plan.  (1) Three passes over the texts count words, then pairs of frequent words,
+then triples of frequent pairs, as 64-bit hashes.  What is rare at one level
+can't be part of a candidate, so filters of the frequent ones keep the long tail
+out of the tries; they have a bounded size, and fuller ones only let more
+through.  (2) The fourth pass builds, for each shard of texts, a count trie of at
+most five levels over runs of words whose pairs and triples passed, and writes it
+serialised in sorted order.  (3) The shards' tries are merged by prefix range (a
+range partition of the written rows, sorted, then summed) and cut at 100 exactly.
+(4) The merged trie is
 walked in order, range by range: a stack of at most five counts gives each
 phrase the counts of its left parts.  Suffix links, as equality joins on the
 phrase, give those of the right parts.
@@ -90,25 +91,38 @@ class Shard:
         """Hashes of the pairs of words that begin at the places ``at``."""
         return mix64(self.hash[at] * _STEP + self.hash[at + 1])
 
+    def triples(self, at: np.ndarray) -> np.ndarray:
+        """Hashes of the three words that begin at the places ``at``."""
+        return mix64(self.pairs(at) * _STEP + self.hash[at + 2])
+
+    def frequent_pairs(self, words: Bloom, pairs: Bloom | None = None) -> np.ndarray:
+        """Places of words that pass and are joined to one that passes, where the pair does too."""
+        often = words.holds(self.hash, 0)
+        at = np.flatnonzero(often[:-1] & often[1:] & self.joined[:-1])
+        return at if pairs is None else at[pairs.holds(self.pairs(at), 0)]
+
     def word(self, at: int) -> str:
         return LOWER[self.raw[self.starts[at] : self.ends[at]]].tobytes().decode()
 
 
 class CountTrie:
-    """Counts of the phrases of up to ``LONGEST`` words that begin at the words ``begins`` and go on while ``goes_on``.
+    """Counts of the phrases of up to ``LONGEST`` words that begin at the words ``begins``.
+
+    They go on to a second word where ``pairs`` holds of the first, and to each
+    further one where ``pairs`` and, a word before, ``triples`` hold.
 
     Level d is kept as arrays: each node's parent on the level above, a place
     where its phrase begins, and its count.  A place finds its node by that of
     the level above and its next word.
     """
 
-    def __init__(self, shard: Shard, begins: np.ndarray, goes_on: np.ndarray):
+    def __init__(self, shard: Shard, begins: np.ndarray, pairs: np.ndarray, triples: np.ndarray):
         self.shard, self.levels = shard, []
         at = np.flatnonzero(begins)
         node = np.zeros(len(at), np.int64)
         for depth in range(LONGEST):
             if depth:
-                follow = goes_on[at + depth - 1]
+                follow = pairs[at + depth - 1] if depth == 1 else pairs[at + depth - 1] & triples[at + depth - 2]
                 at, node = at[follow], node[follow]
             if not len(at):
                 break
@@ -162,30 +176,32 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     release()
 
 
-def _count_pairs(words: Bloom):
-    """Counts of hashed pairs of words that both pass."""
+def _count_runs(words: Bloom, pairs: Bloom | None = None):
+    """Counts of hashed pairs of words that pass, or of triples of which both pairs pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard in _shards(batches):
-            often = words.holds(shard.hash, 0)
-            at = np.flatnonzero(often[:-1] & often[1:] & shard.joined[:-1])
+            at = shard.frequent_pairs(words, pairs)
+            if pairs is not None:
+                at = at[:-1][at[1:] == at[:-1] + 1]
             if len(at):
-                yield _hashed(shard.pairs(at))
+                yield _hashed(shard.pairs(at) if pairs is None else shard.triples(at))
         release()
 
     return run
 
 
-def _tries(words: Bloom, pairs: Bloom):
-    """Each shard's serialised trie over the words that pass, going on where their pairs pass."""
+def _tries(words: Bloom, pairs: Bloom, triples: Bloom):
+    """Each shard's serialised trie over the words, pairs and triples that pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard in _shards(batches):
-            often = words.holds(shard.hash, 0)
-            at = np.flatnonzero(often[:-1] & often[1:] & shard.joined[:-1])
-            goes_on = np.zeros(len(often), bool)
-            goes_on[at] = pairs.holds(shard.pairs(at), 0)
-            if rows := CountTrie(shard, often, goes_on).rows():
+            two, three = np.zeros(len(shard.hash), bool), np.zeros(len(shard.hash), bool)
+            at = shard.frequent_pairs(words, pairs)
+            two[at] = True
+            at = at[:-1][at[1:] == at[:-1] + 1]
+            three[at] = triples.holds(shard.triples(at), 0)
+            if rows := CountTrie(shard, words.holds(shard.hash, 0), two, three).rows():
                 lang, phrase, count = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(lang), pa.array(phrase), pa.array(count, pa.int64())], names=["lang", "phrase", "many"])
         release()
@@ -229,8 +245,9 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     counted = src.mapInArrow(_count_words, HASHED).groupBy("key", "lang").agg(F.sum("many").alias("many"))
     counted = cut(counted.filter(F.col("key").isNull() | (F.col("many") >= LEAST)), "words")
     words = _frequent(counted)
-    pairs = _frequent(src.mapInArrow(_count_pairs(words), HASHED))
-    runs = cut(src.mapInArrow(_tries(words, pairs), "lang string, phrase string, many long"), "tries")
+    pairs = _frequent(src.mapInArrow(_count_runs(words), HASHED))
+    triples = _frequent(src.mapInArrow(_count_runs(words, pairs), HASHED))
+    runs = cut(src.mapInArrow(_tries(words, pairs, triples), "lang string, phrase string, many long"), "tries")
     merged = runs.repartitionByRange("lang", "phrase").sortWithinPartitions("lang", "phrase").groupBy("lang", "phrase").agg(F.sum("many").alias("a")).filter(F.col("a") >= LEAST)
     trie = cut(merged, "trie")
     drop(runs)

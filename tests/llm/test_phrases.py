@@ -84,8 +84,7 @@ def test_tries_of_any_shards_add_up(size):
     texts = ["a b c a b", "A b, c", None, "", "c" * 50 + " b c", "b"]
     whole = {}
     for shard in _shards_of(texts, size):
-        goes_on = shard.joined.copy()
-        rows = phrases.CountTrie(shard, np.ones(len(shard.hash), bool), goes_on).rows()
+        rows = phrases.CountTrie(shard, np.ones(len(shard.hash), bool), shard.joined, np.ones(len(shard.hash), bool)).rows()
         assert rows == sorted(rows)
         for _, p, n in rows:
             whole[p] = whole.get(p, 0) + n
