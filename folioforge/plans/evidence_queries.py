@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from folioforge.functions import text as T
 from folioforge.operators import evidence as E
-from folioforge.operators import packing, reingest, search
+from folioforge.operators import packing, reingest, search, symbols
 from folioforge.plans import catalog
 from folioforge.plans.catalog import query
 from folioforge.plans.lineage import cut
@@ -176,3 +176,27 @@ def reingest_report(spark, sf_dir):
     versions = d.join(labels, "doc_id", "left").select(F.col("doc_id").alias("version_id"), F.when(F.col("quality") == 1, "verified").otherwise("needs_review").alias("corpus_status"))
     out = reingest.decisions(reingest.digests(new), reingest.digests(old), gates, versions)
     return out.select("version_id", "corpus_status", "old_chunks", "new_chunks", "old_chars", "new_chars", "decision")
+
+
+_SYMBOL_WORDS = ", ".join(f"'{w}'" for w in symbols.WORDS)
+_SYMBOLS = f"""tokens as (select doc_id, unnest(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}]+')) as s from documents),
+found as materialized (select distinct doc_id, s from tokens where length(s) between 2 and 6 and regexp_matches(s, '^\\p{{L}}') and lower(s) not in ({_SYMBOL_WORDS})
+  and (regexp_matches(lower(s), '[α-ω]') or (regexp_matches(substr(s, 2), '[A-Z]') and regexp_matches(s, '[a-z]')) or (length(s) <= 3 and lower(s) = s) or regexp_matches(s, '[0-9]')))"""
+
+
+@query(f"with {_SYMBOLS} select doc_id, count(*)::bigint as n_symbols, md5(string_agg(s, ' ' order by s)) as symbols_md5 from found group by doc_id")
+def symbol_lexicon(spark, sf_dir):
+    """Symbols of each document, from its whole text."""
+    found = symbols.lexicon(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.size("symbols").cast("long").alias("n_symbols"), F.md5(F.array_join("symbols", " ")).alias("symbols_md5"))
+
+
+# the joins of the first pass, by places of letters and of what follows them; a letter taken by the join before it is no beginning
+@query(f"""with {_SYMBOLS}, p as (select doc_id, regexp_extract_all(text, '[\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}]+') as ps from documents),
+spot as (select doc_id, i, ps[i] as a, ps[i + 2] as b from p, unnest(range(1, len(ps) - 1)) t(i) where ps[i + 1] = ' ' and length(ps[i]) = 1 and regexp_matches(ps[i], '\\p{{L}}') and length(ps[i + 2]) <= 4),
+ok as materialized (select spot.* from spot join found f on f.doc_id = spot.doc_id and f.s = a || b)
+select d.doc_id, (select count(*) from ok where ok.doc_id = d.doc_id) > 0 as joined from documents d""")
+def symbols_rejoined(spark, sf_dir):
+    """Whether a document's text changes by the rejoining of its split symbols."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.col("text").alias("whole"))
+    return symbols.rejoin(docs).select("doc_id", (F.col("text") != F.col("whole")).alias("joined"))
