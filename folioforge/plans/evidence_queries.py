@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from folioforge.functions import text as T
 from folioforge.operators import evidence as E
-from folioforge.operators import packing, reingest, search, symbols
+from folioforge.operators import critical, packing, reingest, search, symbols
 from folioforge.plans import catalog
 from folioforge.plans.catalog import query
 from folioforge.plans.lineage import cut
@@ -200,3 +200,27 @@ def symbols_rejoined(spark, sf_dir):
     """Whether a document's text changes by the rejoining of its split symbols."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.col("text").alias("whole"))
     return symbols.rejoin(docs).select("doc_id", (F.col("text") != F.col("whole")).alias("joined"))
+
+
+@query("""with c as (select o_custkey, year(o_orderdate)::varchar || '.' || month(o_orderdate) || '.' || day(o_orderdate) as clause from orders),
+r as (select distinct o_custkey, y || m as clause from orders, unnest(['1992', '1995', '1998']) a(y), unnest(['', '.1', '.12']) b(m))
+select r.o_custkey, r.clause, count(c.clause)::bigint as n_chunks, count(c.clause) > 0 as preserved from r left join c on c.o_custkey = r.o_custkey and (c.clause = r.clause or starts_with(c.clause, r.clause || '.')) group by 1, 2""")
+def clauses_preserved(spark, sf_dir):
+    """Order dates as clauses of a customer; years and their months 1 and 12 are required."""
+    o, d = table(spark, sf_dir, "orders"), F.col("o_orderdate")
+    chunks = o.select("o_custkey", F.concat_ws(".", F.year(d), F.month(d), F.dayofmonth(d)).alias("clause"))
+    wanted = o.select("o_custkey", F.explode(F.array(*(F.lit(y + m) for y in ("1992", "1995", "1998") for m in ("", ".1", ".12")))).alias("clause"))
+    return critical.clauses_preserved(wanted, chunks, "o_custkey")
+
+
+_CRITICAL = {"en": ("the", "and", "of", "(c)"), "de": ("der", "und", "die"), "fr": ("le", "et", "les"), "es": ("el", "y", "los")}
+
+
+@query("with r as (select * from (values " + ", ".join(f"('{k}', '{t}')" for k, ts in _CRITICAL.items() for t in ts) + """) v(lang, token))
+select doc_id, count(token)::bigint as n_required, string_agg(token, ' ' order by token) filter (not case when starts_with(token, '(') then contains(text, token)
+  else regexp_matches(text, '(^|[^\\p{L}\\p{N}_])' || token || '($|[^\\p{L}\\p{N}_])') end) as missing from documents left join r using (lang) group by doc_id""")
+def critical_tokens(spark, sf_dir):
+    """Words that a text of its language should hold, in whole texts."""
+    required = spark.createDataFrame([(k, t) for k, ts in _CRITICAL.items() for t in ts], "lang string, token string")
+    out = critical.tokens_missing(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), required, "lang")
+    return out.select("doc_id", "n_required", F.when(F.size("missing") > 0, F.array_join("missing", " ")).alias("missing"))
