@@ -140,13 +140,23 @@ def reference_links(docs: DataFrame, owners: DataFrame, pattern: str, existing:
 
 
 def memory_relevance(notes: DataFrame, questions: DataFrame, newest: int = 50, top: int = 6) -> DataFrame:
-    """``(qid, item_id, place)``: of the newest notes, preferences first, then shared words, then recency."""
-    recent = F.broadcast(notes.orderBy(F.desc("ts"), F.desc("item_id")).limit(newest))  # ``newest`` rows
+    """``(qid, item_id, place)``: of the newest notes, preferences first, then shared words, then recency.
+
+    The ``newest`` notes stand beside each question as one array (a scalar
+    subquery), scored within a projection: nothing is joined or ranked across rows.
+    """
     words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("([\\p{L}\\p{N}]{3,})")))
-    shared = F.size(F.array_intersect(words(F.col("note")), words(F.col("question"))))
-    met = questions.withColumn("_one", F.lit(1)).join(recent.withColumn("_one", F.lit(1)), "_one").withColumn("shared", shared).filter((F.col("kind") == "preference") | (F.col("shared") > 0))
-    w = Window.partitionBy("qid").orderBy((F.col("kind") != "preference"), F.desc("shared"), F.desc("ts"), F.desc("item_id"))
-    return met.withColumn("place", F.row_number().over(w).cast("long")).filter(F.col("place") <= top).select("qid", "item_id", "place")
+    recent = notes.orderBy(F.desc("ts"), F.desc("item_id")).limit(newest)
+    each = F.struct("ts", "item_id", F.coalesce(F.col("kind") == "preference", F.lit(False)).alias("preferred"), words(F.col("note")).alias("words"))
+    held = recent.agg(F.sort_array(F.collect_list(each), asc=False).alias("notes")).scalar()
+    asked = questions.select("qid", words(F.col("question")).alias("asked"), held.alias("notes"))
+
+    def score(x: Column, age: Column) -> Column:
+        shared = F.size(F.array_intersect(F.coalesce(x["words"], F.array().cast("array<string>")), F.coalesce("asked", F.array().cast("array<string>"))))
+        return F.struct((~x["preferred"]).alias("other"), (-shared).alias("less"), age.alias("age"), x["item_id"].alias("item_id"))
+
+    best = F.slice(F.array_sort(F.filter(F.transform("notes", score), lambda s: ~s["other"] | (s["less"] < 0))), 1, top)
+    return asked.select("qid", F.posexplode(best).alias("place", "s")).select("qid", F.col("s.item_id").alias("item_id"), (F.col("place") + 1).cast("long").alias("place"))
 
 
 def chains(items: DataFrame, rounds: int = 40) -> DataFrame:
