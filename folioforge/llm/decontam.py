@@ -6,7 +6,9 @@ An occurrence of an item of m characters with at most k edits shares at least
 bands of width 2w at stride w (w > k, so one band holds all diagonals of an
 occurrence); bands below the bound can't hold one and are left.  The others are
 verified by an alignment of the whole item within the band: at most k edits is a
-leak.  Nothing but the lemma filters, so every text and every item is covered.
+leak.  Items that begin alike share the rows of a band's alignment up to where
+they part, and rows over budget are given up, so a benchmark whose items share a
+stem isn't aligned once for each item.  Nothing but the lemma filters, so every text and every item is covered.
 
 Texts are compared folded: Latin letters lower-cased, everything but letters
 and digits one space.  The edit budget is 6 % of the item's folded length (less
@@ -37,6 +39,8 @@ from folioforge.llm.arrow_text import fold, mix64, release, slices, utf8, word_h
 Q, EDIT_RATE = 12, 0.06
 #: Items and characters of one block.
 BLOCK_ITEMS, BLOCK_CHARS = 20_000, 16_000_000
+#: Hits counted at once, and cells of alignments.
+HITS, CELLS = 1 << 21, 1 << 22
 _BITS = 22
 
 
@@ -66,31 +70,39 @@ class Index:
 
     def __init__(self, ids: list[int], texts: list[str], q: int = Q, rate: float = EDIT_RATE):
         raw, off = fold(*utf8(pa.array(texts, pa.string())))
-        self.q, self.ids, self.items, self.budget = q, [], [], []
-        hashes, item, at = [], [], []
+        self.q = q
         self.short: dict[bytes, list[int]] = {}
+        long = []
         for k, i in enumerate(ids):
-            b = raw[off[k] : off[k + 1] - 1]
-            if len(b) < q:
-                if len(b):
-                    self.short.setdefault(b.tobytes(), []).append(i)
-                continue
-            g = _grams(b, q)
-            hashes.append(g)
-            item.append(np.full(len(g), len(self.ids), np.int64))
-            at.append(np.arange(len(g), dtype=np.int64))
-            self.ids.append(i)
-            self.items.append(b.tobytes())
-            self.budget.append(min(int(rate * len(b)), len(b) // q - 1))
-        self.size = np.array([len(x) for x in self.items], np.int64)
-        self.least = self.size + 1 - q * (np.array(self.budget, np.int64) + 1) if self.ids else np.zeros(0, np.int64)
-        self.width = max(8, 1 << int(max(self.budget, default=0)).bit_length())
-        h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
+            b = raw[off[k] : off[k + 1] - 1].tobytes()
+            if len(b) >= q:
+                long.append((b, k))
+            elif b:
+                self.short.setdefault(b, []).append(i)
+        self.items = [x for x, _ in long]
+        long.sort()  # item numbers go by text, so items that begin alike are neighbours
+        self.ids, self.ranked = [ids[k] for _, k in long], [x for x, _ in long]
+        self.budget = [min(int(rate * len(x)), len(x) // q - 1) for x in self.items]
+        self.size = np.array([len(x) for x in self.ranked], np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        self.letters = np.frombuffer(b"".join(self.ranked), np.uint8)
+        self.allowed = np.minimum((rate * self.size).astype(np.int64), self.size // q - 1)
+        self.least = self.size + 1 - q * (self.allowed + 1)
+        self.width = np.array([max(8, 1 << int(k).bit_length()) for k in self.allowed], np.int64)
+        self.shared = np.zeros(len(long) + 1, np.int64)  # first bytes shared with the item before
+        for k in range(1, len(long)):
+            x, y = (np.frombuffer(v, np.uint8) for v in self.ranked[k - 1 : k + 1])
+            m = min(len(x), len(y))
+            apart = x[:m] != y[:m]
+            self.shared[k] = apart.argmax() if apart.any() else m
+        grams = [_grams(np.frombuffer(x, np.uint8), q) for x in self.ranked]
+        h = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
+        item = np.repeat(np.arange(len(long)), [len(g) for g in grams])
         order = np.argsort(h, kind="stable")
-        self.hash, first = np.unique(h[order], return_index=True)
-        self.first = np.append(first, len(h))
-        self.item = np.concatenate(item)[order] if item else np.zeros(0, np.int64)
-        self.at = np.concatenate(at)[order] if at else np.zeros(0, np.int64)
+        self.hash, rank = np.unique(h[order], return_inverse=True)
+        self.item = item[order]
+        self.at = np.concatenate([np.arange(len(g)) for g in grams])[order] if grams else np.zeros(0, np.int64)
+        self.by_item = rank * max(1, len(long)) + self.item  # ascending: postings of a q-gram go by item
         self.runs: dict[int, list[int]] = {}  # hashes of the short items, by their words
         for x in self.short:
             b = np.frombuffer(x, np.uint8)
@@ -99,52 +111,148 @@ class Index:
         self.bitmap = np.zeros(1 << _BITS, bool)
         self.bitmap[(mix64(self.hash) >> np.uint64(64 - _BITS)).astype(np.int64)] = True
 
-    def hits(self, b: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(text number, item number, diagonal) of every shared q-gram."""
+    def matches(self, b: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place, q-gram number, text number) of every q-gram of the texts that an item holds."""
         g = _grams(b, self.q)
         p = np.flatnonzero(self.bitmap[(mix64(g) >> np.uint64(64 - _BITS)).astype(np.int64)])
-        k = np.searchsorted(self.hash, g[p])
-        k = np.minimum(k, len(self.hash) - 1)
+        k = np.minimum(np.searchsorted(self.hash, g[p]), len(self.hash) - 1)
         ok = self.hash[k] == g[p]
         p, k = p[ok], k[ok]
         text = np.searchsorted(off, p, "right") - 1
         ok = p + self.q <= off[text + 1] - 1  # within one text, before its closing space
-        p, k, text = p[ok], k[ok], text[ok]
-        many = self.first[k + 1] - self.first[k]
-        begin = np.concatenate(([0], np.cumsum(many)[:-1])) if len(many) else many
-        e = np.arange(int(many.sum())) - np.repeat(begin, many) + np.repeat(self.first[k], many)
-        return np.repeat(text, many), self.item[e], np.repeat(p - off[text], many) - self.at[e]
-
-
-def _frequent(text: np.ndarray, item: np.ndarray, n_texts: int, index: Index) -> np.ndarray:
-    """Hits whose (text, item) has enough of them at all."""
-    n_items = len(index.ids)
-    if n_texts * n_items <= 1 << 24:
-        key = text * n_items + item
-        return np.bincount(key, minlength=n_texts * n_items)[key] >= index.least[item]
-    _, back, count = np.unique(text * n_items + item, return_inverse=True, return_counts=True)
-    return count[back] >= index.least[item]
-
-
-def banded_edits(item: bytes, text: bytes, low: int, width: int) -> tuple[int, int]:
-    """(least edits, end in text) of an alignment of all of ``item`` on diagonals low .. low + width - 1, ends in the text free."""
-    far = 1 << 20
-    t = np.frombuffer(text, np.uint8).astype(np.int16)
-    pad = np.full(len(item) + width + 1, -1, np.int16)  # text position low + x is at x
-    a, b = max(0, low), min(len(t), low + len(pad))
-    if b > a:
-        pad[a - low : b - low] = t[a:b]
-    steps = np.arange(width)
-    place = low + steps
-    now = np.where((place >= 0) & (place <= len(t)), 0, far)
-    for i, c in enumerate(item):
-        nxt = now + (pad[i : i + width] != c)
-        nxt[:-1] = np.minimum(nxt[:-1], now[1:] + 1)
-        place = low + i + 1 + steps
-        nxt[(place < 0) | (place > len(t))] = far
-        now = np.minimum.accumulate(nxt - steps) + steps
-    k = int(now.argmin())
-    return int(now[k]), low + len(item) + k
+        return p[ok], k[ok], text[ok]
+
+    def postings(self, key: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+        """First and last posting of q-grams among the items lo .. hi - 1."""
+        n = len(self.ids)
+        return np.searchsorted(self.by_item, key * n + lo), np.searchsorted(self.by_item, key * n + hi)
+
+    def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Bytes that items a and b begin with alike, b not before a."""
+        pairs, back = np.unique(a * len(self.ids) + b, return_inverse=True)
+        x, y = pairs // len(self.ids), pairs % len(self.ids)
+        least = np.minimum.reduceat(self.shared, np.stack((np.minimum(x + 1, y), y + 1), axis=1).ravel())[::2]
+        return np.where(x < y, least, self.size[y])[back]
+
+
+def _candidates(b: np.ndarray, off: np.ndarray, index: Index) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text number, item number, least diagonal, shared q-grams) of each double band that meets its item's bound.
+
+    Items that share a stem are hit together at each of its places, so the hits
+    of a slice are taken for ranges of items of at most ``HITS`` hits; one item
+    alone is counted by stretches of the text.
+    """
+    place, key, text = index.matches(b, off)
+    lead = int(index.size.max())
+    n_bands = (np.diff(off) + 2 * lead) // index.width.min() + 3
+    base = np.cumsum(n_bands) - n_bands  # of each text's bands in a table of all
+    total = int(n_bands.sum())
+    local = place - off[text]
+    out = []
+    todo = [(0, len(index.ids))] if len(place) else []
+    while todo:
+        lo, hi = todo.pop()
+        first, last = index.postings(key, lo, hi)
+        upto = np.cumsum(last - first)
+        if not upto[-1]:
+            continue
+        if upto[-1] > HITS and hi - lo > 1:
+            todo += [((lo + hi) // 2, hi), (lo, (lo + hi) // 2)]
+            continue
+        counts: dict[str, np.ndarray] = {}
+        dense = (hi - lo) * total <= max(1 << 16, 4 * int(upto[-1])) or hi - lo == 1
+        cells = []
+        begin = 0
+        while begin < len(first):  # by stretches of at most HITS hits, or one place
+            end = max(begin + 1, int(np.searchsorted(upto, (upto[begin - 1] if begin else 0) + HITS, "right")))
+            many = (last - first)[begin:end]
+            e = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many) + np.repeat(first[begin:end], many)
+            item = index.item[e]
+            band = (np.repeat(local[begin:end], many) - index.at[e] + lead) // index.width[item]
+            cell = (item - lo) * total + np.repeat(base[text[begin:end]], many) + band
+            if dense:
+                counts["all"] = counts.get("all", 0) + np.bincount(cell, minlength=(hi - lo) * total)
+            else:
+                cells.append(cell)
+            begin = end
+        if dense:
+            both = counts["all"].copy()
+            both[:-1] += counts["all"][1:]  # the last band of a text stays empty, so texts don't run together
+            cell = np.flatnonzero(both)
+            count = both[cell]
+        else:
+            cell = np.concatenate(cells)
+            cell, count = np.unique(np.concatenate((cell, cell[cell > 0] - 1)), return_counts=True)
+        item = cell // total + lo
+        ok = count >= index.least[item]
+        cell, count, item = cell[ok] % total, count[ok], item[ok]
+        t = np.searchsorted(base, cell, "right") - 1
+        out.append((t, item, (cell - base[t]) * index.width[item] - lead, count))
+    if not out:
+        none = np.zeros(0, np.int64)
+        return none, none, none, none
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+
+def banded_edits(index: Index, text: np.ndarray, item: np.ndarray, low: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(least edits, end in text) of alignments of whole items on diagonals low .. low + width - 1 of one text, ends in the text free.
+
+    Candidates come by (low, item number), and items are numbered in their
+    order as byte strings: those of a band that begin alike share the rows of
+    their common beginning, as on a path of a prefix tree, and split behind it.
+    A row whose least value exceeds the budgets of all that may still split
+    from it is given up; its candidates get a number of edits over any budget.
+    """
+    n, far = len(item), 1 << 30
+    edits, ends = np.full(n, far, np.int64), np.zeros(n, np.int64)
+    share = np.zeros(n, np.int64)
+    if n > 1:
+        share[1:] = index.common(item[:-1], item[1:])
+        share[1:][low[1:] != low[:-1]] = 0
+        share[share < index.q] = 0
+    run = np.flatnonzero(share == 0)
+    top = np.repeat(np.maximum.reduceat(index.allowed[item], run), np.diff(np.append(run, n)))
+    splits = np.argsort(share, kind="stable")
+    split_at = share[splits]
+    side = int(index.size[item].max()) + 2 * width + int(max(0, -low.min()))
+    padded = np.concatenate((np.zeros(side, np.uint8), text, np.zeros(side, np.uint8)))  # no folded text holds a zero byte
+    steps = np.arange(width)[:, None]
+    slot = np.full(n, -1, np.int64)
+    live, rows = np.zeros(0, np.int64), np.zeros((width, 0), np.int32)
+    i = done = 0
+    while done < n or len(live):
+        here = splits[done : np.searchsorted(split_at, i, "right")]
+        done += len(here)
+        if len(here):
+            leaders = np.flatnonzero(share < i)  # the nearest one before a candidate holds the row it splits from
+            slots = slot[leaders[np.searchsorted(leaders, here) - 1]] if i else np.zeros(len(here), np.int64)
+            ok = slots >= 0
+            grown = rows[:, slots[ok]] if i else np.zeros((width, len(here)), np.int32)
+            live, rows = np.concatenate((live, here[ok])), np.concatenate((rows, grown), axis=1)
+        ended = index.size[item[live]] == i
+        least = rows.min(axis=0) if len(live) else np.zeros(0, np.int32)
+        if ended.any():
+            c = live[ended]
+            edits[c] = least[ended]
+            ends[c] = np.clip(low[c] + i + rows[:, ended].argmin(axis=0), 0, len(text))
+        keep = ~ended & (least <= top[live])
+        if not keep.all():
+            slot[live[~keep]] = -1
+            live, rows = live[keep], rows[:, keep]
+        if not len(live):
+            break  # nothing is left to split from
+        slot[live] = np.arange(len(live))
+        own = index.letters[index.start[item[live]] + i]
+        grown = rows + (padded[(side + low[live] + i)[None, :] + steps] != own)
+        np.minimum(grown[:-1], rows[1:] + 1, out=grown[:-1])
+        if len(live) > 64:
+            for j in range(1, width):
+                np.minimum(grown[j], grown[j - 1] + 1, out=grown[j])
+        else:
+            grown = (np.minimum.accumulate(grown - steps, axis=0) + steps).astype(np.int32)
+        rows = grown
+        i += 1
+    return edits, ends
 
 
 def _short_leaks(b: np.ndarray, off: np.ndarray, index: Index) -> list[tuple[int, int, int, int, int]]:
@@ -174,35 +282,25 @@ def find_leaks(b: np.ndarray, off: np.ndarray, index: Index) -> list[tuple[int,
 def _long_leaks(b: np.ndarray, off: np.ndarray, index: Index) -> list[tuple[int, int, int, int, int]]:
     if not len(index.ids) or len(b) < index.q:
         return []
-    text, item, diagonal = index.hits(b, off)
-    if not len(text):
-        return []
-    ok = _frequent(text, item, len(off) - 1, index)
-    text, item, diagonal = text[ok], item[ok], diagonal[ok]
-    if not len(text):
-        return []
-    w = index.width
-    lead = int(index.size.max())
-    band = (diagonal + lead) // w
-    n_bands = int(band.max()) + 2
+    text, item, low, count = _candidates(b, off, index)
+    edits, end = np.full(len(text), 1 << 30, np.int64), np.zeros(len(text), np.int64)
+    for c in np.flatnonzero(count > index.size[item] - index.q).tolist():  # all its q-grams are there
+        t, wanted = text[c], index.ranked[item[c]]
+        at = b[off[t] : off[t + 1] - 1].tobytes().find(wanted, max(0, low[c]), max(0, low[c] + 2 * index.width[item[c]]) + len(wanted))
+        if at >= 0:
+            edits[c], end[c] = 0, at + len(wanted)
     pair = text * len(index.ids) + item
-    key = np.concatenate((pair * n_bands + band, (pair * n_bands + band - 1)[band > 0]))
-    key, count = np.unique(key, return_counts=True)
-    pair, band = key // n_bands, key % n_bands
-    ok = count >= index.least[pair % len(index.ids)]
-    best: dict[tuple[int, int], tuple[int, int, int]] = {}
-    for p, d, c in zip(pair[ok].tolist(), band[ok].tolist(), count[ok].tolist(), strict=True):
-        t, i = divmod(p, len(index.ids))
-        had = best.get((t, i))
-        if had and had[0] == 0:
-            continue
-        whole, wanted = b[off[t] : off[t + 1] - 1].tobytes(), index.items[i]
-        low = d * w - lead
-        at = whole.find(wanted, max(0, low), max(0, low + 2 * w) + len(wanted))
-        edits, end = (0, at + len(wanted)) if at >= 0 else banded_edits(wanted, whole, low, 2 * w)
-        if edits <= index.budget[i] and (not had or (edits, -c) < (had[0], -had[1])):
-            best[t, i] = (edits, c, end)
-    return [(t, index.ids[i], e, c, end) for (t, i), (e, c, end) in best.items()]
+    open_ = np.flatnonzero(~np.isin(pair, pair[edits == 0]))
+    order = open_[np.lexsort((item[open_], low[open_], index.width[item[open_]], text[open_]))]
+    cut = np.flatnonzero((np.diff(text[order]) != 0) | (np.diff(index.width[item[order]]) != 0)) + 1
+    for group in np.split(order, cut) if len(order) else []:
+        t, width = text[group[0]], 2 * int(index.width[item[group[0]]])
+        for part in np.array_split(group, max(1, -(-len(group) * width // CELLS))):
+            edits[part], end[part] = banded_edits(index, b[off[t] : off[t + 1] - 1], item[part], low[part], width)
+    ok = np.flatnonzero(edits <= index.allowed[item])
+    ok = ok[np.lexsort((low[ok], -count[ok], edits[ok], pair[ok]))]
+    ok = ok[np.diff(pair[ok], prepend=-1) != 0]
+    return [(t, index.ids[i], e, c, x) for t, i, e, c, x in zip(text[ok].tolist(), item[ok].tolist(), edits[ok].tolist(), count[ok].tolist(), end[ok].tolist(), strict=True)]
 
 
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[Index]:

@@ -132,6 +132,48 @@ def test_leaks_against_whole_alignment(spark):
                 assert best <= got[t, i] <= index.budget[i]
 
 
+@pytest.mark.parametrize("small", [False, True])
+def test_items_with_common_beginnings(monkeypatch, small):
+    """Stems shared by many items, items that begin others and equal items, also where hits and cells are split."""
+    if small:
+        monkeypatch.setattr(decontam, "HITS", 50)
+        monkeypatch.setattr(decontam, "CELLS", 100)
+    r = random.Random(11 + small)
+    plain = lambda n: " ".join(r.choice(["ab", "the", "of", "gear", "tooth", "x1", "module"]) for _ in range(n))
+    stem = plain(12)
+    items = [f"{stem} {plain(2)} {k} {plain(r.choice([1, 3, 6]))}" for k in range(12)]
+    items += [items[0], stem, items[3] + " tail of the gear", plain(30), plain(60) + " " + stem]
+    docs = []
+    for _ in range(4):
+        t = list(f"{r.choice(items)} {plain(3)} {r.choice(items)} {stem}")
+        for _ in range(r.choice([0, 1, 3, 6])):
+            p = r.randrange(len(t))
+            t[p : p + r.choice([0, 1])] = r.choice(["", "q", "zz"])
+        docs.append("".join(t))
+    index = decontam.Index(list(range(len(items))), items)
+    raw, off = arrow_text.fold(*arrow_text.utf8(pa.array(docs)))
+    got = {(t, i): e for t, i, e, _, _ in decontam.find_leaks(raw, off, index)}
+    for t in range(len(docs)):
+        text = raw[off[t] : off[t + 1] - 1].tobytes()
+        for i in range(len(items)):
+            best = edit_ends(index.items[i], text)
+            assert ((t, i) in got) == (best <= index.budget[i]), (t, i, best)
+            assert (t, i) not in got or best <= got[t, i] <= index.budget[i]
+
+
+def test_stems_are_aligned_once():
+    """1000 items of one stem and a text that repeats it 300 times: seconds, where one alignment for each item and place took minutes."""
+    import time
+
+    items = [f"which of the following statements is true about case number {i} of the gear under load" for i in range(1000)]
+    text = "which of the following statements is true about case number zero " * 300 + items[7]
+    index = decontam.Index(list(range(1000)), items)
+    raw, off = arrow_text.fold(*arrow_text.utf8(pa.array([text])))
+    began = time.monotonic()
+    found = {i: e for _, i, e, _, _ in decontam.find_leaks(raw, off, index)}
+    assert time.monotonic() - began < 20 and found[7] == 0 and found[8] == 1
+
+
 def test_benchmark_in_blocks(spark, monkeypatch):
     items = [(i, words(30)) for i in range(9)]
     docs = spark.createDataFrame([(i, f"{words(5)} {t} {words(5)}") for i, t in items] + [(99, words(50))], "doc_id long, text string")
