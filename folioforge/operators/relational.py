@@ -220,3 +220,19 @@ def snapshot_diff(before: DataFrame, now: DataFrame) -> DataFrame:
 def job_order(jobs: DataFrame) -> DataFrame:
     """Uploads first, then small, then old."""
     return jobs.orderBy(~F.col("is_upload"), "size", "created_at", "job_id")
+
+
+def summaries_due(messages: DataFrame, every: int, key: str = "conv_id", order: str = "turn") -> DataFrame:
+    """``(key, n_messages, first_turn, last_turn, n_chars)``: one row whenever a conversation's messages reach a multiple of ``every``.
+
+    The row tells the stretch to summarise, the last ``every`` messages in the
+    order of ``order`` (null first), role and text; null texts count no
+    characters.  What is left behind the last multiple is not due yet.
+    """
+    before = Window.partitionBy(key).orderBy(F.col(order).asc_nulls_first(), F.col("role").asc_nulls_first(), F.col("text").asc_nulls_first())
+    stretch = before.rowsBetween(1 - every, 0)
+    n = messages.select(
+        key, F.row_number().over(before).cast("long").alias("n_messages"), F.first(order).over(stretch).cast("long").alias("first_turn"),
+        F.col(order).cast("long").alias("last_turn"), F.coalesce(F.sum(F.length("text")).over(stretch), F.lit(0)).cast("long").alias("n_chars"),
+    )
+    return n.filter(F.col("n_messages") % every == 0)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from folioforge.functions import text as T
 from folioforge.operators import evidence as E
-from folioforge.operators import critical, packing, reingest, search, symbols
+from folioforge.operators import critical, packing, reingest, relational, search, symbols
 from folioforge.plans import catalog
 from folioforge.plans.catalog import query
 from folioforge.plans.lineage import cut
@@ -224,3 +224,10 @@ def critical_tokens(spark, sf_dir):
     required = spark.createDataFrame([(k, t) for k, ts in _CRITICAL.items() for t in ts], "lang string, token string")
     out = critical.tokens_missing(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), required, "lang")
     return out.select("doc_id", "n_required", F.when(F.size("missing") > 0, F.array_join("missing", " ")).alias("missing"))
+
+
+@query("""with n as (select conv_id, row_number() over w as n_messages, first(turn) over s as first_turn, turn as last_turn, coalesce(sum(length(text)) over s, 0) as n_chars from conversations
+  window w as (partition by conv_id order by turn nulls first, role nulls first, text nulls first), s as (partition by conv_id order by turn nulls first, role nulls first, text nulls first rows between 3 preceding and current row))
+select conv_id, n_messages::bigint as n_messages, first_turn::bigint as first_turn, last_turn::bigint as last_turn, n_chars::bigint as n_chars from n where n_messages % 4 = 0""")
+def summaries_due(spark, sf_dir):
+    return relational.summaries_due(table(spark, sf_dir, "conversations"), 4)

@@ -111,3 +111,10 @@ def test_streams(spark, sf, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/sessions").agg(F.sum("n_events")).first()[0] <= e.count()
     loops.run_once(loops.anchored(loops.event_stream(spark, src)), f"{tmp_path}/anchored", f"{tmp_path}/ck4")
     assert spark.read.parquet(f"{tmp_path}/anchored").agg(F.sum("n_events")).first()[0] <= e.count()
+
+
+def test_summaries_due(spark):
+    rows = [(1, t, "user", "ab") for t in range(9)] + [(2, t, None, None) for t in range(3)] + [(3, None, "a", None), (3, 0, "a", "x"), (3, 0, "a", "x"), (3, 1, "b", "yz")]
+    got = relational.summaries_due(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string"), 4)
+    assert sorted(map(tuple, got.collect()), key=str) == [(1, 4, 0, 3, 8), (1, 8, 4, 7, 8), (3, 4, None, 1, 4)]
+    assert relational.summaries_due(spark.createDataFrame([], "conv_id long, turn int, role string, text string"), 4).count() == 0
