@@ -162,24 +162,28 @@ def limit_sizes(size: Column, it: Column, letter: str) -> dict[str, Column]:
 # ------------------------------------------------------------------ validation
 
 
-def spec_table(spark, calc_type: str) -> DataFrame:
-    rows = [(s.key, s.kind, s.required, float(s.low), float(s.high)) for s in SPECS[calc_type]]
-    return F.broadcast(spark.createDataFrame(rows, "key string, kind string, required boolean, low double, high double"))
+def spec_table(spark, calc_type: str | None = None) -> DataFrame:
+    """The inputs of one calculation, or of all with ``calc_type`` beside them."""
+    rows = [(t, s.key, s.kind, s.required, float(s.low), float(s.high)) for t, specs in SPECS.items() if calc_type in (None, t) for s in specs]
+    specs = spark.createDataFrame(rows, "calc_type string, key string, kind string, required boolean, low double, high double")
+    return F.broadcast(specs.drop("calc_type") if calc_type else specs)
 
 
 def unit_table(spark) -> DataFrame:
     return F.broadcast(spark.createDataFrame([(k, u, f) for k, us in UNITS.items() for u, f in us.items()], "kind string, unit_token string, factor double"))
 
 
-def validate(requests: DataFrame, calc_type: str) -> DataFrame:
+def validate(requests: DataFrame, calc_type: str | None = None) -> DataFrame:
     """``requests(req_id, key, value, unit, prov_kind, prov_status)`` with ``canonical`` and ``code`` (null: good), one row each.
 
     Checks in order: unknown input, blocked draft, provenance, finite value,
     unit, whole number, range; ``missing_inputs`` finds what isn't there at all.
+    Without ``calc_type`` each row names its own in a column, and inputs of an
+    unknown calculation are unknown.
     """
     spark = requests.sparkSession
     r = requests.withColumn("unit_token", F.replace(F.lower(F.trim(F.coalesce("unit", F.lit("")))), F.lit("derecesi"), F.lit("derece")))
-    r = r.join(spec_table(spark, calc_type), "key", "left").join(unit_table(spark), ["kind", "unit_token"], "left")
+    r = r.join(spec_table(spark, calc_type), "key" if calc_type else ["calc_type", "key"], "left").join(unit_table(spark), ["kind", "unit_token"], "left")
     canonical = F.col("value") * F.col("factor")
     trusted = F.when(F.col("prov_kind") == "extracted_value", F.coalesce(F.col("prov_status").isin("user_confirmed", "verified_source"), F.lit(False))).when(F.col("prov_kind") == "memory_item", F.coalesce(F.col("prov_status") == "user_confirmed", F.lit(False))).otherwise(F.lit(True))
     code = (
