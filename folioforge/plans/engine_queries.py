@@ -51,7 +51,7 @@ def _found(spark, sf_dir: str) -> DataFrame:
     docs, labels, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), table(spark, sf_dir, "benchmark")
     seen = docs.join(labels.filter("toxic = 1"), "doc_id", "left_anti")
     pages = seen.select("doc_id", (F.col("doc_id") % 50).cast("int").alias("page"), F.concat(F.lit("COL "), (F.col("doc_id") % 3).cast("string"), F.lit(":2020")).alias("code"), "text")
-    phrases = F.filter(F.transform(F.split("text", "[.]"), F.trim), lambda x: x != "")
+    phrases = F.filter(F.transform(F.split("text", "[.]"), lambda p: F.trim(p)), lambda x: x != "")
     asked = items.select(F.concat(F.lit("item "), F.col("item_id").cast("string")).alias("requirement_id"), F.concat(F.lit("col "), (F.col("item_id") % 3).cast("string")).alias("code"), (F.col("item_id") % 50).cast("int").alias("page_hint"), phrases.alias("phrases"))
     return engine.evidence(asked, pages)
 
