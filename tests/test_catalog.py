@@ -1,6 +1,6 @@
 import pytest
 
-from folioforge.plans import calibration_queries, catalog, context_queries, engine_queries, evidence_queries, layout_queries, ranking_queries  # noqa: F401 (these register their queries)
+from folioforge.plans import annotation_queries, calibration_queries, catalog, context_queries, engine_queries, evidence_queries, layout_queries, ranking_queries  # noqa: F401 (these register their queries)
 from tests.parity import same
 
 
