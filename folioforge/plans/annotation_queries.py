@@ -14,12 +14,14 @@ TERMS = {
     "los": ["those ones"], "para": ["meant for"], "entre": ["amid"], "the": ["thing"], "with": ["jointly"], "from": ["origin"],
 }
 _MOST = 3
-_ENTRIES = ", ".join(f"({i}, '{annotation.phrase_pattern(k)}', '{t}')" for i, (k, t) in enumerate(annotation.ranked(TERMS)))
+# a select for each phrase, as a pattern that is no constant is compiled for each row
+_HITS = " union all ".join(
+    f"select doc_id, text, {i} as rank, '{t}' as term, padded, regexp_extract(padded, '[^\\p{{L}}\\p{{N}}_](?:{annotation.phrase_pattern(k)})[^\\p{{L}}\\p{{N}}_]') as g from d where length(padded) = length(text) + 2" for i, (k, t) in enumerate(annotation.ranked(TERMS))
+)
 
 
-@query(f"""with recursive entry as (select * from (values {_ENTRIES}) v(rank, rx, term)), d as (select doc_id, text, lower(translate(text, 'İI', 'iı')) as low from documents),
-hit as (select doc_id, text, rank, term, regexp_extract(low, '(?s)^(|.*?[^\\p{{L}}\\p{{N}}_])(' || rx || ')(?:$|[^\\p{{L}}\\p{{N}}_])', 1) as g1, regexp_extract(low, '(?s)^(|.*?[^\\p{{L}}\\p{{N}}_])(' || rx || ')(?:$|[^\\p{{L}}\\p{{N}}_])', 2) as g2 from d, entry where length(low) = length(text)),
-placed as (select doc_id, text, rank, term, length(g1) + 1 as a, length(g1) + 1 + length(g2) as b from hit where g2 <> ''),
+@query(f"""with recursive d as materialized (select doc_id, text, ' ' || lower(translate(text, 'İI', 'iı')) || ' ' as padded from documents), hit as ({_HITS}),
+placed as (select doc_id, text, rank, term, strpos(padded, g) as a, strpos(padded, g) + length(g) - 2 as b from hit where g <> ''),
 ends as materialized (select doc_id, text, rank, term, a, b, b + length(regexp_extract(substr(text, b), '^[\\p{{L}}\\p{{N}}''’]*')) as e from placed),
 ps as materialized (select doc_id, list({{a: a, b: b, e: e, term: term, ok: not contains(lower(text), term) and not starts_with(ltrim(substr(text, e, 2), ' '), '(')}} order by rank) as p from ends group by 1),
 walk(doc_id, i, taken, edits) as (
