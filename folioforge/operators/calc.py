@@ -123,8 +123,9 @@ def gear_pair(requests: DataFrame) -> DataFrame:
 
 
 def tolerance_round(v: Column) -> Column:
-    """Above 10 whole numbers, from 5 half steps, below tenths; half up on the decimal digits."""
-    return F.when(v > 10, F.round(v, 0)).when(v >= 5, F.round(v * 2, 0) / 2).otherwise(F.round(v, 1))
+    """Above 10 whole numbers, from 5 half steps, below tenths; half up on the steps counted in doubles, as the SQL has it."""
+    steps = lambda n: F.floor(v * n + 0.5).cast("double") / n
+    return F.when(v > 10, steps(1)).when(v >= 5, steps(2)).otherwise(steps(10))
 
 
 def flank_tolerance(requests: DataFrame) -> DataFrame:
