@@ -111,7 +111,7 @@ def content_coverage(page: Column, chunks: Column, least: int = 4) -> Column:
 
 def label_lines(text: Column, most: int = 8, longest: int = 80) -> Column:
     """The first distinct label lines of a passage: short lines that open with a capital letter."""
-    lines = F.transform(F.split(text, "\n"), F.trim)
+    lines = F.transform(F.split(text, "\n"), lambda x: F.trim(x))  # F.trim itself would take a line's number for the characters to trim
     return F.slice(F.array_distinct(F.filter(lines, lambda x: (F.length(x) <= longest) & F.regexp_like(x, F.lit("^[A-Z]")))), 1, most)
 
 

@@ -33,3 +33,11 @@ def test_flank_tolerances_between_two_steps(spark, sf, tables):
     keys = spark.createDataFrame([(k, s) for k in (484563, 374321, 634163, 673521, 1063845) for s in (1, 10, 25, 50)], "p_partkey long, p_size int")
     folder, duck = tables(part=keys.crossJoin(part))
     same(catalog.QUERIES["calc_flank_tolerance"](spark, folder), duck.sql(catalog.ORACLES["calc_flank_tolerance"]))
+
+
+def test_labels_keep_the_digits_of_their_line(spark, tables):
+    docs = spark.createDataFrame([(1, "Order 40\nRow 31\n  Blanks before 2 \nRow 3333"), (2, "0Ab\n1Cd\n Ef"), (3, ""), (4, None)], "doc_id long, text string")
+    folder, duck = tables(documents=docs)
+    got = catalog.QUERIES["label_lines"](spark, folder)
+    same(got, duck.sql(catalog.ORACLES["label_lines"]))
+    assert got.filter("doc_id = 1").first().labels == "Order 40 / Row 31 / Blanks before 2 / Row 3333"
