@@ -107,7 +107,8 @@ def engine_run(spark, sf_dir):
     found, needs = _found(spark, sf_dir), spark.createDataFrame(list(_NEEDS), engine.NEED)
     out = engine.run(_resolved(spark, sf_dir), needs, found)
     joined = [F.array_join(c, " ").alias(c) for c in ("problems", "missing", "missing_sources", "constants")]
-    stated = F.array_join(F.transform("evidence", lambda e: F.concat(e["requirement_id"], F.lit("@"), e["doc_id"].cast("string"), F.lit(":"), e["page"].cast("string"))), " ").alias("evidence")
+    told = F.transform("evidence", lambda e: F.concat(e["requirement_id"], F.lit("@"), e["doc_id"].cast("string"), F.lit(":"), e["page"].cast("string")))
+    stated = F.array_join(F.array_sort(told), " ").alias("evidence")  # in the order of the texts: 'item 11@' stands before 'item 1@'
     values = [F.round(F.try_element_at(_output(k), F.lit(1))["value"], 6).alias(k) for k in ("m_t", "d_b", "d_f")]
     return out.select("req_id", "calc_type", "status", "code", "n_unknown", *joined, stated, *values)
 

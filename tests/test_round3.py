@@ -41,3 +41,12 @@ def test_labels_keep_the_digits_of_their_line(spark, tables):
     got = catalog.QUERIES["label_lines"](spark, folder)
     same(got, duck.sql(catalog.ORACLES["label_lines"]))
     assert got.filter("doc_id = 1").first().labels == "Order 40 / Row 31 / Blanks before 2 / Row 3333"
+
+
+def test_evidence_of_a_run_in_the_order_of_its_texts(spark, tables):
+    items = spark.createDataFrame([(i, f"what item {i} states.") for i in (1, 3, 11, 16)], "item_id long, text string")
+    docs = spark.createDataFrame([(100 * i + i % 3 + (3 - 100 * i % 3) % 3, f"Here stands what item {i} states, and more.", "en", "s", 1) for i in (1, 3, 11, 16)], "doc_id long, text string, lang string, source string, n_chars long")
+    folder, duck = tables(benchmark=items, documents=docs)
+    got = catalog.QUERIES["engine_run"](spark, folder)
+    same(got, duck.sql(catalog.ORACLES["engine_run"]))
+    assert got.filter("evidence like 'item 11@% item 1@%'").limit(1).count() == 1
