@@ -148,7 +148,7 @@ def diagnose(requests: DataFrame, drafts: DataFrame) -> DataFrame:
     wide = cylindrical(requests)
     units = {key: unit for key, unit, _ in CYLINDRICAL}
     got = drafts.withColumn("draft", F.replace(F.col("raw"), F.lit(","), F.lit(".")).try_cast("double"))
-    joined = got.join(wide, "req_id")
+    joined = got.hint("merge").join(wide, "req_id")  # an exploded side looks as small as the table it comes from, and would be broadcast
     engine = F.coalesce(*[F.when(F.col("key") == k, F.col(k)) for k in units])
     unit = F.coalesce(*[F.when(F.col("key") == k, F.lit(u)) for k, u in units.items()])
     rows = joined.withColumn("engine", engine).filter("engine is not null").withColumn("tol", tolerance(F.col("engine"), unit))

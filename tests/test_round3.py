@@ -50,3 +50,9 @@ def test_evidence_of_a_run_in_the_order_of_its_texts(spark, tables):
     got = catalog.QUERIES["engine_run"](spark, folder)
     same(got, duck.sql(catalog.ORACLES["engine_run"]))
     assert got.filter("evidence like 'item 11@% item 1@%'").limit(1).count() == 1
+
+
+def test_drafts_are_not_broadcast(spark, sf):
+    for name in ("calc_diagnose", "calc_compare"):
+        plan = catalog.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
