@@ -32,16 +32,16 @@ ranked as (select *, row_number() over (partition by qid order by score desc, do
 select qid, doc_id, n_covers, score, rank::bigint as rank from ranked where rank <= 60"""
 
 
-def _ranked(spark, sf_dir: str, size: int, adjacent: bool) -> DataFrame:
-    groups = cut(ranking.word_groups(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text"), size, adjacent), "groups")
-    index = cut(ranking.places(table(spark, sf_dir, "documents"), groups.select(F.explode("words").alias("lexeme"))), "places")
-    return ranking.cover_density(index, groups)
+def _groups(spark, sf_dir: str, size: int, adjacent: bool) -> DataFrame:
+    return cut(ranking.word_groups(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text"), size, adjacent), "groups")
 
 
 @query(_COVERS)
 def search_cover_density(spark, sf_dir):
     """Benchmark texts as questions, in groups of four words of any length."""
-    return _ranked(spark, sf_dir, 4, False)
+    groups = _groups(spark, sf_dir, 4, False)
+    index = cut(ranking.places(table(spark, sf_dir, "documents"), groups.select(F.explode("words").alias("lexeme"))), "places")
+    return ranking.cover_density(index, groups)
 
 
 @query("""with words as materialized (select doc_id, ws, unnest(range(1, len(ws) + 1)) as p from (select doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') as ws from documents)),
@@ -52,4 +52,4 @@ ranked as (select *, row_number() over (partition by qid order by score desc, do
 select qid, doc_id, n_covers, score, rank::bigint as rank from ranked where rank <= 60""")
 def search_phrases(spark, sf_dir):
     """The same with phrases of three words."""
-    return _ranked(spark, sf_dir, 3, True)
+    return ranking.phrase_density(table(spark, sf_dir, "documents"), _groups(spark, sf_dir, 3, True))

@@ -1,10 +1,12 @@
 """Faults that the tables of sf0.001 don't show: rows of the kind that larger tables hold."""
 
 import os
+import random
 
 import duckdb
 import pytest
 
+from folioforge.operators import ranking
 from folioforge.plans import catalog, engine_queries, evidence_queries, ranking_queries  # noqa: F401 (these register their queries)
 from folioforge.plans.tables import NAMES
 from tests.parity import same
@@ -56,3 +58,18 @@ def test_drafts_are_not_broadcast(spark, sf):
     for name in ("calc_diagnose", "calc_compare"):
         plan = catalog.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_phrases_straight_from_the_texts(spark):
+    rng = random.Random(4)
+    say = lambda n: " ".join(rng.choice("a a a b b c d".split()) for _ in range(n))
+    docs = spark.createDataFrame([(i, say(rng.randint(0, 30)), say(3)) for i in range(60)] + [(60, "", ""), (61, None, "a b")], "doc_id long, text string, title string")
+    asked = [(1, 0, ["a", "b"]), (1, 1, ["a", "b"]), (1, 2, ["c"]), (2, 0, ["a", "b"]), (2, 1, ["a", "a", "b", "d"]), (3, 0, ["zzz"]), (4, 0, [])]
+    groups = spark.createDataFrame([(*r, True) for r in asked], "qid long, grp int, words array<string>, adjacent boolean")
+    parts = {"title": "A", "text": "D"}
+    by_covers = ranking.cover_density(ranking.places(docs, parts=parts), groups, top=20)
+    straight = ranking.phrase_density(docs, groups, top=20, parts=parts)
+    assert "SortMergeJoin" not in straight._jdf.queryExecution().executedPlan().toString()
+    got, want = ({(r.qid, r.doc_id): (r.n_covers, round(r.score, 8)) for r in df.collect()} for df in (straight, by_covers))
+    assert got == want and len(got) > 30
+    assert ranking.phrase_density(docs, groups.limit(0)).count() == 0
