@@ -163,17 +163,19 @@ def chains(items: DataFrame, rounds: int = 40) -> DataFrame:
     """``(item_id, root, depth)`` of a supersede chain ``items(item_id, replaces)`` by pointer doubling.
 
     Each round doubles the distance a pointer spans, so a chain of n takes log2(n) joins.
+    An item that points to a finished one, or to one that isn't there, is finished:
+    it is written once and later rounds only look it up.
     """
     from folioforge.plans.lineage import cut
 
-    now = cut(items.select("item_id", F.coalesce("replaces", "item_id").alias("root"), F.when(F.col("replaces").isNull(), 0).otherwise(1).cast("long").alias("depth")), "chain")
+    now = cut(items.select("item_id", F.coalesce("replaces", "item_id").alias("root"), F.when(F.col("replaces").isNull(), 0).otherwise(1).cast("long").alias("depth"), F.col("replaces").isNull().alias("done")), "chain")
+    finished, going = now.filter("done"), now.filter("not done")
     for _ in range(rounds):
-        up = now.select(F.col("item_id").alias("_i"), F.col("root").alias("_r"), F.col("depth").alias("_d"))
-        after = cut(now.join(up, now["root"] == up["_i"], "left").select("item_id", F.coalesce("_r", "root").alias("root"), (F.col("depth") + F.coalesce("_d", F.lit(0))).alias("depth")), "chain")
-        moved = after.join(now.select("item_id", F.col("root").alias("_b")), "item_id").filter("root <> _b").limit(1).count()
-        now = after
-        if not moved:
-            return now
+        if not going.limit(1).count():
+            return finished.drop("done")
+        up = finished.unionByName(going).toDF("_i", "_r", "_d", "_done")
+        after = cut(going.join(up, going["root"] == up["_i"], "left").select("item_id", F.coalesce("_r", "root").alias("root"), (F.col("depth") + F.coalesce("_d", F.lit(0))).alias("depth"), F.coalesce("_done", F.lit(True)).alias("done")), "chain")
+        finished, going = finished.unionByName(after.filter("done")), after.filter("not done")
     raise ValueError("the chain has a cycle, or is longer than 2 ** rounds")
 
 

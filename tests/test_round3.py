@@ -6,8 +6,8 @@ import random
 import duckdb
 import pytest
 
-from folioforge.operators import ranking
-from folioforge.plans import catalog, engine_queries, evidence_queries, ranking_queries  # noqa: F401 (these register their queries)
+from folioforge.operators import ranking, relational
+from folioforge.plans import catalog, engine_queries, evidence_queries, lineage, ranking_queries  # noqa: F401 (these register their queries)
 from folioforge.plans.tables import NAMES
 from tests.parity import same
 
@@ -73,3 +73,14 @@ def test_phrases_straight_from_the_texts(spark):
     got, want = ({(r.qid, r.doc_id): (r.n_covers, round(r.score, 8)) for r in df.collect()} for df in (straight, by_covers))
     assert got == want and len(got) > 30
     assert ranking.phrase_density(docs, groups.limit(0)).count() == 0
+
+
+def test_chains_write_finished_items_once(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(lineage, "cut", lambda df, label="cut", own=lineage.cut: written.append(own(df, label)) or written[-1])
+    items = spark.createDataFrame([(i, None if i % 20 == 0 else i - 1) for i in range(100)] + [(200, 999), (201, 200)], "item_id long, replaces long")
+    got = {r.item_id: (r.root, r.depth) for r in relational.chains(items).collect()}
+    assert got == {i: (i // 20 * 20, i % 20) for i in range(100)} | {200: (999, 1), 201: (999, 2)}
+    assert sum(df.count() for df in written) < 5 * len(got)
+    with pytest.raises(ValueError):
+        relational.chains(spark.createDataFrame([(1, 2), (2, 1)], items.schema), rounds=4)
