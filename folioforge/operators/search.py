@@ -22,7 +22,10 @@ def lexemes(text: Column) -> Column:
 
 def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", only: DataFrame | None = None) -> DataFrame:
     """``(doc_id, lexeme, tf, first_pos)``: the inverted index of the plain configuration; ``only(lexeme)`` keeps the words of some questions, before anything is counted."""
-    words = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(lexemes(F.col(text_col))).alias("pos", "lexeme"))
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    if only is None:  # whole texts are dealt by document, as they are smaller than their postings, which then needn't be shuffled
+        texts = texts.repartition("doc_id")
+    words = texts.select("doc_id", F.posexplode(lexemes(F.col("text"))).alias("pos", "lexeme"))
     if only is not None:
         wanted, _ = broadcast_if_small(only.select("lexeme").distinct(), QUESTION_ROWS)
         words = words.join(wanted, "lexeme", "left_semi")

@@ -84,3 +84,8 @@ def test_chains_write_finished_items_once(spark, monkeypatch):
     assert sum(df.count() for df in written) < 5 * len(got)
     with pytest.raises(ValueError):
         relational.chains(spark.createDataFrame([(1, 2), (2, 1)], items.schema), rounds=4)
+
+
+def test_postings_are_made_where_their_text_is(spark, sf):
+    plan = catalog.QUERIES["index_postings"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "REPARTITION_BY_COL" in plan
