@@ -39,9 +39,7 @@ def _groups(spark, sf_dir: str, size: int, adjacent: bool) -> DataFrame:
 @query(_COVERS)
 def search_cover_density(spark, sf_dir):
     """Benchmark texts as questions, in groups of four words of any length."""
-    groups = _groups(spark, sf_dir, 4, False)
-    index = cut(ranking.places(table(spark, sf_dir, "documents"), groups.select(F.explode("words").alias("lexeme"))), "places")
-    return ranking.cover_density(index, groups)
+    return ranking.text_density(table(spark, sf_dir, "documents"), _groups(spark, sf_dir, 4, False))
 
 
 @query("""with words as materialized (select doc_id, ws, unnest(range(1, len(ws) + 1)) as p from (select doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') as ws from documents)),
