@@ -4,7 +4,8 @@ A required clause is preserved where it or a clause below it is the clause of a
 chunk.  Chunks give out each clause on the way up from theirs, once a version, so
 the check is an equality join of prefixes and its counts are those of the clause
 tree; no chunk is compared with all requirements.  Tokens are searched in each
-text for the requirements of its own code only, as one array beside it.
+text for the requirements of its own code only, as one array beside it; these
+arrays go to the texts, so that texts of one code don't meet in one task.
 
 Defined cases: an annex ("Annex A") lives on in "A.1"; a chunk without a clause
 preserves none; a requirement without any chunk is missing with zero below; null
@@ -18,6 +19,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioforge.plans.lineage import broadcast_if_small
+
+#: Codes whose requirements are sent to all tasks; those of more codes are joined by sorting.
+CODE_ROWS = 100_000
+
 
 def clause_path(clause: Column) -> Column:
     """A clause and all above it: 5.1.2 gives 5, 5.1, 5.1.2; annexes go by their letter."""
@@ -41,7 +47,7 @@ def holds_token(text: Column, token: Column) -> Column:
 
 def tokens_missing(texts: DataFrame, required: DataFrame, code: str = "code", text: str = "text") -> DataFrame:
     """``texts`` with ``n_required`` and ``missing``, the tokens of ``required(code, token)`` that its text doesn't hold, in order."""
-    wanted = required.groupBy(F.col(code).alias("_code")).agg(F.array_sort(F.collect_set("token")).alias("_wanted"))
+    wanted, _ = broadcast_if_small(required.groupBy(F.col(code).alias("_code")).agg(F.array_sort(F.collect_set("token")).alias("_wanted")), CODE_ROWS)
     none = F.array().cast("array<string>")
     held = texts.join(wanted, F.col(code) == F.col("_code"), "left").withColumn("_wanted", F.coalesce("_wanted", none))
     missing = F.filter("_wanted", lambda t: ~F.coalesce(holds_token(F.col(text), t), F.lit(False)))

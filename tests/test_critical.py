@@ -23,3 +23,15 @@ def test_letters_before_what_they_name():
     assert planning.symbols("A gear and a D") == [] and planning.symbols("H temel daire") == []
     own = planning.tokens("sapma H ve deviation FE")
     assert planning._named(own)[0] == ["deviation H", "deviation FE"]
+
+
+def test_texts_of_one_code_stay_where_they_are(spark, monkeypatch):
+    texts = spark.createDataFrame([(i, "A" if i % 9 else None, "the (c)" if i % 2 else None) for i in range(40)], "id int, code string, text string")
+    required = spark.createDataFrame([("A", "the"), ("A", "of"), ("A", "(c)"), ("B", "x")], "code string, token string")
+    out = critical.tokens_missing(texts, required)
+    rows = sorted(map(str, out.collect()))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    monkeypatch.setattr(critical, "CODE_ROWS", 1)
+    sorted_ = critical.tokens_missing(texts, required)
+    assert sorted(map(str, sorted_.collect())) == rows
