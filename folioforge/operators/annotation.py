@@ -13,6 +13,10 @@ whose lower case has another length is left as it is.
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -40,16 +44,43 @@ def ranked(glossary: dict[str, list[str]], generic=GENERIC) -> list[tuple[str, s
     return [(k, v[0]) for k, v in sorted(glossary.items(), key=lambda kv: -len(kv[0])) if k not in generic]
 
 
-def _places(text: Column, low: Column, entries: list[tuple[str, str]]) -> Column:
-    """(start, stop, behind, term, wanted) of each phrase that is there, in the order of the phrases; places count from 1, ``behind`` is the end of the word."""
+def _stem(w: str) -> str:
+    """What every form of a phrase's word begins with."""
+    return w[:-1] if len(w) > 4 and w[-1] in "ıiuü" else w
+
+
+def _plain(phrase: str) -> bool:
+    """Whether a phrase stands for itself in a pattern."""
+    return bool(re.fullmatch(r"[\w\s]*\w[\w\s]*", phrase))
+
+
+def _anchored(phrase: str) -> str:
+    """The pattern of a phrase between other signs; it looks for the first letters and only behind them at what stands before."""
+    pattern = phrase_pattern(phrase)
+    first = _stem(phrase.split()[0]) if _plain(phrase) else ""
+    return f"{first}(?<!{_LETTER}{first}){pattern[len(first):]}(?!{_LETTER})"
+
+
+def _word_end(text: Column, at: Column) -> Column:
+    """The end of the word that goes on at a place; only one of 64 letters and more is looked for in the whole rest."""
+    rest = lambda n: F.length(F.regexp_extract(F.substring(text, at, n), r"^[\p{L}\p{N}'’]*", 0))
+    return at + let(rest(F.lit(64)), lambda n: F.when(n < 64, n).otherwise(rest(F.length(text))))
+
+
+def _places(text: Column, low: Column, plain: Column, entries: list[tuple[str, str]]) -> Column:
+    """(start, stop, behind, term, wanted) of each phrase that is there, in the order of the phrases; places count from 1, ``behind`` is the end of the word; ``plain`` is the text in lower case."""
 
     def place(phrase: str, term: str) -> Column:
-        pattern = F.lit(f"(?<!{_LETTER}){phrase_pattern(phrase)}(?!{_LETTER})")
-        start = F.regexp_instr(low, pattern).cast("int")
-        stop = start + F.length(F.regexp_substr(low, pattern))
-        behind = stop + F.length(F.regexp_extract(F.substring(text, stop, F.length(text)), r"^[\p{L}\p{N}'’]*", 0))
-        opened = F.startswith(F.ltrim(F.substring(text, behind, F.lit(2))), F.lit("("))
-        return F.when(start > 0, F.struct(start.alias("start"), stop.alias("stop"), behind.alias("behind"), F.lit(term).alias("term"), (~F.contains(F.lower(text), F.lit(term.lower())) & ~opened).alias("wanted")))
+        pattern = F.lit(_anchored(phrase))
+
+        def told(start: Column, stop: Column, behind: Column) -> Column:
+            opened = F.startswith(F.ltrim(F.substring(text, behind, F.lit(2))), F.lit("("))
+            return F.struct(start.alias("start"), stop.alias("stop"), behind.alias("behind"), F.lit(term).alias("term"), (~F.contains(plain, F.lit(term.lower())) & ~opened).alias("wanted"))
+
+        stop_of = lambda start: start + F.length(F.regexp_substr(low, pattern))
+        found = let(F.regexp_instr(low, pattern).cast("int"), lambda start: F.when(start > 0, let(stop_of(start), lambda stop: let(_word_end(text, stop), lambda behind: told(start, stop, behind)))))
+        words = phrase.split()
+        return F.when(reduce(and_, [F.contains(low, F.lit(_stem(w))) for w in words]), found) if _plain(phrase) else found
 
     return F.filter(F.array(*[place(*e) for e in entries]), lambda p: p.isNotNull())
 
@@ -74,5 +105,6 @@ def annotate_first_use(text: Column, glossary: dict[str, list[str]] = GLOSSARY,
         return F.aggregate(edits, start, part, lambda a: F.concat(a["out"], F.substring(t, a["at"], F.length(t))))
 
     low = let(text, tr_lower)
-    chosen = let(low, lambda lo: F.when(F.length(lo) == F.length(text), F.array_sort(F.aggregate(_places(text, lo, entries), zero, step, lambda a: a["edits"]))))
+    edits_of = lambda lo, plain: F.array_sort(F.aggregate(_places(text, lo, plain, entries), zero, step, lambda a: a["edits"]))
+    chosen = let(low, lambda lo: F.when(F.length(lo) == F.length(text), let(F.lower(text), lambda plain: edits_of(lo, plain))))
     return let(chosen, lambda edits: F.when(F.coalesce(F.size(edits), F.lit(0)) > 0, written(text, edits)).otherwise(text))

@@ -56,3 +56,16 @@ def test_cases(spark):
     assert spark.createDataFrame([("a b",)], "t string").select(A.annotate_first_use(F.col("t"), {})).first()[0] == "a b"
     two = spark.createDataFrame([("pinyon çark",)], "t string").select(A.annotate_first_use(F.col("t"), most=1)).first()[0]
     assert two == "pinyon (pinion) çark"
+
+
+def test_each_phrase_is_looked_for_once(spark):
+    texts = ["xund und", "bund", "und", "ünd und", "_und", "1und undes-und", "\U0001d400und und", "avec\n les", "avecles avecx  lesy", "undundund und", "und" + "a" * 70 + " x", "a" * 70 + " und" + "b" * 9]
+    for phrase in ("und", "avec les", "kutu", "kutusu", "a.c"):
+        old = f"(?<!{A._LETTER}){A.phrase_pattern(phrase)}(?!{A._LETTER})"
+        df = spark.createDataFrame([(t.replace("und", phrase),) for t in texts] + [(t,) for t in texts], "t string")
+        got = df.select(*[f(F.col("t"), F.lit(p)) for p in (old, A._anchored(phrase)) for f in (F.regexp_instr, F.regexp_substr)]).collect()
+        assert all(r[:2] == r[2:] for r in got) and any(r[0] for r in got)
+    ends = spark.createDataFrame([("x" + "a" * n + " b",) for n in (0, 62, 63, 64, 65, 200)], "t string").select(A._word_end(F.col("t"), F.lit(2)), F.length("t")).collect()
+    assert all(r[0] == r[1] - 1 for r in ends)
+    plan = spark.createDataFrame([("und",)], "t string").select(A.annotate_first_use(F.col("t"), {"und": ["x"], "mit": ["y"]}).alias("new"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_instr") + plan.count("regexpinstr") == 2
