@@ -27,6 +27,15 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def count_pieces(text: Column, piece: str, between: str) -> Column:
+    """How often ``piece`` stands in a text, where a character that begins none is one of ``between`` and those begin none.
+
+    Each piece shrinks to one character together with what follows it; no piece is made a string of its own.
+    """
+    shrunk = F.regexp_replace(text, f"(?:{piece}){between}*", "a")
+    return (F.length(shrunk) - F.length(F.regexp_extract(text, f"^{between}*", 0))).cast("long")
+
+
 def token_features(text: Column) -> dict[str, Column]:
     """Integer features; those of two texts joined by white space add up (a line feed adds one newline)."""
     count = lambda p: F.regexp_count(text, F.lit(p)).cast("long")

@@ -28,9 +28,10 @@ _EXACT = "decimal(19,0)"
 def samples(texts: DataFrame) -> DataFrame:
     """Features beside the counted ``tokens`` of ``texts(text, tokens, ...)``, without the texts themselves."""
     features = token_features(F.col("text"))
-    kept = texts.filter("text is not null and tokens > 0")
     others = [F.col(f"`{c}`") for c in texts.columns if c not in ("text", "tokens", "n_chars", *TERMS)]
-    return kept.select(*others, F.col("tokens").cast("long").alias("tokens"), F.length("text").cast("long").alias("n_chars"), F.lit(1).cast("long").alias("intercept"), *[features[t].alias(t) for t in TERMS[1:]])
+    row = F.struct(F.col("tokens").cast("long").alias("tokens"), F.length("text").cast("long").alias("n_chars"), F.lit(1).cast("long").alias("intercept"), *[features[t].alias(t) for t in TERMS[1:]])
+    # unpacked from an array, as the filter would otherwise be pushed below what counts the tokens and count them once more
+    return texts.filter("text is not null").select(*others, F.inline(F.array(row))).filter("tokens > 0")
 
 
 def moments(rows: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.functions.text import TOKEN_COEF
+from folioforge.functions.text import TOKEN_COEF, count_pieces
 from folioforge.operators import calibration
 from folioforge.operators.calibration import TERMS
 from folioforge.plans.catalog import _FEATURES, query
@@ -18,6 +18,8 @@ from folioforge.plans.lineage import cut
 from folioforge.plans.tables import table
 
 _PIECES = r"[A-Za-z]{1,6}|[0-9]{1,3}|[^\x00-\x7F]{1,2}|[!-/:-@\[-`{-~]|\n"
+_COUNTED = _PIECES.replace(r"[!-/:-@\[-`{-~]", r"\p{Punct}")  # the same signs, by a table
+_BETWEEN = r"[\x00-\x09\x0B-\x20\x7F]"  # what begins no piece
 _SHORT = dict(zip(TERMS, ("one", "w", "l", "d", "n", "p", "nl"), strict=True))
 _ROWS = f"f as materialized (select doc_id, lang, len(regexp_extract_all(text, '{_PIECES}')) as y, length(text) as c, 1 as one, {_FEATURES} from documents where text is not null), s as materialized (select * from f where y > 0)"
 # the normal equations as rows (i, j, v), the counts as the last column; one elimination step a term
@@ -36,7 +38,7 @@ def _linear(coef: dict[str, str]) -> str:
 
 
 def _samples(spark, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text", F.regexp_count("text", F.lit(_PIECES)).alias("tokens"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text", count_pieces(F.col("text"), _COUNTED, _BETWEEN).alias("tokens"))
     return cut(calibration.samples(docs), "samples")
 
 

@@ -65,3 +65,15 @@ def test_nulls_empty_texts_dependent_features_and_nothing(spark):
     none = calibration.samples(spark.createDataFrame([], SCHEMA))
     assert not any(calibration.fit(none).values()) and calibration.errors(none, coef).count() == 0
     assert [tuple(r) for r in calibration.density(rows.withColumn("k", F.lit("x")), "k").collect()] == [("x", 3, 1.111)]
+
+
+def test_tokens_are_counted_once(spark, sf):
+    from folioforge.functions.text import count_pieces
+    from folioforge.plans import calibration_queries as Q
+
+    texts = ["", " ", "\n", "a", "abcdefg", "  ab12 34567, ...\n\n", "abcdefghijklm0123!", "ğüş ab éèçà\U0001f600x", "\x00\x7f\t", "".join(map(chr, range(300))), None]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = docs.select(count_pieces(F.col("text"), Q._COUNTED, Q._BETWEEN).alias("got"), F.regexp_count("text", F.lit(Q._PIECES)).alias("want")).collect()
+    assert [r.got for r in got] == [r.want for r in got] and got[5].want == 10
+    plan = calibration.samples(docs.select("text", F.regexp_count("text", F.lit("QX")).alias("tokens")))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("QX") == 1
