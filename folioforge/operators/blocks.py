@@ -9,7 +9,9 @@ paragraphs; rotated text comes last on its page.  Each pass sees only what
 those before left.
 
 All but one pass are windows and joins by page, and what a pass claims is written
-down before the next one reads it.  Which numbers are plausible
+down before the next one reads it.  Claimed places come to the lines page by page,
+as one list, so that a pass deals its lines out once; it reads only pages that hold
+a line of the kind it starts from (``_marks``).  Which numbers are plausible
 headings depends on all numbers before, over pages: one fold for each document
 over its numbered lines alone, no other line goes to Python.
 
@@ -21,11 +23,13 @@ left out; empty tables give no rows.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioforge.operators.structure import follows, key_of, without_furniture
+from folioforge.operators.structure import follows, furniture_places, key_of
 from folioforge.plans.lineage import cut
 
 # What lines of such documents begin with.
@@ -41,6 +45,8 @@ KEY_ITEM = r"^(?!(?:The|This|For|All|An?|In|It|If|Of|On|See|At)\s)(?:[0-9]{1,2}[
 UNNUMBERED = ("foreword", "introduction", "contents", "bibliography", "index")
 
 AT = ["doc_id", "page", "pos"]
+#: Bits of ``_marks``, by what some line of the page is.
+MARGINS, WHERES, KEYS, NUMBERS = 1, 2, 4, 8
 
 
 def _shape(t: Column, right: Column) -> Column:
@@ -53,6 +59,11 @@ def _shape(t: Column, right: Column) -> Column:
     )
 
 
+def _unnumbered() -> Column:
+    """Whether a line is a heading that goes without a number."""
+    return F.col("bold") & F.rtrim(F.lower("line"), F.lit(".")).isin(*UNNUMBERED)
+
+
 def placed(lines: DataFrame, width: float = 595.0) -> DataFrame:
     """Lines in reading order (``pos`` within the page) with what each tells by itself."""
     t = F.trim("text")
@@ -62,13 +73,18 @@ def placed(lines: DataFrame, width: float = 595.0) -> DataFrame:
     shape = _shape(F.col("line"), F.col("x0") > 0.6 * width)
     out = src.withColumn("pos", F.row_number().over(order)).withColumn("shape", shape).withColumn("yc", (F.col("y0") + F.col("y1")) / 2)
     prose = F.regexp_count("line", F.lit(r"\p{Ll}{3,}")) >= 4
+    marks = (
+        F.when(F.col("shape") == "margin", MARGINS).when(F.col("shape").isin("where", "where_inline"), WHERES).when(F.col("shape").isin("key", "figure"), KEYS)
+        .when((F.col("shape") == "numbered") | _unnumbered(), NUMBERS).otherwise(0)
+    )
+    out = out.withColumn("_marks", F.bit_or(marks).over(Window.partitionBy("doc_id", "page")))
     return out.withColumn("prose", prose).withColumn("barrier", prose | ~F.col("shape").isin("text", "margin") | F.regexp_like("line", F.lit(r"^\p{L}{4,}:?$")))
 
 
 def _left(lines: DataFrame, *claimed: DataFrame) -> DataFrame:
-    for c in claimed:
-        lines = lines.join(c.select(*AT), AT, "left_anti")
-    return lines
+    """Lines whose places are in none of ``claimed``."""
+    taken = reduce(DataFrame.unionByName, [c.select(*AT) for c in claimed]).groupBy("doc_id", "page").agg(F.collect_set("pos").alias("_taken"))
+    return lines.join(taken, ["doc_id", "page"], "left").filter(~F.coalesce(F.array_contains("_taken", F.col("pos")), F.lit(False))).drop("_taken")
 
 
 def _tables(lines: DataFrame, boxes: DataFrame) -> DataFrame:
@@ -199,7 +215,7 @@ def _headings(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     label = F.when(annexed, F.concat(F.lit("Annex "), F.col("number"))).otherwise(F.col("number"))
     heads = found.filter("heading").select("doc_id", "page", F.explode(F.when((F.col("title") == "") & F.col("_titled"), F.array("pos", "_next")).otherwise(F.array("pos"))).alias("at"), "pos", label.alias("label"))
     heads = heads.select("doc_id", "page", F.col("at").alias("pos"), F.lit("heading").alias("kind"), F.col("pos").cast("string").alias("group"), "label", F.lit(False).alias("review"))
-    plain = x.filter(F.col("bold") & F.rtrim(F.lower("line"), F.lit(".")).isin(*UNNUMBERED)).select(*AT, F.lit("heading").alias("kind"), F.col("pos").cast("string").alias("group"), F.lit(None).cast("string").alias("label"), F.lit(False).alias("review"))
+    plain = x.filter(_unnumbered()).select(*AT, F.lit("heading").alias("kind"), F.col("pos").cast("string").alias("group"), F.lit(None).cast("string").alias("label"), F.lit(False).alias("review"))
     return heads.unionByName(plain.join(heads.select(*AT), AT, "left_anti")), found.filter("not heading").select(*AT, "number")
 
 
@@ -213,34 +229,42 @@ def claims(lines: DataFrame, boxes: DataFrame, width: float = 595.0, reach: floa
     every = cut(placed(lines, width), "lines")
     page_number = F.regexp_like("line", F.lit(r"^(?:[0-9]{1,3}|[ivxlc]{1,6})$")) & ~F.col("bold")
     marked = every.filter("upright").withColumn("_shape", F.col("shape")).withColumn("shape", F.when(page_number, "text").otherwise(F.col("shape")))
-    live = cut(without_furniture(marked).withColumn("shape", F.col("_shape")).drop("_shape"), "live")
-    tables = cut(_tables(live, boxes), "tables")
-    formulas = cut(_equations(_left(live, tables), reach), "formulas")
-    legends = cut(_legends(_left(live, tables, formulas)), "legends")
-    figures = cut(_figures(_left(live, tables, formulas, legends)), "figures")
-    headings, clauses = _headings(_left(live, tables, formulas, legends, figures))
+    gone = cut(furniture_places(marked), "gone")
+    live = every.filter("upright")
+    on = lambda marks: live.filter(F.col("_marks").bitwiseAND(marks) != 0)
+    tables = cut(_tables(_left(live, gone), boxes), "tables")
+    formulas = cut(_equations(_left(on(MARGINS), gone, tables), reach), "formulas")
+    legends = cut(_legends(_left(on(WHERES), gone, tables, formulas)), "legends")
+    figures = cut(_figures(_left(on(KEYS), gone, tables, formulas, legends)), "figures")
+    headings, clauses = _headings(_left(on(NUMBERS), gone, tables, formulas, legends, figures))
     headings, clauses = cut(headings, "headings"), cut(clauses, "clauses")
     turned = every.filter("not upright").select(*AT, F.lit("rotated").alias("kind"), F.lit("").alias("group"), F.lit(None).cast("string").alias("label"), F.lit(False).alias("review"))
-    claimed = tables
-    for c in (formulas, legends, figures, headings, turned):
-        claimed = claimed.unionByName(c)
-    out = every.join(claimed, AT, "left").join(live.select(*AT, F.lit(True).alias("_live")), AT, "left").join(clauses, AT, "left")
-    down = Window.partitionBy("doc_id", "page").orderBy("pos")
-    open_ = F.col("kind").isNull() & F.col("_live")
+    told = gone.select(*AT, F.lit(True).alias("_gone"))
+    for c in (tables, formulas, legends, figures, headings, turned, clauses):
+        told = told.unionByName(c, allowMissingColumns=True)
+    said = ("kind", "group", "label", "review")
+    told = told.groupBy("doc_id", "page").agg(F.collect_list(F.struct("pos", "_gone", "number", *said)).alias("_told"))
+    out = every.join(told, ["doc_id", "page"], "left").withColumn("_told", F.filter("_told", lambda x: x["pos"] == F.col("pos")))
+    one = lambda test: F.get(F.filter("_told", test), F.lit(0))
+    claim = one(lambda x: x["kind"].isNotNull())
+    running = F.coalesce(F.exists("_told", lambda x: x["_gone"]), F.lit(False)) | F.col("doc_id").isNull()
+    out = out.select(*every.columns, *[claim[c].alias(c) for c in said], one(lambda x: x["number"].isNotNull())["number"].alias("number"), running.alias("_gone"))
+    # running heads and feet are a side of their own, as the lines around them follow each other
+    out = out.withColumn("_gone", F.col("_gone") & F.col("kind").isNull())
+    page = Window.partitionBy("doc_id", "page", "_gone")
+    down = page.orderBy("pos")
+    open_ = F.col("kind").isNull() & ~F.col("_gone")
     own = F.col("shape").isin("note", "example", "list", "caption")
-    runs = out.withColumn("_open", F.coalesce(open_, F.lit(False))).withColumn("kind", F.when(F.col("kind").isNull() & F.col("_live").isNull(), "furniture").otherwise(F.col("kind")))
-    body = runs.filter("kind is null or kind <> 'furniture'")
+    body = out.withColumn("_open", open_)
     before = F.coalesce(F.lag("_open").over(down) & (F.lag("shape").over(down) != "caption"), F.lit(False))
     starts = F.col("_open") & (~before | own | F.col("number").isNotNull())
     body = body.withColumn("_start", F.max(F.when(starts, F.struct("pos", "shape", "number"))).over(down.rowsBetween(Window.unboundedPreceding, 0)))
     shape = F.col("_start.shape")
-    body = body.withColumn("kind", F.when(F.col("_open"), F.when(shape.isin("note", "example", "list", "caption"), shape).otherwise("text")).otherwise(F.col("kind")))
+    body = body.withColumn("kind", F.when(F.col("_open"), F.when(shape.isin("note", "example", "list", "caption"), shape).otherwise("text")).when(F.col("_gone"), "furniture").otherwise(F.col("kind")))
     body = body.withColumn("label", F.when(F.col("_open"), F.when(shape == "caption", F.concat(F.lit("Table "), F.regexp_extract("line", CAPTION, 1))).otherwise(F.col("_start.number"))).otherwise(F.col("label")))
     group = Window.partitionBy("doc_id", "page", "kind", "group")
-    body = body.withColumn("block", F.when(F.col("_open"), F.col("_start.pos")).otherwise(F.min("pos").over(group)))
-    cols = [*AT, "line", "kind", F.col("block").cast("int").alias("block"), "label", F.coalesce("review", F.lit(False)).alias("review")]
-    rest = runs.filter("kind = 'furniture'").withColumn("block", F.lit(None)).select(*cols)
-    return body.select(*cols).unionByName(rest)
+    block = F.when(F.col("_open"), F.col("_start.pos")).when(~F.col("_gone"), F.min("pos").over(group))
+    return body.select(*AT, "line", "kind", block.cast("int").alias("block"), "label", F.coalesce("review", F.lit(False)).alias("review"))
 
 
 def blocks(claimed: DataFrame) -> DataFrame:

@@ -96,3 +96,17 @@ def test_the_query_keeps_all_lines(spark, sf):
     assert claimed.count() == n == claimed.select("doc_id", "page", "pos").distinct().count()
     got = layout_queries.page_blocks(spark, sf)
     assert got.agg(F.sum("n_lines")).first()[0] == claimed.filter("block is not null").count()
+
+
+def test_lines_are_dealt_out_once_after_the_passes(spark):
+    lines = [(d, p, 72.0, 40.0 + 14 * i, 300.0, 50.0 + 14 * i, t, False, True) for d in (1, 2) for p in range(4) for i, t in enumerate(["Running head", f"1.{p} Title", "where", "x is a length", "Text of a page.", f"({p})"])]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        claimed = blocks.claims(spark.createDataFrame(lines, LINES), spark.createDataFrame([], BOXES))
+        found = blocks.blocks(claimed)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 2  # the lines, and what the passes told
+        assert claimed.select("doc_id", "page", "pos").distinct().count() == claimed.count() == len(lines)
+        assert found.agg(F.sum("n_lines")).first()[0] == claimed.filter("kind <> 'furniture'").count()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
