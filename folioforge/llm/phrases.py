@@ -9,22 +9,28 @@ cut after the first k words has ``l`` and ``r``, the counts of both parts, and
 cut that scores lowest counts.  A candidate within a longer one of the same
 count goes.  The first 2000 of each language stay.
 
-Plan.  (1) Three passes over the texts count words, then pairs of frequent words,
-then triples of frequent pairs, as 64-bit hashes.  What is rare at one level
-can't be part of a candidate, so filters of the frequent ones keep the long tail
-out of the tries; they have a bounded size, and fuller ones only let more
-through.  (2) The fourth pass builds, for each shard of texts, a count trie of at
-most five levels over runs of words whose pairs and triples passed, and writes it
-serialised in sorted order.  (3) The shards' tries are merged by prefix range (a
-range partition of the written rows, sorted, then summed) and cut at 100 exactly.
-(4) The merged trie is
-walked in order, range by range: a stack of at most five counts gives each
-phrase the counts of its left parts.  Suffix links, as equality joins on the
-phrase, give those of the right parts.
-
-Skew.  A shard gives out a phrase once, however often it stands there, and the
-merge is ranged by whole phrases, so that no word or prefix is a group.  Walks
-and links work on frequent phrases only, fewer than one of 100 words read.
+Plan.  The count trie of a whole language is built level by level.  (1) A pass
+over the texts counts words, by their letters; those of 100 and more are the first
+level.  (2) Further passes count edges: a node's key and the word that goes on from
+it, both as 64-bit hashes.  One looks for pairs, one for triples, the last one
+builds, for each shard of texts, a depth-limited count trie over runs whose triples
+passed and gives out its two deepest levels.  What is rare at one level can't be
+part of a candidate, so filters of the frequent runs keep the long tail out of the
+next; they have a bounded size, and fuller ones only let more through.  Edges are
+summed by key and cut at 100 exactly.  (3) An edge that is left meets its node and
+its word once, by equality, and so gets its phrase.  (4) The trie is walked in
+order, range by range: a stack of at most five counts gives each phrase the counts
+of its left parts.  Suffix links, as equality joins on the phrase, give those of the
+right parts.
+
+Size.  Shards give out letters only in the first pass, whose rows don't depend on
+what is frequent.  A pass gives out one row a word of text at most (the last one
+two).  Below that, the edges' rows grow faster than the input, as more runs of a
+shard reach 100 in all.  Walks and joins work on frequent phrases only, fewer than
+one of 100 words read for each length.
+
+Skew.  A shard gives out an edge once, however often it stands there, and edges are
+grouped by node and word, so that no word or prefix is a group.
 
 Defined cases: a null text is empty; a null ``lang`` is ``und``; repeated rows
 count each; very long texts are read whole; ties go to the smallest k, and in
@@ -36,6 +42,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -59,6 +66,22 @@ _STOP[[0x2E, 0x2C, 0x3B, 0x3A, 0x21, 0x3F, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
+def _edge_key(parent: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Key of the node that a word leads to."""
+    return mix64(parent * _STEP + word)
+
+
+def _counts(order: np.ndarray, *sorted_by: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One place of each run of equals, and their number; ``order`` brings equals together."""
+    new = np.ones(len(order), bool)
+    new[1:] = False
+    for x in sorted_by:
+        x = x[order]
+        new[1:] |= x[1:] != x[:-1]
+    first = np.flatnonzero(new)
+    return order[first], np.diff(np.append(first, len(order)))
+
+
 class Shard:
     """The words of some texts: hash, language and bytes of each, and whether the piece goes on after it."""
 
@@ -87,23 +110,32 @@ class Shard:
         parts = [word_hashes(raw, self.starts[i : i + WORDS], self.ends[i : i + WORDS], seed=13) for i in range(0, n, WORDS)]
         self.hash = mix64(np.concatenate(parts) ^ salts[self.lang]) if n else np.zeros(0, np.uint64)
 
-    def pairs(self, at: np.ndarray) -> np.ndarray:
-        """Hashes of the pairs of words that begin at the places ``at``."""
-        return mix64(self.hash[at] * _STEP + self.hash[at + 1])
-
-    def triples(self, at: np.ndarray) -> np.ndarray:
-        """Hashes of the three words that begin at the places ``at``."""
-        return mix64(self.pairs(at) * _STEP + self.hash[at + 2])
-
-    def frequent_pairs(self, words: Bloom, pairs: Bloom | None = None) -> np.ndarray:
-        """Places of words that pass and are joined to one that passes, where the pair does too."""
-        often = words.holds(self.hash, 0)
-        at = np.flatnonzero(often[:-1] & often[1:] & self.joined[:-1])
-        return at if pairs is None else at[pairs.holds(self.pairs(at), 0)]
+    def keys(self, at: np.ndarray, depth: int) -> np.ndarray:
+        """Keys of the ``depth`` words that begin at the places ``at``."""
+        key = self.hash[at]
+        for d in range(1, depth):
+            key = _edge_key(key, self.hash[at + d])
+        return key
+
+    def frequent(self, passing: Bloom, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places where ``depth`` words of a piece begin that pass, and their keys."""
+        at = np.arange(len(self.hash))
+        for d in range(1, depth):
+            at = at[self.joined[at + d - 1]]
+        key = self.keys(at, depth)
+        held = passing.holds(key, 0)
+        return at[held], key[held]
 
     def word(self, at: int) -> str:
         return LOWER[self.raw[self.starts[at] : self.ends[at]]].tobytes().decode()
 
+    def words(self, at: np.ndarray) -> pa.Array:
+        """The words at the places ``at``."""
+        starts, size = self.starts[at], self.ends[at] - self.starts[at]
+        offsets = np.concatenate(([0], np.cumsum(size)))
+        place = np.arange(offsets[-1]) + np.repeat(starts - offsets[:-1], size)
+        return pa.StringArray.from_buffers(len(at), pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(LOWER[self.raw[place]]))
+
 
 class CountTrie:
     """Counts of the phrases of up to ``LONGEST`` words that begin at the words ``begins``.
@@ -131,6 +163,13 @@ class CountTrie:
             self.levels.append({"parent": node[place], "place": at[place], "count": count})
             node = own
 
+    def edges(self, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The nodes of ``depth`` words: key of the node above, last word, count."""
+        if len(self.levels) < depth:
+            return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        at = self.levels[depth - 1]["place"]
+        return self.shard.keys(at, depth - 1), self.shard.hash[at + depth - 1], self.levels[depth - 1]["count"]
+
     def rows(self) -> list[tuple[str, str, int]]:
         """The trie serialised: (lang, phrase, count), sorted."""
         shard, out, above = self.shard, [], [""]
@@ -155,60 +194,74 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[Shard]:
             yield Shard(batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i))
 
 
-HASHED = "key long, lang string, many long"
-
-
-def _hashed(keys: np.ndarray) -> pa.RecordBatch:
-    key, many = np.unique(keys, return_counts=True)
-    return pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), pa.nulls(len(key), pa.string()), pa.array(many)], names=["key", "lang", "many"])
+COUNTED = "lang string, word string, many long"
+KEYED = "key long, lang string, phrase string, a long"
+EDGES = "depth int, parent long, word long, many long"
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of hashed words, and the number of words of each language."""
+    """Counts of words, and the number of words of each language (of the word null)."""
     total: dict[str, int] = {}
     for shard in _shards(batches):
         if len(shard.hash):
-            yield _hashed(shard.hash)
+            at, many = _counts(np.argsort(shard.hash), shard.hash)
+            yield pa.RecordBatch.from_arrays([pa.array(shard.langs, pa.string()).take(pa.array(shard.lang[at])), shard.words(at), pa.array(many)], names=["lang", "word", "many"])
         for lang, n in zip(shard.langs, np.bincount(shard.lang, minlength=len(shard.langs)).tolist(), strict=True):
             total[lang] = total.get(lang, 0) + n
     if total:
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(total), pa.int64()), pa.array(list(total)), pa.array(list(total.values()))], names=["key", "lang", "many"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(total)), pa.nulls(len(total), pa.string()), pa.array(list(total.values()))], names=["lang", "word", "many"])
     release()
 
 
-def _count_runs(words: Bloom, pairs: Bloom | None = None):
-    """Counts of hashed pairs of words that pass, or of triples of which both pairs pass."""
+def _word_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The nodes of (lang, word, many): a word is a text of one word."""
+    for batch in batches:
+        lang, word, many = batch.columns
+        yield pa.RecordBatch.from_arrays([pa.array(Shard(word, lang).hash.view(np.int64)), lang, word, many], names=["key", "lang", "phrase", "a"])
+
+
+def _edge_rows(depth: int, parent: np.ndarray, word: np.ndarray, many: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(many), depth, np.int32)), pa.array(parent.view(np.int64)), pa.array(word.view(np.int64)), pa.array(many)], names=["depth", "parent", "word", "many"])
+
+
+def _count_runs(passing: Bloom, depth: int):
+    """Counts of the runs of ``depth`` words of which both runs of one word less pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard in _shards(batches):
-            at = shard.frequent_pairs(words, pairs)
-            if pairs is not None:
-                at = at[:-1][at[1:] == at[:-1] + 1]
-            if len(at):
-                yield _hashed(shard.pairs(at) if pairs is None else shard.triples(at))
+            at, key = shard.frequent(passing, depth - 1)
+            on = (at[1:] == at[:-1] + 1) & shard.joined[at[:-1]]
+            parent, word = key[:-1][on], shard.hash[at[:-1][on] + depth - 1]
+            if len(parent):
+                one, many = _counts(np.argsort(_edge_key(parent, word)), parent, word)
+                yield _edge_rows(depth, parent[one], word[one], many)
         release()
 
     return run
 
 
-def _tries(words: Bloom, pairs: Bloom, triples: Bloom):
-    """Each shard's serialised trie over the words, pairs and triples that pass."""
+def _count_tries(triples: Bloom):
+    """Counts of the longest runs, by each shard's trie over the triples that pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard in _shards(batches):
-            two, three = np.zeros(len(shard.hash), bool), np.zeros(len(shard.hash), bool)
-            at = shard.frequent_pairs(words, pairs)
-            two[at] = True
-            at = at[:-1][at[1:] == at[:-1] + 1]
-            three[at] = triples.holds(shard.triples(at), 0)
-            if rows := CountTrie(shard, words.holds(shard.hash, 0), two, three).rows():
-                lang, phrase, count = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(lang), pa.array(phrase), pa.array(count, pa.int64())], names=["lang", "phrase", "many"])
+            three = np.zeros(len(shard.hash), bool)
+            three[shard.frequent(triples, 3)[0]] = True
+            trie = CountTrie(shard, three, shard.joined, three)
+            for depth in range(4, LONGEST + 1):
+                yield _edge_rows(depth, *trie.edges(depth))
         release()
 
     return run
 
 
+def _edge_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The nodes that (parent, word, lang, phrase, a) lead to."""
+    for batch in batches:
+        parent, word = (batch.column(i).to_numpy().view(np.uint64) for i in range(2))
+        yield pa.RecordBatch.from_arrays([pa.array(_edge_key(parent, word).view(np.int64)), *batch.columns[2:]], names=["key", "lang", "phrase", "a"])
+
+
 WALKED = "lang string, phrase string, words array<string>, a long, lefts array<long>"
 
 
@@ -231,26 +284,37 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["lang", "phrase", "words", "a", "lefts"])
 
 
-def _frequent(counted: DataFrame) -> Bloom:
-    """The filter of keys counted ``LEAST`` times and more."""
-    wanted = cut(counted.filter("key is not null").groupBy("key").agg(F.sum("many").alias("many")).filter(F.col("many") >= LEAST).select(F.col("key").alias("id"), F.lit(0).alias("salt")), "often")
-    out = Bloom(wanted)
-    drop(wanted)
-    return out
+def _passing(nodes: DataFrame) -> Bloom:
+    """The filter of nodes."""
+    return Bloom(nodes.select(F.col("key").alias("id"), F.lit(0).alias("salt")))
+
+
+def _frequent_edges(counted: DataFrame) -> DataFrame:
+    """Edges counted ``LEAST`` times and more."""
+    return counted.groupBy("depth", "parent", "word").agg(F.sum("many").alias("a")).filter(F.col("a") >= LEAST)
+
+
+def _nodes(edges: DataFrame, above: DataFrame, words: DataFrame) -> DataFrame:
+    """The nodes that ``edges`` lead to, with their phrases; ``above`` are those that they come from."""
+    above, _ = broadcast_if_small(above.select(F.col("key").alias("parent"), "lang", F.col("phrase").alias("head")), BROADCAST_ROWS)
+    last, _ = broadcast_if_small(words.select(F.col("key").alias("word"), F.col("phrase").alias("last")), BROADCAST_ROWS)
+    spelled = edges.join(above, "parent").join(last, "word").select("parent", "word", "lang", F.concat_ws(" ", "head", "last").alias("phrase"), "a")
+    return cut(spelled.mapInArrow(_edge_nodes, KEYED), "nodes")
 
 
 def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", first: int = FIRST) -> DataFrame:
     """``(lang, rank, phrase, a, l, r, n, score)``; see the module's docstring."""
     src = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"))
-    counted = src.mapInArrow(_count_words, HASHED).groupBy("key", "lang").agg(F.sum("many").alias("many"))
-    counted = cut(counted.filter(F.col("key").isNull() | (F.col("many") >= LEAST)), "words")
-    words = _frequent(counted)
-    pairs = _frequent(src.mapInArrow(_count_runs(words), HASHED))
-    triples = _frequent(src.mapInArrow(_count_runs(words, pairs), HASHED))
-    runs = cut(src.mapInArrow(_tries(words, pairs, triples), "lang string, phrase string, many long"), "tries")
-    merged = runs.repartitionByRange("lang", "phrase").sortWithinPartitions("lang", "phrase").groupBy("lang", "phrase").agg(F.sum("many").alias("a")).filter(F.col("a") >= LEAST)
-    trie = cut(merged, "trie")
-    drop(runs)
+    counted = src.mapInArrow(_count_words, COUNTED).groupBy("lang", "word").agg(F.sum("many").alias("many"))
+    counted = cut(counted.filter(F.col("word").isNull() | (F.col("many") >= LEAST)), "words")
+    words = cut(counted.filter("word is not null").mapInArrow(_word_nodes, KEYED), "nodes")
+    pairs = _nodes(_frequent_edges(src.mapInArrow(_count_runs(_passing(words), 2), EDGES)), words, words)
+    triples = _nodes(_frequent_edges(src.mapInArrow(_count_runs(_passing(pairs), 3), EDGES)), pairs, words)
+    longest = cut(_frequent_edges(src.mapInArrow(_count_tries(_passing(triples)), EDGES)), "edges")
+    levels = [words, pairs, triples]
+    for depth in range(4, LONGEST + 1):
+        levels.append(_nodes(longest.filter(F.col("depth") == depth), levels[-1], words))
+    trie = reduce(DataFrame.unionAll, (x.select("lang", "phrase", "a") for x in levels))
     # sorted by words, not by the joined phrase, a prefix comes right before what it begins
     nodes = trie.select("lang", F.split("phrase", " ").alias("words"), "a").repartitionByRange("lang", F.col("words")[0]).sortWithinPartitions("lang", "words")
     walked = cut(nodes.mapInArrow(_walk, WALKED), "walked")
@@ -258,7 +322,7 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     ways = walked.select("lang", "phrase", "words", "a", F.posexplode("lefts").alias("i", "l")).withColumn("k", F.col("i") + 1)
     ways = ways.withColumn("rest", F.array_join(F.expr("slice(words, k + 1, size(words) - k)"), " ")).drop("words")
     ends = trie.select("lang", F.col("phrase").alias("rest"), F.col("a").alias("r"))
-    totals = counted.filter("key is null").select("lang", F.col("many").alias("n"))
+    totals = counted.filter("word is null").select("lang", F.col("many").alias("n"))
     totals, _ = broadcast_if_small(totals, BROADCAST_ROWS)
     exact = lambda c, digits: F.col(c).cast(f"decimal({digits},0)")
     scored = ways.join(ends, ["lang", "rest"]).join(totals, "lang")
@@ -272,7 +336,7 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     order = Window.partitionBy("lang").orderBy(F.col("score").desc(), F.col("a").desc(), F.col("phrase"))
     out = kept.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= first)
     out = cut(out.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score"), "collocations")
-    for done in (counted, trie, walked):
+    for done in (counted, longest, *levels, walked):
         drop(done)
     return out
 

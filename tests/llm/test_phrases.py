@@ -97,3 +97,54 @@ def _shards_of(texts, size):
         yield from phrases._shards(iter([pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), pa.array(["en"] * len(texts))], names=["text", "lang"])]))
     finally:
         phrases.SHARD = old
+
+
+@pytest.mark.parametrize("size", [1, 1 << 22])
+def test_edges_are_the_nodes_of_the_spelled_trie(size):
+    for shard in _shards_of(["a b c a b c", "A b, c", None, "", "b c a b"], size):
+        trie = phrases.CountTrie(shard, np.ones(len(shard.hash), bool), shard.joined, np.ones(len(shard.hash), bool))
+        for depth in range(2, phrases.LONGEST + 1):
+            parent, word, many = trie.edges(depth)
+            keys = phrases._edge_key(parent, word)
+            assert len(set(keys.tolist())) == len(keys)
+            assert sorted(many.tolist()) == sorted(n for _, p, n in trie.rows() if p.count(" ") == depth - 1)
+
+
+def _made(spark, monkeypatch, rows):
+    """Collocations, the rows that the passes over the texts give out with letters, and the most that one of them gives out."""
+    frame = spark.createDataFrame([(i, t, lang, 0) for i, (t, lang) in enumerate(rows)], SCHEMA)
+    kind, passes = type(frame), []
+    plainly = kind.mapInArrow
+
+    def counting(df, fn, schema, *more):
+        if df.columns != ["text", "lang"]:
+            return plainly(df, fn, schema, *more)
+        n = spark.sparkContext.accumulator(0)
+        passes.append((n, "phrase string" in schema or "word string" in schema))
+
+        def run(batches):
+            for batch in fn(batches):
+                n.add(batch.num_rows)
+                yield batch
+
+        return plainly(df, run, schema, *more)
+
+    with monkeypatch.context() as m:
+        m.setattr(kind, "mapInArrow", counting)
+        got = sorted(map(tuple, phrases.collocations(frame).collect()))
+    return got, sum(n.value for n, letters in passes if letters), max(n.value for n, _ in passes)
+
+
+def test_letters_given_out_grow_with_the_input(spark, monkeypatch):
+    r = random.Random(5)
+    words = [f"w{i}" for i in range(60)]
+    likely = [1 / (i + 1) for i in range(60)]
+    rows = [(" ".join(r.choices(words, likely, k=30)), r.choice(["en", "de"])) for _ in range(400)]
+    monkeypatch.setattr(phrases, "LEAST", 12)
+    monkeypatch.setattr(phrases, "SHARD", 1)
+    few, small, _ = _made(spark, monkeypatch, rows[:80])
+    assert few == plain(rows[:80], 12)
+    many, large, most = _made(spark, monkeypatch, rows)
+    assert len(many) > 8 * len(few) and large <= 5.5 * small and most <= 30 * len(rows)
+    monkeypatch.setattr(phrases, "BROADCAST_ROWS", 0)  # nodes and words meet by shuffles
+    assert _made(spark, monkeypatch, rows)[0] == many
