@@ -17,7 +17,8 @@ builds, for each shard of texts, a depth-limited count trie over runs whose trip
 passed and gives out its two deepest levels.  What is rare at one level can't be
 part of a candidate, so filters of the frequent runs keep the long tail out of the
 next; they have a bounded size, and fuller ones only let more through.  Edges are
-summed by key and cut at 100 exactly.  (3) An edge that is left meets its node and
+summed by both, whole, and cut at 100; only words or runs that share a 64-bit hash
+would be taken for one.  (3) An edge that is left meets its node and
 its word once, by equality, and so gets its phrase.  (4) The trie is walked in
 order, range by range: a stack of at most five counts gives each phrase the counts
 of its left parts.  Suffix links, as equality joins on the phrase, give those of the
